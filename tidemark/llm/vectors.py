@@ -6,19 +6,19 @@ pruned robustly, the adjacency lists of a vector are united over its shards,
 and every vector searches the shards it can have partners in by greedy search
 from their medoids that then expands over all that lies in range.
 
-A pair is counted in the shard where its target is primary.  A vector q
-is sent to every cluster whose border is within the link distance: if t lies
-in cluster c and |q - t| <= r, then q is at most r beyond the plane between c
-and q's own cluster.  So routing loses no pair; what graph search may lose is
-audited against brute force on a bounded sample, and the search is widened
-until the audit is met.
+A vector belongs to the shards of its ``homes`` nearest clusters and searches
+those of its ``routes`` nearest, as far as they are within reach: if t lies in
+cluster c and |q - t| <= r, then q is at most r beyond the plane between c and
+q's own cluster.  A pair is counted in the first shard that q searches and t
+belongs to.  What this loses is audited against brute force on a bounded
+sample, and routes and beam are doubled until the audit is met.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,12 +37,14 @@ BLOCK = 2000
 
 @dataclass(frozen=True)
 class Search:
-    """threshold: cosine of a link. degree, pool, alpha: of the graph. beam: of the search."""
+    """threshold: cosine of a link. degree, pool, alpha: of the graph. homes, routes, beam: of the search."""
 
     threshold: float = 0.95
     degree: int = 24
     pool: int = 64
     alpha: float = 1.2
+    homes: int = 2
+    routes: int = 4
     beam: int = 32
 
 
@@ -65,23 +67,17 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def route(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cluster, role): role 3 primary, 2 overlap (the second nearest), 1 query only; all clusters within reach."""
+def route(x: np.ndarray, c: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters by nearness, which of them to search) for each row; the first ``homes`` are where it belongs."""
     s = x @ c.T
-    own = s.argmax(1)
-    gap = s[np.arange(len(x)), own][:, None] - s
-    apart = np.sqrt(np.maximum(2 - 2 * (c[own] @ c.T), 0))
-    reach = gap <= math.sqrt(max(2 - 2 * threshold, 0)) * apart + 1e-9
-    role = reach.astype(np.int8)
-    if c.shape[0] > 1:
-        s[np.arange(len(x)), own] = -np.inf
-        second = s.argmax(1)
-        role[np.arange(len(x)), second] = 2
-    role[np.arange(len(x)), own] = 3
-    # An overlapping member that is out of reach need not search there.
-    far = (role == 2) & ~reach
-    row, cluster = np.nonzero(role)
-    return row, cluster, np.where(far[row, cluster], 0, role[row, cluster]).astype(np.int8)
+    k = min(max(p.routes, p.homes), len(c))
+    order = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(s, order, 1), axis=1, kind="stable"), 1)
+    gap = np.take_along_axis(s, order[:, :1], 1) - np.take_along_axis(s, order, 1)
+    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("bkd,bd->bk", c[order], c[order[:, 0]]), 0))
+    reach = gap <= math.sqrt(max(2 - 2 * p.threshold, 0)) * apart + 1e-9
+    reach[:, 0] = True
+    return order, reach & (np.arange(k) < p.routes)
 
 
 def build_graph(x: np.ndarray, p: Search) -> list[np.ndarray]:
@@ -228,7 +224,8 @@ def fit_centres(reps: DataFrame, sample: int = SAMPLE, shard: int = SHARD, most:
 
 
 def _routed(reps: DataFrame, by_dim: dict[int, np.ndarray], p: Search) -> DataFrame:
-    """rep, m, vec, dim, cluster, role; the centres are at most MAX_CLUSTERS rows of each dimension."""
+    """rep, m, vec, dim, and for each cluster: does rep belong there (member), search there (asks), where it belongs
+    at all (homes), what it searches before (earlier).  The centres are at most MAX_CLUSTERS rows of each dimension."""
     shared = reps.sparkSession.sparkContext.broadcast(by_dim)
     arrow_batches(reps.sparkSession, 2000)
 
@@ -238,13 +235,19 @@ def _routed(reps: DataFrame, by_dim: dict[int, np.ndarray], p: Search) -> DataFr
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x = unit(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                row, cluster, role = route(x, shared.value[int(dim)], p.threshold)
+                order, asks = route(x, shared.value[int(dim)], p)
+                row, rank = np.nonzero(asks | (np.arange(order.shape[1]) < p.homes))
                 taken = part.take(pa.array(row))
-                data = [*taken.columns, pa.array(cluster, pa.int32()), pa.array(role, pa.int32())]
-                yield pa.RecordBatch.from_arrays(data, [*part.schema.names, "cluster", "role"])
+                ints = pa.list_(pa.int32())
+                data = [*taken.columns, pa.array(order[row, rank], pa.int32()), pa.array(rank < p.homes), pa.array(asks[row, rank])]
+                data += [pa.array(order[row, : p.homes].tolist(), ints)]
+                data += [pa.array([order[i, :j][asks[i, :j]].tolist() for i, j in zip(row, rank)], ints)]
+                yield pa.RecordBatch.from_arrays(data, [*part.schema.names, "cluster", "member", "asks", "homes", "earlier"])
 
     return reps.select("rep", "m", "vec", "dim").mapInArrow(
-        run, "rep bigint, m bigint, vec array<double>, dim int, cluster int, role int"
+        run,
+        "rep bigint, m bigint, vec array<double>, dim int, cluster int, member boolean, asks boolean, "
+        "homes array<int>, earlier array<int>",
     )
 
 
@@ -264,15 +267,19 @@ def graph_links(reps: DataFrame, p: Search = Search(), by_dim: dict[int, np.ndar
     """
     spark = reps.sparkSession
     routed = settle(_routed(reps, by_dim or fit_centres(reps), p))
-    members = F.col("role") >= 2
+    members = F.col("member")
     sizes = (
         routed.groupBy("dim", "cluster")
-        .agg(F.ceil(F.count_if(members) / BLOCK).cast("int").alias("subs"), F.ceil(F.count_if(F.col("role") % 2 == 1) / BLOCK).cast("int").alias("blocks"))
+        .agg(F.ceil(F.count_if(members) / BLOCK).cast("int").alias("subs"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("blocks"))
         .withColumn("subs", F.greatest("subs", F.lit(1)))
     )
     sizes = F.broadcast(settle(sizes))  # a row for each cluster
     placed = routed.join(sizes, ["dim", "cluster"])
-    targets = settle(placed.where(members).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int")).drop("subs"))
+    targets = settle(
+        placed.where(members)
+        .withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
+        .drop("subs", "member", "asks", "earlier")
+    )
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["rep"].to_numpy()
@@ -280,15 +287,15 @@ def graph_links(reps: DataFrame, p: Search = Search(), by_dim: dict[int, np.ndar
 
     lists = (
         targets.groupBy(*KEY).applyInPandas(build, "rep bigint, near array<bigint>")
-        .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most two lists each
+        .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most ``homes`` lists each
     )
     blocks = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1))
     nodes = targets.join(lists, "rep").withColumn("block", blocks).drop("blocks")
     queries = (
-        placed.where(F.col("role") % 2 == 1)
+        placed.where("asks")
         .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
         .withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), F.greatest(F.col("blocks"), F.lit(1))).cast("int"))
-        .select(*[F.col(c).alias(c) for c in (*KEY, "block", "rep", "vec")])
+        .select(*[F.col(c).alias(c) for c in (*KEY, "block", "rep", "vec", "earlier")])
     )
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -302,14 +309,15 @@ def graph_links(reps: DataFrame, p: Search = Search(), by_dim: dict[int, np.ndar
         padded = np.full((len(ids), max(1, max(map(len, graph)))), -1, np.int64)
         for i, own in enumerate(graph):
             padded[i, : len(own)] = own
-        primary = (left["role"] == 3).to_numpy()
-        m = np.where(primary, left["m"].to_numpy(), 0)
+        m, homes = left["m"].to_numpy(), np.stack(left["homes"].to_numpy())
+        before = [list(e) for e in right["earlier"]]
         own_ids, xs, out = right["rep"].to_numpy(), _matrix(right["vec"]), []
         for k in range(0, len(own_ids), 256):
             mine = own_ids[k : k + 256]
             found = greedy_range(xs[k : k + 256], x, padded, p)
-            found[:, ~primary] = False
             found[mine[:, None] == ids] = False
+            for i, earlier in enumerate(before[k : k + 256]):
+                found[i] &= ~np.isin(homes, earlier).any(1)
             out.append(pd.DataFrame({"rep": mine, "links": found @ m, "other": None}))
             links = forest(found, mine, ids)
             if links:
@@ -351,26 +359,22 @@ def near_vectors(vectors: DataFrame, p: Search = Search(), id_col: str = "vec_id
 
     Vectors that are null, zero, or hold null or non-finite components link
     with nothing, and vectors of different lengths do not link.  Equal vectors
-    count each other.  The beam grows fourfold until the audited recall is at
-    least ``least_recall``, at most to the size of a shard, where the search
-    is exhaustive.  An empty table gives no rows; other columns are not read.
+    count each other.  Routes and beam are doubled until the audited recall is
+    at least ``least_recall``, at most to all clusters and whole shards, where
+    the search is exhaustive.  An empty table gives no rows; other columns are not read.
     """
     reps = settle(representatives(vectors, id_col, vector))
     by_dim = fit_centres(reps)
-    beam = p.beam
-    while True:
-        now = Search(p.threshold, p.degree, p.pool, p.alpha, beam)
-        found = settle(graph_links(reps, now, by_dim)) if by_dim else None
-        if found is None:
-            break
+    while by_dim:
+        found = settle(graph_links(reps, p, by_dim))
         counts = found.where(F.col("other").isNull()).groupBy("rep").agg(F.sum("links").alias("links"))
-        if audit(reps, counts, now) >= least_recall or beam > 2 * BLOCK:
+        if audit(reps, counts, p) >= least_recall or p.beam > 2 * BLOCK and p.routes >= max(map(len, by_dim.values())):
             break
-        beam *= 4
+        p = replace(p, beam=2 * p.beam, routes=2 * p.routes)
     rows = vectors.select(F.col(id_col), F.col(vector).cast("array<double>").alias("_vec"))
     rows = rows.withColumn("_vec", F.when(usable("_vec"), F.col("_vec")))
     alone = [F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept")]
-    if found is None:
+    if not by_dim:
         return rows.select(id_col, *alone)
     groups = connected_components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = (
