@@ -78,7 +78,7 @@ def test_files(spark, tmp_path):
     docs = files.documents(files.discover(spark, f"file:{tmp_path}"))
     by = {r["source_uri"]: r for r in files.segments(docs).collect()}
     assert [s["atomic"] for s in by["chat/floor.md"]["segments"]] == [False, True, True]
-    assert by["plan.md"]["segments"][1]["text"] == "| a | b |\n| 1 | 2 |" and by["plan.md"]["author"] == "Ana"
+    assert by["plan.md"]["segments"][-1]["text"] == "| a | b |\n| 1 | 2 |" and by["plan.md"]["author"] == "Ana"
     assert str(by["plan.md"]["as_of"]) == "2026-04-01"
     assert by["dashboards/k.html"]["segments"][0]["text"] == "ARR — 5M (as of 2026-04-15)"
     assert files.pack(files.segments(docs)).where("source_uri = 'chat/floor.md'").count() == 1

@@ -36,8 +36,7 @@ def discover(spark: SparkSession, root: str, connectors: dict[str, str] = CONNEC
     Raises, when the row is evaluated, if two connectors take a file.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    uri = F.substring_index(F.col("path"), base, -1)
+    uri = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     takers = F.filter(F.array(*[F.when(uri.rlike(p), F.lit(n)) for n, p in connectors.items()]), lambda x: x.isNotNull())
     rows = files.select(uri.alias("source_uri"), takers.alias("_by"), "content").where(F.size("_by") > 0)
     one = F.when(F.size("_by") == 1, F.element_at("_by", 1)).otherwise(
@@ -56,7 +55,7 @@ def _label(body: Column, name: str) -> Column:
 
 def documents(found: DataFrame) -> DataFrame:
     """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text."""
-    body = text.normalize_text(F.decode("content", F.lit("UTF-8")))
+    body = text.normalize_text(F.decode("content", "UTF-8"))
     rows = found.where(F.col("source_type") != "image").select("source_uri", "source_type", body.alias("raw_text"))
     stamp = F.regexp_extract("raw_text", r"(?is)(?:as of|date|updated)\W{1,4}(?:.{0,60}?)(\d{4}-\d{2}-\d{2})", 1)
     first = F.regexp_extract("raw_text", r"(\d{4}-\d{2}-\d{2})", 1)
