@@ -91,7 +91,9 @@ def near_pairs(prints: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
         return F.transform(flips, variant)
 
     variants = [ball(p, mask, bits) for p, (mask, bits) in enumerate(_projections())]
-    balls = settle(distinct).select("fp", F.inline(F.concat(*variants)))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes become many rows: spread them before, not after
+    balls = settle(distinct.repartition(parts, "fp")).select("fp", F.inline(F.concat(*variants)))
     x = balls.select("p", "key", F.col("fp").alias("a"), F.col("flip").alias("fa"))
     y = balls.select("p", "key", F.col("fp").alias("b"), F.col("flip").alias("fb"))
     # Of the variants two balls share, the one where the lower bit is flipped in one and the higher in the other.
