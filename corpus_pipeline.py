@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, packing, queries, simhash, toxicity
-from tidemark.llm.common import settle, table
+from tidemark.llm.common import row_key, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold; the model learns from labelled rows of ``docs``."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
-    scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
-    bad = scored.where(F.col("score") >= queries.TOXIC_AT).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_self", row_key("doc_id", "text"))
+    scored = toxicity.score_documents(rows, toxicity.train(docs, labels), id_col="_self")
+    bad = scored.where(F.col("score") >= queries.TOXIC_AT).select("_self").distinct()
+    return rows.join(bad, "_self", "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rounded rate says."""
-    mixed = mixing.mix(docs, queries.domain_labels(docs, table(spark, sf_dir, "labels")))
-    copies = mixed.select(F.col("doc_id").alias("_mixed"), "copies").where(F.col("copies") > 0)
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mixed")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    mixed = mixing.mix(docs, queries.domain_labels(docs, table(spark, sf_dir, "labels")), whole=True)
+    copies = mixed.where(F.col("copies") > 0).select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

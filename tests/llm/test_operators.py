@@ -281,6 +281,24 @@ def test_pipeline(spark, docs):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in before.collect()}
 
 
+def test_pipeline_tells_rows_apart(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    model = toxicity.Model({"vile": 9.0}, -6.0)
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    plain = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(1, plain[0]), (1, "So vile."), (None, plain[1]), (None, "So vile."), (None, None), (2, plain[2]), (2, plain[2]), (3, plain[2]), (None, plain[2])]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    key = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    clean = corpus_pipeline.drop_toxic(spark, odd, SF)
+    assert key(clean) == sorted([r for r in rows if "vile" not in (r[1] or "")], key=repr)
+    once = corpus_pipeline.drop_near_copies(spark, clean, SF)
+    assert key(once) == sorted([(1, plain[0]), (None, plain[1]), (None, None), (2, plain[2])], key=repr)
+    counts = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix(clean, queries.domain_labels(clean, spark.read.parquet(f"{SF}/labels.parquet")), whole=True).select("doc_id", "_doc.text", "copies").collect()}
+    mixed = key(corpus_pipeline.mix_domains(spark, clean, SF))
+    assert mixed == sorted([r for r in key(clean) for _ in range(counts[r])], key=repr)
+
+
 def test_sql_queries(spark):
     import duckdb
 

@@ -37,6 +37,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_key(id_col: str, text: str) -> Column:
+    """Struct that tells rows apart which share an id but not a text; rows without an id come last in its order."""
+    return F.struct(
+        F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash")
+    )
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; the fast path serves strings that are pure ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -142,7 +142,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 40, toleran
     return state
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, id_col: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """id, n_tokens, rate, copies, domain (the likeliest) and p0.. of every row of ``docs``.
 
     The totals aimed at are ``targets`` (scaled to sum 1) times ``budget``
@@ -151,6 +151,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     tokens, the prior as posterior, and rate 1.  Rows that repeat an id and a
     text share their rate and count once in the fit; an empty table gives no
     rows, and without labelled rows all posteriors are alike and stay so.
+    With ``whole``, _doc is the row of ``docs`` itself, as a struct.
     """
     names = list(targets)
     model = fit_classifier(docs, labelled, names, id_col=id_col, text=text)
@@ -158,11 +159,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     scale = budget * total / sum(targets.values())
     fitted = settle(fit_rates(rows, [targets[d] * scale for d in names]))
-    key = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("_key"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if whole else []
+    key = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.coalesce(F.col(text), F.lit(""))).alias("_key"), *carried)
     joined = key.join(fitted.withColumnRenamed("_id", "_fid"), (F.col("_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_fid")), "left")
     prior = [math.exp(x) for x in model[0]]
     p = [F.coalesce(F.col(f"p{k}"), F.lit(x / sum(prior))).alias(f"p{k}") for k, x in enumerate(prior)]
-    out = joined.select(id_col, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("rate", F.lit(1.0)).alias("rate"), *p)
+    out = joined.select(id_col, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("rate", F.lit(1.0)).alias("rate"), *p, *(["_doc"] if whole else []))
     chance = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1_000_000)) / 1_000_000
     best = F.greatest(*[F.col(f"p{k}") for k in range(len(names))]) if len(names) > 1 else F.col("p0")
     domain = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(names)])

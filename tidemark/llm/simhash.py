@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, settle
+from .common import arrow_batches, row_key, settle
 from .components import connected_components
 
 BITS = 64
@@ -127,7 +127,13 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text:
 
 
 def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, that of the least id; rows without an id stay."""
-    first = near_groups(docs.where(F.col(id_col).isNotNull()), radius, id_col, text).where(F.col(id_col) == F.col("component_id"))
-    kept = docs.join(first.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each group of near-duplicates, that of the least id.
+
+    Rows are told apart by id and text, so different texts under one id, or
+    under none, are documents of their own; a row without an id is kept only
+    where no near copy has one.  Rows that repeat both are one document.
+    """
+    rows = docs.withColumn("_self", row_key(id_col, text))
+    first = near_groups(rows, radius, "_self", text).where(F.col("_self") == F.col("component_id"))
+    kept = rows.join(first.select("_self").distinct(), "_self", "left_semi").dropDuplicates(["_self"])
+    return kept.select(*docs.columns)
