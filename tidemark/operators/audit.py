@@ -77,3 +77,11 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     edge = lambda x: F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).otherwise(0.0)
     return edge(mid - half), edge(mid + half)
+
+
+def document_embeddings(documents: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(id, n, good, ok) of documents (id) by vectors (document_id, embedding): ok with vectors, none missing or zero."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    counted = vectors.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(norm > 0).alias("good"))
+    every = documents.select("id").join(counted, "id", "left").na.fill(0, ["n", "good"])
+    return every.withColumn("ok", (F.col("n") > 0) & (F.col("good") == F.col("n")))

@@ -105,3 +105,48 @@ def label(kind_col, claim_a):
         .when(kind_col == "value_conflict", "values conflict")
         .otherwise(F.coalesce(kind_col, F.when(claim_a.isNull(), "relationship").otherwise("values conflict")))
     )
+
+
+def claim_groups(claims: DataFrame) -> DataFrame:
+    """(subject_entity_id, predicate), distinct, of live claims with a subject."""
+    live = claims.where(F.col("superseded_by").isNull() & F.col("subject_entity_id").isNotNull())
+    return live.select("subject_entity_id", "predicate").distinct()
+
+
+def relevant(pairs: DataFrame, subjects: DataFrame, topics: DataFrame) -> DataFrame:
+    """Contradictions on a subject (subject_entity_id) or a topic (predicate) of the given tables, each once."""
+    s = subjects.select(F.col("subject_entity_id").alias("_s")).distinct()
+    t = topics.select(F.col("predicate").alias("_t")).distinct()
+    marked = pairs.join(s, F.col("subject_entity_id") == F.col("_s"), "left").join(t, F.col("predicate") == F.col("_t"), "left")
+    return marked.where(F.col("_s").isNotNull() | F.col("_t").isNotNull()).drop("_s", "_t")
+
+
+CLUSTER_LINKS = ["reports_to", "dotted_line_to"]
+
+
+def clusters(claims: DataFrame, links: DataFrame, most: int = 40, set_valued: list[str] = SET_VALUED) -> DataFrame:
+    """(subject_entity_id, n_claims, n_links, judged, cluster_key): what is judged together about a subject.
+
+    Members are live claims of single-valued predicates and functional links.
+    Subjects with over ``most`` members, or without two claims or two links, are
+    not judged and have no key; they are counted and never gathered.  The key
+    hashes the members' sorted signatures, which name no surrogate ids of rows.
+    """
+    day = F.coalesce(F.col("as_of").cast("string"), F.lit(""))
+    subject = lambda c: F.col(c).cast("bigint").alias("subject_entity_id")
+    own = claims.where(F.col("superseded_by").isNull() & F.col("subject_entity_id").isNotNull() & ~F.col("predicate").isin(list(set_valued)))
+    told = own.select(subject("subject_entity_id"), F.lit("claim").alias("block"),
+                      F.concat_ws("|", F.lit("claim"), "subject_entity_id", "predicate", text.value_text(F.col("object_value")), day).alias("signature"))
+    linked = links.where(F.col("link_type").isin(CLUSTER_LINKS)).select(
+        subject("from_entity_id"), F.lit("link").alias("block"),
+        F.concat_ws("|", F.lit("link"), "from_entity_id", "link_type", "to_entity_id", day).alias("signature"),
+    )
+    members = told.unionByName(linked)
+    of = lambda b: F.count_if(F.col("block") == b)
+    sizes = members.groupBy("subject_entity_id").agg(of("claim").alias("n_claims"), of("link").alias("n_links"))
+    few = (F.col("n_claims") + F.col("n_links") <= most) & ((F.col("n_claims") >= 2) | (F.col("n_links") >= 2))
+    sizes = sizes.withColumn("judged", few)
+    gathered = members.join(sizes.where("judged").select("subject_entity_id"), "subject_entity_id", "left_semi")
+    key = F.sha2(F.array_join(F.array_sort(F.collect_list("signature")), "\n"), 256)
+    keys = gathered.groupBy("subject_entity_id").agg(key.alias("cluster_key"))
+    return sizes.join(keys, "subject_entity_id", "left")

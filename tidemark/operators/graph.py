@@ -52,3 +52,26 @@ def relationships(links: DataFrame, entity: int, link_type: str | None = None) -
     return own.withColumn("direction", F.when(out, "outgoing").otherwise("incoming")).withColumn(
         "other_id", F.when(out, F.col("to_entity_id")).otherwise(F.col("from_entity_id"))
     )
+
+
+def degrees(entities: DataFrame, claims: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, claims, outgoing, incoming) of every entity; a loop is outgoing only."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    marks = claims.select(F.col("subject_entity_id").alias("id"), one.alias("claims"), none.alias("outgoing"), none.alias("incoming"))
+    out = links.select(F.col("from_entity_id").alias("id"), none.alias("claims"), one.alias("outgoing"), none.alias("incoming"))
+    in_ = links.where("to_entity_id <> from_entity_id").select(
+        F.col("to_entity_id").alias("id"), none.alias("claims"), none.alias("outgoing"), one.alias("incoming")
+    )
+    every = marks.unionByName(out).unionByName(in_).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("claims", "outgoing", "incoming")])
+    return entities.select("id").join(every, "id", "left").na.fill(0, ["claims", "outgoing", "incoming"])
+
+
+def entity_detail(entity: int, claims: DataFrame, links: DataFrame) -> DataFrame:
+    """Facts about one entity: (fact, id, about, value, as_of), its claims and its links either way."""
+    told = claims.where(F.col("subject_entity_id") == entity).select(
+        F.lit("claim").alias("fact"), "id", F.col("predicate").alias("about"), F.col("object_value").alias("value"), "as_of"
+    )
+    linked = relationships(links, entity).select(
+        F.col("direction").alias("fact"), "id", F.col("link_type").alias("about"), F.col("other_id").cast("string").alias("value"), "as_of"
+    )
+    return told.unionByName(linked)

@@ -69,3 +69,8 @@ def consensus(claims: DataFrame) -> DataFrame:
     order = Window.partitionBy("predicate").orderBy(F.col("n").desc(), dates.or_first_day(F.col("freshest")).desc(), "least_id")
     every = Window.partitionBy("predicate")
     return sides.withColumn("rank", F.row_number().over(order)).withColumn("_all", F.sum("n").over(every)).where("_all >= 2").drop("_all")
+
+
+def freshest_per_source(cited: DataFrame, source: str = "source_uri") -> DataFrame:
+    """(source, freshest) of dated evidence."""
+    return cited.where("as_of IS NOT NULL").groupBy(source).agg(F.max("as_of").alias("freshest"))
