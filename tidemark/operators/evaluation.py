@@ -18,14 +18,23 @@ def loose_text(value: Column) -> Column:
     return F.regexp_replace(v, r"(?U)(\d(?:\.\d+)?)\s+([mkb])\b", "$1$2")
 
 
-def values_match(golden: Column, claimed: Column) -> Column:
-    """Equal values; where not both are numbers, also one text within the other.  Null claims match nothing."""
-    a, b = text.value_text(golden), text.value_text(claimed)
-    p, q = text.value_number(a), text.value_number(b)
-    g, c = loose_text(golden), loose_text(claimed)
+def with_forms(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the forms by which a value is matched, once for each row rather than for each pair."""
+    own = rows.withColumns({"_text": text.value_text(F.col(column)), "_loose": loose_text(F.col(column))})
+    return own.withColumn("_number", text.value_number(F.col("_text")))
+
+
+def values_match(golden: str, claimed: str) -> Column:
+    """Equal values of two aliased sides of :func:`with_forms`; where not both are numbers, also one text within the other.
+
+    Claims without a value match nothing: their loose form is null.
+    """
+    of = lambda side, name: F.col(f"{side}._{name}")
+    g, c = of(golden, "loose"), of(claimed, "loose")
+    numbers = of(golden, "number").isNotNull() & of(claimed, "number").isNotNull()
     within = (g != "") & (c != "") & (F.contains(c, g) | F.contains(g, c))
-    equal = ~text.values_conflict(a, p, b, q)
-    return F.coalesce(claimed.isNotNull() & (equal | (~(p.isNotNull() & q.isNotNull()) & within)), F.lit(False))
+    equal = ~text.values_conflict(of(golden, "text"), of(golden, "number"), of(claimed, "text"), of(claimed, "number"))
+    return F.coalesce(c.isNotNull() & (equal | (~numbers & within)), F.lit(False))
 
 
 def uri_matches(golden: Column, claimed: Column) -> Column:
@@ -42,13 +51,13 @@ def claim_facts(facts: DataFrame, claims: DataFrame, tolerance_days: int = 0) ->
     source_as_of.  Only the best rank is kept of each fact, so that the
     aggregate is combined before its shuffle.
     """
-    f, c, col = facts.alias("f"), claims.alias("c"), F.col
+    f, col = with_forms(facts, "value").alias("f"), F.col
+    c = with_forms(claims, "object_value").withColumn("_there", F.lit(True)).alias("c")
     near = lambda d: F.coalesce(F.abs(F.datediff(d, col("f.as_of"))) <= tolerance_days, F.lit(False))
     dated = col("f.as_of").isNull() | near(col("c.as_of")) | near(col("c.source_as_of"))
-    good = values_match(col("f.value"), col("c.object_value")) & uri_matches(col("f.source_uri"), col("c.source_uri")) & dated
-    claimed = claims.withColumn("_there", F.lit(True)).alias("c")
+    good = values_match("f", "c") & uri_matches(col("f.source_uri"), col("c.source_uri")) & dated
     joined = f.join(
-        claimed, (col("f.subject_entity_id") == col("c.subject_entity_id")) & (col("f.predicate") == col("c.predicate")), "left"
+        c, (col("f.subject_entity_id") == col("c.subject_entity_id")) & (col("f.predicate") == col("c.predicate")), "left"
     )
     rank = F.when(col("c._there").isNull(), 0).when(good, 2).otherwise(1)
     best = joined.groupBy(col("f.fact_id"), col("f.predicate")).agg(F.max(rank).alias("_rank"))

@@ -65,27 +65,40 @@ def _words(x: Column) -> Column:
     return F.trim(F.regexp_replace(text.fold(x), "[^a-z0-9]+", " "))
 
 
-def grounding_grade(evidence: Column, value: Column, body: Column) -> Column:
-    """ungrounded if the evidence is blank or does not give the value; else exact or, for a paraphrase, value_only.
+def _number_in(written: Column) -> Column:
+    """The number of a candidate, which holds digits and at most a scale letter: no words to expand."""
+    plain = F.regexp_replace(F.replace(F.lower(written), F.lit("−"), F.lit("-")), r"(?<=\d),(?=\d)", "")
+    return text.value_number(text.squeeze(plain))
 
-    A numeric value is given by an equal number in the evidence, a text by its
-    words.  Evidence is no paraphrase if its words stand in the text, or three
-    fifths of its distinct ones do.
+
+def graded(claims: DataFrame) -> DataFrame:
+    """``claims`` (evidence, object_value, chunk_text) with grade.
+
+    ungrounded if the evidence is blank or does not give the value; else exact
+    or, for a paraphrase, value_only.  A numeric value is given by an equal
+    number in the evidence, a text by its words.  Evidence is no paraphrase if
+    its words stand in the chunk, or three fifths of its distinct ones do.
+    Normal forms are columns of their own, so that each is worked out once.
     """
-    spoken = _words(evidence)
-    tokens = F.array_distinct(F.split(spoken, " "))
-    in_body = _words(F.coalesce(body, F.lit("")))
-    shared = F.size(F.array_intersect(tokens, F.split(in_body, " "))) / F.size(tokens)
-    quoted = (spoken != "") & (F.contains(in_body, spoken) | (shared >= OVERLAP))
-    value_form = text.value_text(value)
-    number = text.value_number(value_form)
-    candidates = F.transform(F.regexp_extract_all(evidence, F.lit(NUMBER), 0), lambda c: text.value_number(text.value_text(c)))
-    same = lambda c: F.abs(c - number) <= F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs(c), F.abs(number)))
-    by_number = F.exists(candidates, lambda c: F.coalesce(same(c), F.lit(False)))
-    by_words = (_words(value) != "") & F.contains(spoken, _words(value))
-    given = F.when(value.isNull(), F.lit(True)).when(number.isNotNull(), by_number).otherwise(by_words)
-    blank = F.coalesce(text.squeeze(evidence) == "", F.lit(True))
-    return F.when(blank | ~given, "ungrounded").when(quoted, "exact").otherwise("value_only")
+    c = F.col
+    forms = claims.withColumns(
+        {
+            "_value": text.value_text(c("object_value")),
+            "_own": _words(c("object_value")),
+            "_spoken": _words(c("evidence")),
+            "_body": _words(F.coalesce("chunk_text", F.lit(""))),
+        }
+    ).withColumns({"_number": text.value_number(c("_value")), "_tokens": F.array_distinct(F.split("_spoken", " "))})
+    shared = F.size(F.array_intersect("_tokens", F.split("_body", " "))) / F.size("_tokens")
+    quoted = (c("_spoken") != "") & (F.contains(c("_body"), c("_spoken")) | (shared >= OVERLAP))
+    candidates = F.transform(F.regexp_extract_all("evidence", F.lit(NUMBER), 0), _number_in)
+    near = lambda x: F.abs(x - c("_number")) <= F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs(x), F.abs(c("_number"))))
+    by_number = F.exists(candidates, lambda x: F.coalesce(near(x), F.lit(False)))
+    by_words = (c("_own") != "") & F.contains(c("_spoken"), c("_own"))
+    given = F.when(c("object_value").isNull(), F.lit(True)).when(c("_number").isNotNull(), by_number).otherwise(by_words)
+    blank = F.coalesce(text.squeeze(c("evidence")) == "", F.lit(True))
+    grade = F.when(blank | ~given, "ungrounded").when(quoted, "exact").otherwise("value_only")
+    return forms.withColumn("grade", grade).drop("_value", "_own", "_spoken", "_body", "_number", "_tokens")
 
 
 def penalized(confidence: Column, grade: Column) -> Column:

@@ -74,8 +74,8 @@ def grounding_grades(spark: SparkSession, d: str) -> DataFrame:
     c, k, v = views.claims(spark, d), F.col("id"), F.col("object_value")
     value = F.when(k % 4 == 0, (v.cast("bigint") + 1).cast("string")).otherwise(v)
     body = F.when(k % 5 == 0, F.concat(F.lit("Total — "), v)).when(k % 5 == 1, "nothing here").otherwise(F.concat_ws(" ", F.lit("so"), "evidence", F.lit(".")))
-    grade = extraction.grounding_grade(F.col("evidence"), value, body)
-    return c.select("id", grade.alias("grade"), extraction.penalized(F.col("confidence").cast("double"), grade).alias("confidence"))
+    rows = extraction.graded(c.select("id", "evidence", "confidence", value.alias("object_value"), body.alias("chunk_text")))
+    return rows.select("id", "grade", extraction.penalized(F.col("confidence").cast("double"), F.col("grade")).alias("confidence"))
 
 
 @query("""WITH r AS (SELECT doc_id AS id, text, substring(text, 1, 20) AS e FROM documents),
