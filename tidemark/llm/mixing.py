@@ -29,8 +29,13 @@ TARGETS = {
 
 
 def _tokens(docs: DataFrame, keep: list[Column], text: str, buckets: int) -> DataFrame:
-    """A row for each word: ``keep`` and the word's bucket."""
-    split = docs.select(*keep, F.explode(words(F.col(text))).alias("_w"))
+    """A row for each word: ``keep`` and the word's bucket.
+
+    What ``keep`` works out is settled before the words are spread, or it
+    would be worked out again, and the whole text carried, for each word.
+    """
+    whole = docs.select(*keep, words(F.col(text)).alias("_words"))
+    split = whole.select(*whole.columns[:-1], F.explode("_words").alias("_w"))
     return split.withColumn("_b", F.pmod(F.xxhash64("_w"), F.lit(buckets)).cast("int")).drop("_w")
 
 
