@@ -153,6 +153,36 @@ def test_vectors_odd(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """4000 pairs in all directions, and 300 near copies of a vector that 3000 rows share; what links with what."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 4300, 64))
+    a[4000:] = a[4000]
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = np.where(np.arange(4300) < 4000, 0.951, 0.98)[:, None]
+    copies = a * c + b * np.sqrt(1 - c**2)
+    x = np.concatenate((a[:4000], copies[:4000], np.repeat(a[4000:4001], 3000, 0), copies[4000:]))
+    df = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id bigint, embedding array<double>").repartition(4)
+    return df, np.concatenate([x[i : i + 1000] @ x.T >= 0.95 for i in range(0, len(x), 1000)])
+
+
+@pytest.fixture(scope="module")
+def crowd_found(crowd):
+    return {r["vec_id"]: r for r in vectors.near_vectors(crowd[0]).collect()}
+
+
+def test_vectors_lose_no_pair(crowd, crowd_found):
+    df, near = crowd
+    least = np.where(np.arange(len(near)) < 8000, np.arange(len(near)) % 4000, 8000).tolist()
+    cut = {r["vec_id"]: r for r in vectors.near_vectors(df, values=64 * 500).collect()}  # many clusters, some in pieces
+    for out in (crowd_found, cut):
+        assert [out[i]["n_links"] for i in range(len(near))] == (near.sum(1) - 1).tolist()
+        assert [out[i]["component_id"] for i in range(len(near))] == least
+
+
 def test_wordpiece(spark, odd):
     pieces = set(wordpiece.load_pieces(queries.vocabulary_path()))
 

@@ -1,24 +1,19 @@
-"""Near-duplicate vectors through robust-pruned flat graphs.
-
-Equal vectors are one class.  Class representatives are put into overlapping
-cluster shards of bounded size; each shard builds a flat graph whose edges are
-pruned robustly, the adjacency lists of a vector are united over its shards,
-and every vector searches the shards it can have partners in by greedy search
-from their medoids that then expands over all that lies in range.
-
-A vector belongs to the shards of its ``homes`` nearest clusters and searches
-those of its ``routes`` nearest, as far as they are within reach: if t lies in
-cluster c and |q - t| <= r, then q is at most r beyond the plane between c and
-q's own cluster.  A pair is counted in the first shard that q searches and t
-belongs to.  What this loses is audited against brute force on a bounded
-sample, and routes and beam are doubled until the audit is met.
+"""Near-duplicate vectors, exactly, by block products over clusters within reach.
+
+Equal vectors are one class.  Each class representative belongs to the cluster
+of its nearest centre; large clusters are cut into pieces.  A vector q meets
+all members of its own cluster and of every cluster with a later number that is
+within reach: if t lies in cluster c and |q - t| <= r, then q is at most r
+beyond the plane between c and q's own cluster, and its distance from the
+centre of c is within r of the distances that members of c have.  Clusters that
+fail one of these bounds hold no partner, so no pair is lost.  Each pair of
+classes is compared once, by its inner product, and counted at both ends.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,21 +26,15 @@ from .components import connected_components
 
 SAMPLE = 20_000
 MAX_CLUSTERS = 1024
-SHARD = 1000
-BLOCK = 2000
+#: Components of the vectors of one side of a comparison: 4 MB in double precision.
+BLOCK_VALUES = 1 << 19
+#: Bounds are widened by this much, more than rounding can err (the root of a difference near 0 errs by some 1e-8).
+SLACK = 1e-6
 
 
-@dataclass(frozen=True)
-class Search:
-    """threshold: cosine of a link. degree, pool, alpha: of the graph. homes, routes, beam: of the search."""
-
-    threshold: float = 0.95
-    degree: int = 24
-    pool: int = 64
-    alpha: float = 1.2
-    homes: int = 2
-    routes: int = 4
-    beam: int = 32
+def block_rows(dim: int, values: int = BLOCK_VALUES) -> int:
+    """Vectors of ``dim`` components in one side of a comparison."""
+    return max(1, values // dim)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -67,128 +56,37 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def route(x: np.ndarray, c: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray]:
-    """(clusters by nearness, which of them to search) for each row; the first ``homes`` are where it belongs."""
-    s = x @ c.T
-    k = min(max(p.routes, p.homes), len(c))
-    order = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(s, order, 1), axis=1, kind="stable"), 1)
-    gap = np.take_along_axis(s, order[:, :1], 1) - np.take_along_axis(s, order, 1)
-    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("bkd,bd->bk", c[order], c[order[:, 0]]), 0))
-    reach = gap <= math.sqrt(max(2 - 2 * p.threshold, 0)) * apart + 1e-9
-    reach[:, 0] = True
-    return order, reach & (np.arange(k) < p.routes)
-
-
-def build_graph(x: np.ndarray, p: Search) -> list[np.ndarray]:
-    """Adjacency lists: each row's nearest and some spread rows, pruned robustly, and the reverse edges."""
-    n = len(x)
-    if n < 2:
-        return [np.zeros(0, np.int64)] * n
-    rng = np.random.default_rng(n)
-    near, spread = min(p.pool, n - 1), min(p.pool // 2, n)
-    lists: list[np.ndarray] = []
-    for at in range(0, n, 256):
-        rows = np.arange(at, min(at + 256, n))
-        s = x[rows] @ x.T
-        s[np.arange(len(rows)), rows] = -np.inf
-        cand = np.concatenate((np.argpartition(-s, near - 1, axis=1)[:, :near], rng.integers(0, n, (len(rows), spread))), axis=1)
-        sim = np.take_along_axis(s, cand, 1)
-        order = np.argsort(-sim, axis=1, kind="stable")
-        cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
-        own = np.sqrt(np.maximum(2 - 2 * np.maximum(sim, -1), 0))
-        alive = np.isfinite(sim)
-        alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
-        kept = np.zeros_like(alive)
-        vectors = x[cand]
-        for j in range(cand.shape[1]):
-            take = alive[:, j] & (kept.sum(1) < p.degree)
-            kept[:, j] = take
-            between = np.sqrt(np.maximum(2 - 2 * np.einsum("bcd,bd->bc", vectors, vectors[:, j]), 0))
-            shadow = take[:, None] & (p.alpha * between <= own)
-            shadow[:, : j + 1] = False
-            alive &= ~shadow
-        lists += [cand[i, kept[i]] for i in range(len(rows))]
-    tail = np.repeat(np.arange(n), [len(a) for a in lists])
-    head = np.concatenate(lists)
-    pairs = np.unique(np.concatenate((tail * n + head, head * n + tail)))
-    tail, head = pairs // n, pairs % n
-    cuts = np.searchsorted(tail, np.arange(n + 1))
-    out = []
-    for i in range(n):
-        own = head[cuts[i] : cuts[i + 1]]
-        own = own[own != i]
-        if len(own) > 3 * p.degree:  # a hub keeps its nearest and a spread of the rest
-            by = np.argsort(-(x[own] @ x[i]), kind="stable")
-            own = own[np.concatenate((by[: 2 * p.degree], by[2 * p.degree :: max(1, (len(own) - 2 * p.degree) // p.degree)]))]
-        out.append(own)
-    return out
+def within_reach(x: np.ndarray, own: np.ndarray, c: np.ndarray, inner: np.ndarray, outer: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean matrix: can a member of this cluster (column) have a cosine of ``threshold`` with this row of its ``own`` cluster?
 
+    inner, outer: least and greatest distance of a cluster's members from its centre.
+    """
+    r = math.sqrt(max(2 - 2 * threshold, 0)) + SLACK
+    s = x @ c.T
+    gap = np.take_along_axis(s, own[:, None], 1) - s
+    apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+    away = np.sqrt(np.maximum(2 - 2 * s, 0))
+    return (gap <= r * apart[own] + SLACK) & (away <= outer + r + SLACK) & (away >= inner - r - SLACK)
 
-def medoids(x: np.ndarray, k: int = 8) -> np.ndarray:
-    """The rows nearest to the centre of all and of ``k - 1`` interleaved parts."""
-    parts = [np.arange(len(x))] + [np.arange(i, len(x), k - 1) for i in range(min(k - 1, len(x)))]
-    return np.unique([part[(x[part] @ x[part].mean(0)).argmax()] for part in parts])
 
+class Forest:
+    """Links that connect all that was found, fewer than there are vectors."""
 
-def greedy_range(queries: np.ndarray, x: np.ndarray, graph: np.ndarray, p: Search, step: int = 4) -> np.ndarray:
-    """Boolean matrix of the rows of ``x`` found within the threshold of each query.
+    def __init__(self, query_ids: np.ndarray, ids: np.ndarray):
+        nodes, inverse = np.unique(np.concatenate((query_ids, ids)), return_inverse=True)
+        self.query_ids, self.ids = query_ids, ids
+        self.of_query, self.of_target = inverse[: len(query_ids)], inverse[len(query_ids) :]
+        self.label, self.links = np.arange(len(nodes)), []
 
-    graph: neighbours by row, padded with -1.  A beam is expanded best first
-    from the medoids until its best ``beam`` rows are expanded; then all rows
-    in range are, as long as that finds new ones.
-    """
-    q, n = len(queries), len(x)
-    sims = np.full((q, n), -np.inf)
-    start = medoids(x)
-    sims[:, start] = queries @ x[start].T
-    opened = np.zeros((q, n), bool)
-
-    def expand(rows: np.ndarray, nodes: np.ndarray) -> None:
-        opened[rows, nodes] = True
-        for at in range(0, len(rows), 20_000):
-            near = graph[nodes[at : at + 20_000]]
-            flat = (rows[at : at + 20_000, None] * n + near)[near >= 0]
-            flat = flat[~np.isfinite(sims.ravel()[flat])]
-            flat = np.unique(flat)
-            for part in range(0, len(flat), 100_000):
-                r, c = np.divmod(flat[part : part + 100_000], n)
-                sims[r, c] = np.einsum("ij,ij->i", queries[r], x[c])
-
-    width = min(p.beam, n)
-    while True:
-        floor = -np.partition(-sims, width - 1, axis=1)[:, width - 1]
-        waiting = np.where(opened | (sims < floor[:, None]), -np.inf, sims)
-        best = np.argpartition(-waiting, min(step, n) - 1, axis=1)[:, : min(step, n)]
-        good = np.isfinite(np.take_along_axis(waiting, best, 1))
-        if not good.any():
-            break
-        rows, cols = np.nonzero(good)
-        expand(rows, best[rows, cols])
-    while True:
-        rows, nodes = np.nonzero((sims >= p.threshold - 0.02) & ~opened)
-        if not len(rows):
-            return sims >= p.threshold
-        expand(rows, nodes)
-
-
-def forest(found: np.ndarray, query_ids: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links of ``found`` that connect all that it connects, at most one for each vector less one."""
-    nodes, inverse = np.unique(np.concatenate((query_ids, ids)), return_inverse=True)
-    of_query, of_target = inverse[: len(query_ids)], inverse[len(query_ids) :]
-    label = np.arange(len(nodes))
-    links = []
-    for i in range(len(query_ids)):
-        t = np.flatnonzero(found[i])
-        if not len(t):
-            continue
-        own = label[of_query[i]]
-        roots, first = np.unique(label[of_target[t]], return_index=True)
-        other = roots != own
-        if other.any():
-            links += [(int(query_ids[i]), int(ids[t[j]])) for j in first[other]]
-            label[np.isin(label, roots[other])] = own
-    return links
+    def add(self, i: int, t: np.ndarray) -> None:
+        """Query i is linked to the targets t."""
+        own = self.label[self.of_query[i]]
+        roots = self.label[self.of_target[t]]
+        t, roots = t[roots != own], roots[roots != own]
+        if len(t):
+            roots, first = np.unique(roots, return_index=True)
+            self.links += [(int(self.query_ids[i]), int(self.ids[t[j]])) for j in first]
+            self.label[np.isin(self.label, roots)] = own
 
 
 def usable(vector: str):
@@ -198,10 +96,16 @@ def usable(vector: str):
     return F.coalesce(e.isNotNull() & fine & F.exists(e, lambda x: x != 0), F.lit(False))
 
 
+def component_kind(vectors: DataFrame, vector: str) -> str:
+    """Floats stay floats, which halves what is stored and dealt out; else double precision."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
+
+
 def representatives(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """vec (double array), rep (least id), m (rows) and dim of each distinct usable vector."""
+    """vec, rep (least id), m (rows) and dim of each distinct usable vector."""
     return (
-        vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+        vectors.select(F.col(id_col).alias("id"), F.col(vector).cast(component_kind(vectors, vector)).alias("vec"))
         .where(usable("vec"))
         .groupBy("vec")
         .agg(F.min("id").alias("rep"), F.count("*").alias("m"))
@@ -209,8 +113,8 @@ def representatives(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     )
 
 
-def fit_centres(reps: DataFrame, sample: int = SAMPLE, shard: int = SHARD, most: int = MAX_CLUSTERS) -> dict[int, np.ndarray]:
-    """Cluster centres by dimension, from at most ``sample`` vectors of it in an order by hash of the id."""
+def fit_centres(reps: DataFrame, values: int = BLOCK_VALUES, sample: int = SAMPLE, most: int = MAX_CLUSTERS) -> dict[int, np.ndarray]:
+    """Cluster centres by dimension, one for each block of vectors, from at most ``sample`` vectors of it in an order by hash of the id."""
     out = {}
     for row in reps.groupBy("dim").agg(F.count("*").alias("n")).collect():  # a row for each dimension in use
         n = row["n"]
@@ -218,164 +122,133 @@ def fit_centres(reps: DataFrame, sample: int = SAMPLE, shard: int = SHARD, most:
         if n > sample:
             share = share.where(F.pmod(F.xxhash64("rep"), F.lit(n)) < int(sample * 0.9))
         rows = [r["vec"] for r in share.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("vec").collect()]
-        k = min(max(1, math.ceil(n / shard)), most, len(rows))
+        k = min(max(1, math.ceil(n / block_rows(row["dim"], values))), most, len(rows))
         out[row["dim"]] = centres(unit(np.array(rows)), k)
     return out
 
 
-def _routed(reps: DataFrame, by_dim: dict[int, np.ndarray], p: Search) -> DataFrame:
-    """rep, m, vec, dim, and for each cluster: does rep belong there (member), search there (asks), where it belongs
-    at all (homes), what it searches before (earlier).  The centres are at most MAX_CLUSTERS rows of each dimension."""
+def _by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """The rows of each dimension in a batch, that dimension, and their unit vectors."""
+    for batch in batches:
+        dims = np.array(batch.column("dim"))
+        for dim in np.unique(dims):
+            part = batch.filter(pa.array(dims == dim))
+            yield part, int(dim), unit(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def _assigned(reps: DataFrame, by_dim: dict[int, np.ndarray]) -> DataFrame:
+    """rep, m, vec, dim, and each one's cluster and distance from its centre.  The centres are at most MAX_CLUSTERS rows of each dimension."""
     shared = reps.sparkSession.sparkContext.broadcast(by_dim)
     arrow_batches(reps.sparkSession, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = np.array(batch.column("dim"))
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = unit(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                order, asks = route(x, shared.value[int(dim)], p)
-                row, rank = np.nonzero(asks | (np.arange(order.shape[1]) < p.homes))
-                taken = part.take(pa.array(row))
-                ints = pa.list_(pa.int32())
-                data = [*taken.columns, pa.array(order[row, rank], pa.int32()), pa.array(rank < p.homes), pa.array(asks[row, rank])]
-                data += [pa.array(order[row, : p.homes].tolist(), ints)]
-                data += [pa.array([order[i, :j][asks[i, :j]].tolist() for i, j in zip(row, rank)], ints)]
-                yield pa.RecordBatch.from_arrays(data, [*part.schema.names, "cluster", "member", "asks", "homes", "earlier"])
-
-    return reps.select("rep", "m", "vec", "dim").mapInArrow(
-        run,
-        "rep bigint, m bigint, vec array<double>, dim int, cluster int, member boolean, asks boolean, "
-        "homes array<int>, earlier array<int>",
-    )
+        for part, dim, x in _by_dim(batches):
+            s = x @ shared.value[dim].T
+            away = np.sqrt(np.maximum(2 - 2 * s.max(1), 0))
+            data = [*part.columns, pa.array(s.argmax(1), pa.int32()), pa.array(away)]
+            yield pa.RecordBatch.from_arrays(data, [*part.schema.names, "cluster", "away"])
+
+    kind = reps.schema["vec"].dataType.simpleString()
+    return reps.select("rep", "m", "vec", "dim").mapInArrow(run, f"rep bigint, m bigint, vec {kind}, dim int, cluster int, away double")
 
 
-KEY = ["dim", "cluster", "sub"]
+def _routed(assigned: DataFrame, by_dim: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """rep, m, vec, dim, cluster and goes: its own cluster and those after it that are within reach."""
+    spark = assigned.sparkSession
+    bounds = {dim: (np.full(len(c), np.inf), np.full(len(c), -np.inf)) for dim, c in by_dim.items()}
+    for row in assigned.groupBy("dim", "cluster").agg(F.min("away").alias("inner"), F.max("away").alias("outer")).collect():
+        inner, outer = bounds[row["dim"]]  # a row for each cluster
+        inner[row["cluster"]], outer[row["cluster"]] = row["inner"], row["outer"]
+    shared = spark.sparkContext.broadcast((by_dim, bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres_, bounds_ = shared.value
+        for part, dim, x in _by_dim(batches):
+            own = part.column("cluster").to_numpy()
+            c = centres_[dim]
+            number = np.arange(len(c))
+            goes = within_reach(x, own, c, *bounds_[dim], threshold) & (number > own[:, None]) | (number == own[:, None])
+            data = [*part.columns, pa.array([np.flatnonzero(g) for g in goes], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(data, [*part.schema.names, "goes"])
+
+    kind = assigned.schema["vec"].dataType.simpleString()
+    kept = assigned.select("rep", "m", "vec", "dim", "cluster")
+    return kept.mapInArrow(run, f"rep bigint, m bigint, vec {kind}, dim int, cluster int, goes array<int>")
+
+
+KEY = ["dim", "cluster", "sub", "block"]
 
 
 def _matrix(vecs: pd.Series) -> np.ndarray:
     return unit(np.stack(vecs.to_numpy()))
 
 
-def graph_links(reps: DataFrame, p: Search = Search(), by_dim: dict[int, np.ndarray] | None = None) -> DataFrame:
+def links(reps: DataFrame, threshold: float = 0.95, by_dim: dict[int, np.ndarray] | None = None, values: int = BLOCK_VALUES) -> DataFrame:
     """From settled representatives: rows (rep, links, other).
 
-    With ``other`` null, links counts the rows of the classes that a block of
-    targets adds to rep's links (summed over blocks, all of them).  Else rep
-    and other are linked; those rows connect all that is linked.
+    With ``other`` null, links counts the rows of the classes that one
+    comparison adds to rep's links (summed over comparisons, all of them).
+    Else rep and other are linked; those rows connect all that is linked.
     """
-    spark = reps.sparkSession
-    routed = settle(_routed(reps, by_dim or fit_centres(reps), p))
-    members = F.col("member")
-    sizes = (
-        routed.groupBy("dim", "cluster")
-        .agg(F.ceil(F.count_if(members) / BLOCK).cast("int").alias("subs"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("blocks"))
-        .withColumn("subs", F.greatest("subs", F.lit(1)))
-    )
-    sizes = F.broadcast(settle(sizes))  # a row for each cluster
-    placed = routed.join(sizes, ["dim", "cluster"])
-    targets = settle(
-        placed.where(members)
-        .withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
-        .drop("subs", "member", "asks", "earlier")
-    )
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["rep"].to_numpy()
-        return pd.DataFrame({"rep": ids, "near": [ids[a] for a in build_graph(_matrix(pdf["vec"]), p)]})
-
-    lists = (
-        targets.groupBy(*KEY).applyInPandas(build, "rep bigint, near array<bigint>")
-        .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most ``homes`` lists each
-    )
-    blocks = F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1))
-    nodes = targets.join(lists, "rep").withColumn("block", blocks).drop("blocks")
+    by_dim = by_dim or fit_centres(reps, values)
+    routed = settle(_routed(settle(_assigned(reps, by_dim)), by_dim, threshold))
+    rows = F.greatest(F.lit(1), F.floor(F.lit(values) / F.col("dim")))
+    asked = routed.select("dim", F.explode("goes").alias("cluster")).groupBy("dim", "cluster").agg(F.ceil(F.count("*") / rows).cast("int").alias("blocks"))
+    held = routed.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / rows).cast("int").alias("subs"))
+    sizes = settle(held.join(asked, ["dim", "cluster"]))  # a row for each cluster
+    own = F.broadcast(sizes)
+    placed = routed.join(own, ["dim", "cluster"]).withColumn("sub", F.pmod(F.xxhash64("rep"), "subs").cast("int"))
+    targets = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEY, "rep", "m", "vec")
+    first = F.when(F.col("cluster") == F.col("home"), F.col("own_sub")).otherwise(0)
     queries = (
-        placed.where("asks")
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), F.greatest(F.col("blocks"), F.lit(1))).cast("int"))
-        .select(*[F.col(c).alias(c) for c in (*KEY, "block", "rep", "vec", "earlier")])
+        placed.select("dim", "rep", "m", "vec", F.col("cluster").alias("home"), F.col("sub").alias("own_sub"), F.explode("goes").alias("cluster"))
+        .join(own, ["dim", "cluster"])
+        .withColumn("sub", F.explode(F.sequence(first, F.col("subs") - 1)))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), "blocks").cast("int"))
+        .select(*[F.col(c).alias(c) for c in (*KEY, "rep", "m", "vec")], ((F.col("cluster") == F.col("home")) & (F.col("sub") == F.col("own_sub"))).alias("inside"))
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        schema = {"rep": "int64", "links": "int64", "other": "Int64"}
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})
         if not len(left) or not len(right):
-            return pd.DataFrame({k: pd.Series(dtype=v) for k, v in schema.items()})
-        left = left.sort_values("rep")
-        ids, x = left["rep"].to_numpy(), _matrix(left["vec"])
-        at = {v: i for i, v in enumerate(ids)}
-        graph = [[at[v] for v in near if v in at] for near in left["near"]]
-        padded = np.full((len(ids), max(1, max(map(len, graph)))), -1, np.int64)
-        for i, own in enumerate(graph):
-            padded[i, : len(own)] = own
-        m, homes = left["m"].to_numpy(), np.stack(left["homes"].to_numpy())
-        before = [list(e) for e in right["earlier"]]
-        own_ids, xs, out = right["rep"].to_numpy(), _matrix(right["vec"]), []
-        for k in range(0, len(own_ids), 256):
-            mine = own_ids[k : k + 256]
-            found = greedy_range(xs[k : k + 256], x, padded, p)
-            found[mine[:, None] == ids] = False
-            for i, earlier in enumerate(before[k : k + 256]):
-                found[i] &= ~np.isin(homes, earlier).any(1)
-            out.append(pd.DataFrame({"rep": mine, "links": found @ m, "other": None}))
-            links = forest(found, mine, ids)
-            if links:
-                out.append(pd.DataFrame({"rep": [a for a, _ in links], "links": 0, "other": [b for _, b in links]}))
-        return pd.concat(out).astype(schema)
-
-    key = [*KEY, "block"]
-    return nodes.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(search, "rep bigint, links bigint, other bigint")
-
-
-def audit(reps: DataFrame, counts: DataFrame, p: Search, size: int = 200) -> float:
-    """Share of the links of at most ``size`` sampled representatives, counted by brute force, that ``counts`` has."""
-    spark = reps.sparkSession
-    sample = [tuple(r) for r in reps.orderBy(F.xxhash64(F.lit(3), "rep"), "rep").limit(size).select("rep", "dim", "vec").collect()]
-    shared = spark.sparkContext.broadcast(sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims, ids = np.array(batch.column("dim")), np.array(batch.column("rep"))
-            for dim in np.unique(dims):
-                asked = [(r, v) for r, d, v in shared.value if d == dim]
-                if not asked:
-                    continue
-                own = dims == dim
-                part = batch.filter(pa.array(own))
-                x = unit(part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                q = np.array([r for r, _ in asked])
-                linked = (unit(np.array([v for _, v in asked])) @ x.T >= p.threshold) & (q[:, None] != ids[own])
-                data = [pa.array(q, pa.int64()), pa.array(linked @ np.array(part.column("m")), pa.int64())]
-                yield pa.RecordBatch.from_arrays(data, ["rep", "true"])
-
-    true = reps.select("rep", "m", "vec", "dim").mapInArrow(run, "rep bigint, true bigint").groupBy("rep").agg(F.sum("true").alias("true"))
-    row = true.join(counts, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
-
-
-def near_vectors(vectors: DataFrame, p: Search = Search(), id_col: str = "vec_id", vector: str = "embedding", least_recall: float = 0.99) -> DataFrame:
+            return out
+        ids, x, m = left["rep"].to_numpy(), _matrix(left["vec"]), left["m"].to_numpy()
+        asking, xs, ms, inside = right["rep"].to_numpy(), _matrix(right["vec"]), right["m"].to_numpy(), right["inside"].to_numpy()
+        forest = Forest(asking, ids)
+        of_asking, of_target = np.zeros(len(asking), np.int64), np.zeros(len(ids), np.int64)
+        for k in range(0, len(asking), 256):
+            found = xs[k : k + 256] @ x.T >= threshold
+            for i in np.flatnonzero(found.any(1)):
+                t = np.flatnonzero(found[i])
+                if inside[k + i]:  # both sides hold this pair twice: once is enough
+                    t = t[ids[t] > asking[k + i]]
+                of_asking[k + i] = m[t].sum()
+                of_target[t] += ms[k + i]
+                forest.add(k + i, t)
+        parts = [pd.DataFrame({"rep": i[n > 0], "links": n[n > 0], "other": None}) for i, n in ((asking, of_asking), (ids, of_target))]
+        parts.append(pd.DataFrame({"rep": [a for a, _ in forest.links], "links": 0, "other": [b for _, b in forest.links]}))
+        return pd.concat([out, *(part.astype(out.dtypes) for part in parts)])
+
+    return targets.groupBy(*KEY).cogroup(queries.groupBy(*KEY)).applyInPandas(compare, "rep bigint, links bigint, other bigint")
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", values: int = BLOCK_VALUES) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link
     with nothing, and vectors of different lengths do not link.  Equal vectors
-    count each other.  Routes and beam are doubled until the audited recall is
-    at least ``least_recall``, at most to all clusters and whole shards, where
-    the search is exhaustive.  An empty table gives no rows; other columns are not read.
+    count each other.  All pairs with a cosine of at least ``threshold`` are
+    found.  An empty table gives no rows; other columns are not read.
     """
     reps = settle(representatives(vectors, id_col, vector))
-    by_dim = fit_centres(reps)
-    while by_dim:
-        found = settle(graph_links(reps, p, by_dim))
-        counts = found.where(F.col("other").isNull()).groupBy("rep").agg(F.sum("links").alias("links"))
-        if audit(reps, counts, p) >= least_recall or p.beam > 2 * BLOCK and p.routes >= max(map(len, by_dim.values())):
-            break
-        p = replace(p, beam=2 * p.beam, routes=2 * p.routes)
-    rows = vectors.select(F.col(id_col), F.col(vector).cast("array<double>").alias("_vec"))
+    by_dim = fit_centres(reps, values)
+    rows = vectors.select(F.col(id_col), F.col(vector).cast(component_kind(vectors, vector)).alias("_vec"))
     rows = rows.withColumn("_vec", F.when(usable("_vec"), F.col("_vec")))
     alone = [F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept")]
     if not by_dim:
         return rows.select(id_col, *alone)
+    found = settle(links(reps, threshold, by_dim, values))
+    counts = found.where(F.col("other").isNull()).groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     classes = (
         reps.join(counts, "rep", "left")
