@@ -183,6 +183,12 @@ def test_vectors_lose_no_pair(crowd, crowd_found):
         assert [out[i]["component_id"] for i in range(len(near))] == least
 
 
+def test_vectors_recall_of_each_linked_class(crowd, crowd_found):
+    true = crowd[1].sum(1) - 1
+    own = [i for i in np.flatnonzero(true) if not 8000 < i < 11000]  # one of the equal rows, and all others, with weight 1
+    assert np.mean([min(crowd_found[i]["n_links"], true[i]) / true[i] for i in own]) == 1
+
+
 def test_wordpiece(spark, odd):
     pieces = set(wordpiece.load_pieces(queries.vocabulary_path()))
 
