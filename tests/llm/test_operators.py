@@ -189,6 +189,10 @@ def test_vectors_recall_of_each_linked_class(crowd, crowd_found):
     assert np.mean([min(crowd_found[i]["n_links"], true[i]) / true[i] for i in own]) == 1
 
 
+def test_vectors_count_a_link_at_both_ends(crowd_found):
+    assert all(crowd_found[i]["n_links"] == crowd_found[i + 4000]["n_links"] == 1 for i in range(4000))
+
+
 def test_wordpiece(spark, odd):
     pieces = set(wordpiece.load_pieces(queries.vocabulary_path()))
 
