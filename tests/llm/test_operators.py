@@ -227,6 +227,17 @@ def test_licences(spark, docs, odd):
     assert licences.scan_licences(odd).count() == len(ODD) and licences.scan_licences(odd.limit(0)).count() == 0
 
 
+def test_licences_do_not_crowd_each_other_out():
+    notices = {label: notice.split() for label, (notice, _) in licences.TEMPLATES.items()}
+    for rare in notices:
+        for common in notices.keys() - {rare}:
+            idf = {w: 9.0 if w in notices[rare] else 1.0 for w in licences.index_words(licences.TEMPLATES)}
+            text = [*notices[rare], "and", "also", *notices[common]]
+            places = [{"word": w, "at": i} for i, w in enumerate(text) if w in idf]
+            found = licences.Matcher(idf, licences.TEMPLATES).match(places)
+            assert {rare, common} <= set(found) and min(found[rare], found[common]) == pytest.approx(1)
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(2)
     hist = {int(k): int(n) for k, n in zip(rng.integers(1, 101, 60), rng.integers(1, 50, 60))}

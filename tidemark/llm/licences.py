@@ -1,16 +1,17 @@
 """Licence scan with a positional index of rare tokens.
 
 A pass over all texts finds the plain phrases and the places of licence words.
-Document frequencies of those words over the whole corpus give their IDF.  A
-file's words of highest IDF are looked up in the templates' postings; postings
-that agree on the relative position vote for where a template starts, and a
-template is confirmed only if its mandatory key phrases stand there.
+Document frequencies of those words over the whole corpus give their IDF.  The
+mandatory key phrases of each template are sought from their word of highest
+IDF; where all of them stand in a file, the places of all the template's words
+vote for where it starts, and it is confirmed only if the phrases stand there.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -131,8 +132,8 @@ def licence_places(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
 class Matcher:
     """Finds templates in a file's licence words."""
 
-    def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, list[str]]], rare: int = 12, slack: int = 3):
-        self.idf, self.index, self.rare, self.slack = idf, index_words(templates), rare, slack
+    def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, list[str]]], slack: int = 3):
+        self.idf, self.index, self.slack = idf, index_words(templates), slack
         self.words = defaultdict(dict)
         for w, postings in self.index.items():
             for label, at in postings:
@@ -143,28 +144,43 @@ class Matcher:
         }
 
     def match(self, places: list[dict]) -> dict[str, float]:
-        """label -> the IDF-weighted share of its notice that stands in place, for templates whose key phrases all do."""
+        """label -> the IDF-weighted share of its notice that stands in place, for templates whose key phrases all do.
+
+        Every template whose key phrases all stand somewhere is looked up by
+        all its words that the file has; the others cannot be confirmed.
+        """
         at = defaultdict(list)
         for p in places:
             at[p["word"]].append(p["at"])
         there = {(w, i) for w, own in at.items() for i in own}
-        rarest = sorted(at, key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rare]
-        votes = Counter((label, i - k) for w in rarest for label, k in self.index[w] for i in at[w])
         found: dict[str, float] = {}
-        for (label, start), n in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
-            if n < 2:
-                break
-            notice = self.words[label]
-            near = range(start - self.slack, start + max(notice) + self.slack + 1)
-            if not all(any(all((w, i + k) in there for k, w in phrase) for i in near) for phrase in self.phrases[label]):
-                continue
-            total = sum(self.idf.get(w, 0.0) for w in notice.values())
-            has = sum(
-                self.idf.get(w, 0.0)
-                for k, w in notice.items()
-                if any((w, start + k + d) in there for d in range(-self.slack, self.slack + 1))
-            )
-            found[label] = max(found.get(label, 0.0), has / total if total else 0.0)
+        for label, notice in self.words.items():
+            stands = []  # where each key phrase starts
+            for phrase in self.phrases[label]:
+                if not phrase:
+                    continue
+                if not all(w in at for _, w in phrase):
+                    break
+                k, rarest = max(phrase, key=lambda x: self.idf.get(x[1], 0.0))
+                starts = sorted(i - k for i in at[rarest] if all((w, i - k + d) in there for d, w in phrase))
+                if not starts:
+                    break
+                stands.append(starts)
+            else:
+                votes = Counter(i - k for k, w in notice.items() for i in at.get(w, ()))
+                total = sum(self.idf.get(w, 0.0) for w in notice.values())
+                length = max(notice) + self.slack
+                for start, n in votes.items():
+                    if n < 2 or not all(
+                        (j := bisect_left(own, start - self.slack)) < len(own) and own[j] <= start + length for own in stands
+                    ):
+                        continue
+                    has = sum(
+                        self.idf.get(w, 0.0)
+                        for k, w in notice.items()
+                        if any((w, start + k + d) in there for d in range(-self.slack, self.slack + 1))
+                    )
+                    found[label] = max(found.get(label, 0.0), has / total if total else 0.0)
         return found
 
 
