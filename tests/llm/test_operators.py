@@ -247,6 +247,23 @@ def test_shortest_pack_first():
     assert packing.shortest_pack_first({}) == []
 
 
+def test_packing_short_pieces(spark):
+    for hist in ({20: 10_000}, {3: 50_000}, {1: 30_000, 2: 9, 4000: 5}, {7: 5000, 13: 5000, 1: 5000}, {4096: 2, 1: 1}):
+        patterns = packing.shortest_pack_first(hist)
+        assert {k: sum(n * p.count(k) for n, p in patterns) for k in hist} == hist
+        assert sum(n for n, _ in patterns) == -(-sum(k * n for k, n in hist.items()) // 4096) + (20 in hist)  # 204 x 20 leave 16
+    texts = spark.range(9000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'a few short words' END AS text")
+    seats = {}
+    for r in packing.pack_documents(texts, queries.vocabulary_path(), digest_only=True).collect():
+        seats.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    ends = {s: sum(n for _, n in own) for s, own in seats.items()}
+    assert sum(map(len, seats.values())) == 9000 and sorted(seats) == list(range(len(seats)))
+    for own in seats.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+    assert len(ends) == -(-sum(ends.values()) // 4096)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -25,7 +25,6 @@ from .common import arrow_batches, settle
 
 CAPACITY = 4096
 END_ID = 2
-MAX_DEPTH = 64
 CACHE_ENTRIES = 400_000
 #: These are white space to Python's str.split but not to the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -137,18 +136,35 @@ def worker_encoder(spec: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> list[tuple[int, tuple[int, ...]]]:
-    """(count, lengths) patterns that hold each length as often as ``histogram`` says.
+Pattern = tuple[tuple[int, int], ...]
+
+
+def _stacked(pattern: Pattern, length: int, k: int) -> Pattern:
+    """``pattern``, a run-length list of (length, how many), with ``k`` more pieces of ``length``."""
+    if pattern and pattern[-1][0] == length:
+        return (*pattern[:-1], (length, pattern[-1][1] + k))
+    return (*pattern, (length, k))
+
+
+def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
+    """(count, lengths) patterns that hold each length as often as ``histogram`` says; see :func:`pack_runs`."""
+    return [(count, tuple(length for length, k in runs for _ in range(k))) for count, runs in pack_runs(histogram, capacity)]
+
+
+def pack_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, Pattern]]:
+    """(count, runs of (length, how many)) patterns that hold each length as often as ``histogram`` says.
 
     Lengths go longest first into the pattern with the most room, while it has
-    room and fewer than ``max_depth`` pieces; else they open a pattern.
+    room; else they open a pattern, on which the same length is stacked until
+    it is full.  Each length splits a pattern a few times at most, so there
+    are some three patterns a distinct length at most, however many pieces.
     """
-    open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
+    open_packs: dict[int, list[tuple[int, Pattern]]] = defaultdict(list)
     fills: list[int] = []
-    done: list[tuple[int, tuple[int, ...]]] = []
+    done: list[tuple[int, Pattern]] = []
 
-    def put(count: int, pattern: tuple[int, ...], fill: int) -> None:
-        if fill == capacity or len(pattern) == max_depth:
+    def put(count: int, pattern: Pattern, fill: int) -> None:
+        if fill == capacity:
             done.append((count, pattern))
             return
         if not open_packs[fill]:
@@ -159,31 +175,40 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY, max
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} is not within 1 and {capacity}")
         need = histogram[length]
+        room = sum((capacity - fill) // length * count for fill in fills for count, _ in open_packs[fill])
         while need:
             if not fills or fills[0] + length > capacity:
-                put(need, (length,), length)
+                most = capacity // length
+                for count, k in ((need // most, most), (1, need % most)):
+                    if count and k:
+                        put(count, ((length, k),), k * length)
                 break
             fill = fills[0]
             count, pattern = open_packs[fill].pop()
             if not open_packs[fill]:
                 heapq.heappop(fills)
+            k = (capacity - fill) // length
+            if need < room and fills:  # not all are filled: stack until another one has more room
+                k = min(k, max(1, -((fill - fills[0]) // length)))
+            k = max(1, min(k, need // count))
             used = min(count, need)
             if used < count:
                 put(count - used, pattern, fill)
-            put(used, (*pattern, length), fill + length)
-            need -= used
+            put(used, _stacked(pattern, length, k), fill + k * length)
+            need -= used * k
+            room -= used * k
     return done + [x for packs in open_packs.values() for x in packs]
 
 
-def slot_table(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): which ranks of a length sit where."""
+def slot_table(patterns: list[tuple[int, Pattern]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, pieces a sequence, first sequence, offset): which ranks of a length sit where."""
     slots, taken, sequence = [], defaultdict(int), 0
     for count, pattern in sorted(patterns, key=lambda x: (x[1], x[0]), reverse=True):
         offset = 0
-        for length in pattern:
-            slots.append((length, taken[length], taken[length] + count, sequence, offset))
-            taken[length] += count
-            offset += length
+        for length, k in pattern:
+            slots.append((length, taken[length], taken[length] + k * count, k, sequence, offset))
+            taken[length] += k * count
+            offset += k * length
         sequence += count
     return slots
 
@@ -208,7 +233,7 @@ def ranked(pieces: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, order: list[str] | None = None) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None = None) -> DataFrame:
     """``pieces`` (with a ``length``, 1 to ``capacity``) and their sequence_id and offset, gapless from 0.
 
     ``pieces`` is read twice: settle it first if it is costly.  No pieces give
@@ -217,15 +242,20 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPT
     spark = pieces.sparkSession
     order = order or [c for c in pieces.columns if c != "length"]
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = slot_table(shortest_pack_first(histogram, capacity, max_depth))
-    schema = "length bigint, _from bigint, _to bigint, _sequence bigint, offset bigint"
-    # At most capacity x max_depth slots, a bound of the parameters alone.
+    slots = slot_table(pack_runs(histogram, capacity))
+    schema = "length bigint, _from bigint, _to bigint, _each bigint, _sequence bigint, _offset bigint"
+    # Some three patterns a length, each of distinct lengths that sum up to the capacity: a bound of the capacity alone.
     table = F.broadcast(spark.createDataFrame(slots, schema))
     inside = (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to"))
     r = ranked(pieces, order).alias("r")
+    ahead = F.col("rank") - F.col("_from")
     return (
         r.join(table.alias("s"), (F.col("r.length") == F.col("s.length")) & inside)
-        .select("r.*", (F.col("_sequence") + F.col("rank") - F.col("_from")).alias("sequence_id"), "s.offset")
+        .select(
+            "r.*",
+            (F.col("_sequence") + F.floor(ahead / F.col("_each"))).alias("sequence_id"),
+            (F.col("_offset") + ahead % F.col("_each") * F.col("r.length")).alias("offset"),
+        )
         .drop("rank")
     )
 
