@@ -1,11 +1,11 @@
 """Exact line dedup with per-document keep bitmaps (DataFrame functions only).
 
-Hashes of line keys are range-partitioned by (hash, document) and sorted
-within a partition by document and position.  Because the document belongs to
-the range key, a line that a third of all documents share is spread over many
-partitions.  Streaming the first occurrence of a key in each document gives
-its document count; the lines to drop come back as a sparse bitmap per
-document (one 64-line word per entry), never as text.
+Hashes of line keys are range-partitioned by (hash, document).  Because the
+document belongs to the range key, a line that a third of all documents share
+is spread over many partitions.  A hash aggregate there makes keys distinct by
+document (Spark drops the sort asked for before it), which gives the document
+count of a key; the lines to drop come back as a sparse bitmap per document
+(one 64-line word per entry), never as text.
 """
 
 from __future__ import annotations
