@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,73 +27,112 @@ from .common import arrow_batches, settle
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_ENTRIES = 400_000
-#: These are white space to Python's str.split but not to the tokenizer's pattern.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+CACHE_ENTRIES = 300_000
+#: Text that is encoded at once, so that a word is looked up once for all its places there.
+BATCH_BYTES = 16 << 20
+#: What the tokenizer takes for one word, on lower-cased text of the first 256 code points.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_RUN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
-def _plain(chunk: str) -> bool:
-    """A run of letters of the first 256 code points: one token run, whatever stands beside it."""
-    return chunk.isalpha() and max(chunk) <= "\xff"
+def _latin(text: str) -> bool:
+    """Only code points under 256, where normalization is lower case alone, one letter for one."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes, with a bounded cache by blank-separated chunk.
 
-    The tokenizer drops white space and none of its tokens crosses it, so the
-    ids of a text are those of its chunks in a row.
+    The tokenizer drops white space, lower-cases, and none of its tokens
+    crosses the border of a word, so the ids of a text are those of its chunks
+    in a row, and those of a chunk are those of its words.  A full cache
+    becomes the elder one, from which entries in use come back.
     """
 
     def __init__(self, spec: str, cache_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_str(spec), {}, cache_entries
+        self.tokenizer, self.cache, self.elder, self.most = Tokenizer.from_str(spec), {}, {}, cache_entries
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _fresh(self, chunks: list[str]) -> None:
-        cache, ends = self.cache, {}
-        runs, others = {}, {}  # letter runs that normalization leaves letter runs; all else
-        for c in chunks:
-            # A letter run and the stop after it are separate tokens: most chunks with one share their word's ids.
-            if c[-1] in ".,;:" and _plain(c[:-1]):
-                ends[c] = c[:-1]
-                others[c[-1]] = None
-            (runs if _plain(w := ends.get(c, c)) else others)[w] = None
-        words = [w for w in runs if w not in cache]
-        for at in range(0, len(words), 200):
-            some = words[at : at + 200]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.word_end[ids]) + 1  # one token that ends a word for each run
+    def _each(self, texts: list[str]) -> None:
+        for c, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.cache[c] = np.array(e.ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Words of Latin chunks, many in one string: each ends with one token that ends a word."""
+        cache = self.cache
+        groups = [words[at : at + 100] for at in range(0, len(words), 100)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.word_end[ids]) + 1
+            if len(stops) != len(some):
+                self._each(some)
+                continue
             body, from_ = ids.tobytes(), 0
-            for w, to in zip(some, (4 * stops).tolist(), strict=True):
+            for w, to in zip(some, (4 * stops).tolist()):
                 cache[w] = body[from_:to]
                 from_ = to
-        others = [c for c in others if c not in cache]
-        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            cache[c] = np.array(e.ids, "<u4").tobytes()
-        for c, w in ends.items():
-            cache[c] = cache[w] + cache[c[-1]]
-
-    def ids(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            return b"".join(i.to_bytes(4, "little") for i in e.ids)
-        chunks = text.split()
+
+    def _fresh(self, chunks: list[str]) -> None:
+        cache, elder = self.cache, self.elder
+        made, words, others = {}, {}, []
+        for c in chunks:
+            if c in elder:
+                cache[c] = elder[c]
+            elif c.isascii() and c.isalpha():
+                words[c] = None
+            elif not _latin(c):
+                others.append(c)
+            else:
+                own = made[c] = _RUN.findall(c)
+                for w in own:
+                    if w not in cache and w not in words:
+                        if w in elder:
+                            cache[w] = elder[w]
+                        else:
+                            words[w] = None
+        self._words(list(words))
+        self._each(others)
+        for c, own in made.items():
+            if len(own) != 1 or own[0] != c:
+                cache[c] = b"".join([cache[w] for w in own])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null one has none."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        names = pc.if_else(pc.string_is_ascii(coded.dictionary), pc.ascii_lower(coded.dictionary), coded.dictionary).to_numpy(False).tolist()
+        for k in pc.indices_nonzero(pc.invert(pc.string_is_ascii(coded.dictionary))).to_pylist():
+            if _latin(names[k]):
+                names[k] = names[k].lower()
+        if len(self.cache) > self.most:
+            self.elder, self.cache = self.cache, {}
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(cache) > self.most:
-            cache.clear()
-        self._fresh([c for c in dict.fromkeys(chunks) if c not in cache])
-        return b"".join(map(cache.__getitem__, chunks))
+        self._fresh([c for c in dict.fromkeys(names) if c not in cache])
+        parts = list(map(cache.__getitem__, names))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start, ids = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
+        which = coded.indices.to_numpy()
+        size, start = size[which], start[which]
+        ends = np.cumsum(size)
+        every = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)]
+        cuts = np.concatenate(([0], ends))[chunks.offsets.to_numpy()]
+        return [every[a:b].tobytes() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
 
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:
+    """Pieces of every document: id, start, length, doc_tokens, ids_crc32 (long) and ids (binary, 4 bytes an id).
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of every document: id, start, length, doc_tokens (long) and ids (binary, 4 bytes an id).
+    ``digest_only`` leaves the ids in the task that made them.
 
     A document is the ids of its whole text and ``end_id``; a null or empty
     text is ``end_id`` alone.  Each piece but the last has ``capacity`` ids.
@@ -103,27 +144,43 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     kind, step, end = docs.schema[id_col].dataType.simpleString(), 4 * capacity, end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here has cycles, and walking the cache takes a fifth of the time
         encoder = worker_encoder(shared.value)
-        for batch in batches:
-            rows, start, total, ids = [], [], [], []
-            for k, text_ in enumerate(batch.column(1).to_pylist()):
-                body = encoder.ids(text_ or "") + end
+        for table in gathered(batches, BATCH_BYTES):
+            rows, start, total, ids, crc = [], [], [], [], []
+            for k, body in enumerate(encoder.encode(table.column(1).combine_chunks())):
+                body += end
                 for at in range(0, len(body), step):
                     rows.append(k)
                     start.append(at // 4)
                     total.append(len(body) // 4)
                     ids.append(body[at : at + step])
-            out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64())]
-            out += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, [id_col, "start", "length", "doc_tokens", "ids"])
+                    crc.append(zlib.crc32(ids[-1]))
+            numbers = (start, [len(x) // 4 for x in ids], total, crc)
+            out = [table.column(0).take(pa.array(rows, pa.int64())).combine_chunks(), *[pa.array(x, pa.int64()) for x in numbers]]
+            yield pa.RecordBatch.from_arrays(out if digest_only else [*out, pa.array(ids, pa.binary())], names)
 
-    schema = f"`{id_col}` {kind}, start bigint, length bigint, doc_tokens bigint, ids binary"
+    names = [id_col, "start", "length", "doc_tokens", "ids_crc32", *([] if digest_only else ["ids"])]
+    schema = f"`{id_col}` {kind}, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ("" if digest_only else ", ids binary")
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -265,6 +322,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     ``digest_only`` leaves the ids out, which then never reach a shuffle.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text).withColumn("ids_crc32", F.crc32("ids"))
-    pieces = settle(pieces.drop("ids") if digest_only else pieces)
+    pieces = settle(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text, digest_only))
     return place(pieces, capacity, order=[id_col, "start", "ids_crc32"])
