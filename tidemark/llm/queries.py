@@ -46,10 +46,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     made = chat.format_chats(rows.unionByName(probe))
-    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.loss_texts(F.col("formatted"), F.col("loss_runs"))
     told = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    read = read.select("conv_id", "formatted", F.col("turns"), F.array_join(told, "").alias("told"), F.array_join(loss, "").alias("loss"))
+    read = made.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss"))
+    read = read.select("conv_id", "formatted", "turns", F.array_join(told, "").alias("told"), "loss")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
