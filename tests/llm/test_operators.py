@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, components, licences, lines, mixing, packing, quality, queries, simhash, toxicity, vectors, wordpiece
+from tidemark.llm import chat, components, licences, lines, mixing, packing, quality, queries, simhash, toxicity, wordpiece
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "Same line\nsame LINE \n\nother"), (None, "no id at all"), (6, "word " * 3000)]
@@ -132,67 +132,6 @@ def test_simhash_pairs_of_every_distance(spark):
     assert got == {(a, b) for a in own for b in own if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
 
 
-def test_vectors(spark):
-    out = {r["vec_id"]: r for r in queries.op5_near_vectors(spark, SF).collect()}
-    rows = sorted(spark.read.parquet(f"{SF}/embeddings.parquet").collect(), key=lambda r: r["vec_id"])
-    x = np.array([r["embedding"] for r in rows], float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = x @ x.T >= 0.95
-    label = brute_components(len(rows), lambda i, j: near[i, j])
-    for i, r in enumerate(rows):
-        assert out[r["vec_id"]]["n_links"] == near[i].sum() - 1
-        assert out[r["vec_id"]]["component_id"] == rows[label[i]]["vec_id"]
-
-
-def test_vectors_odd(spark):
-    rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, float("inf")]), (6, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0]), (10, [])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
-    assert {k for k, v in out.items() if v == (0, k, True)} == {1, 2, 3, 4, 5, 9, 10}
-    assert out[6] == (2, 6, True) and out[7] == (2, 6, False) and out[8] == (2, 6, False)
-    assert vectors.near_vectors(df.limit(0)).count() == 0
-
-
-@pytest.fixture(scope="module")
-def crowd(spark):
-    """4000 pairs in all directions, and 300 near copies of a vector that 3000 rows share; what links with what."""
-    rng = np.random.default_rng(5)
-    a, b = rng.normal(size=(2, 4300, 64))
-    a[4000:] = a[4000]
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
-    b /= np.linalg.norm(b, axis=1)[:, None]
-    c = np.where(np.arange(4300) < 4000, 0.951, 0.98)[:, None]
-    copies = a * c + b * np.sqrt(1 - c**2)
-    x = np.concatenate((a[:4000], copies[:4000], np.repeat(a[4000:4001], 3000, 0), copies[4000:]))
-    df = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id bigint, embedding array<double>").repartition(4)
-    return df, np.concatenate([x[i : i + 1000] @ x.T >= 0.95 for i in range(0, len(x), 1000)])
-
-
-@pytest.fixture(scope="module")
-def crowd_found(crowd):
-    return {r["vec_id"]: r for r in vectors.near_vectors(crowd[0]).collect()}
-
-
-def test_vectors_lose_no_pair(crowd, crowd_found):
-    df, near = crowd
-    least = np.where(np.arange(len(near)) < 8000, np.arange(len(near)) % 4000, 8000).tolist()
-    cut = {r["vec_id"]: r for r in vectors.near_vectors(df, values=64 * 500).collect()}  # many clusters, some in pieces
-    for out in (crowd_found, cut):
-        assert [out[i]["n_links"] for i in range(len(near))] == (near.sum(1) - 1).tolist()
-        assert [out[i]["component_id"] for i in range(len(near))] == least
-
-
-def test_vectors_recall_of_each_linked_class(crowd, crowd_found):
-    true = crowd[1].sum(1) - 1
-    own = [i for i in np.flatnonzero(true) if not 8000 < i < 11000]  # one of the equal rows, and all others, with weight 1
-    assert np.mean([min(crowd_found[i]["n_links"], true[i]) / true[i] for i in own]) == 1
-
-
-def test_vectors_count_a_link_at_both_ends(crowd_found):
-    assert all(crowd_found[i]["n_links"] == crowd_found[i + 4000]["n_links"] == 1 for i in range(4000))
-
-
 def test_wordpiece(spark, odd):
     pieces = set(wordpiece.load_pieces(queries.vocabulary_path()))
 
