@@ -5,7 +5,8 @@ centres, the first of which is its home; centres grow with the number of
 classes.  Every shard gets a robust-pruned graph of its own, and the adjacency
 lists that a class has from its shards are united.  A class then asks its home
 and the other nearest clusters that can hold a partner: greedy search over the
-united lists from the cluster's medoids, then expansion of everything in range.
+united lists from the cluster's medoids, and from the class itself where it
+lies there, then expansion of everything in range.
 What is found is verified in double precision and counted once, at both ends.
 
 Recall is audited against brute force on classes that have links; below the
@@ -43,8 +44,8 @@ SINGLE_SLACK = 1e-4
 class Search:
     """How wide to search: clusters asked, places in the beam, range beyond the threshold that is expanded; or all of it."""
 
-    routes: int = 4
-    beam: int = 16
+    routes: int = 3
+    beam: int = 6
     margin: float = 0.05
     everything: bool = False
 
@@ -93,11 +94,13 @@ def within_reach(x: np.ndarray, own: np.ndarray, c: np.ndarray, inner: np.ndarra
 
 
 def pruned_graph(x: np.ndarray, degree: int = 16, pool: int = 48, alpha: float = 1.2, far: int = 8) -> np.ndarray:
-    """Neighbours of each row (-1: none): at most ``degree`` by robust pruning, and as many that chose the row.
+    """Neighbours of each row (-1: none), 3 x ``degree`` at most: by robust pruning, those that chose the row, and a tree's.
 
     Candidates are the ``pool`` nearest rows and ``far`` arbitrary ones.  A
     candidate is passed over if one already kept is nearer to it, by the
-    factor ``alpha``, than the row itself.
+    factor ``alpha``, than the row itself.  Rows that are nearest to more rows
+    than they can list head a tree of these, so that each row can be reached
+    from the one nearest to it.
     """
     n = len(x)
     kept = np.full((n, degree), -1, np.int64)
@@ -123,14 +126,19 @@ def pruned_graph(x: np.ndarray, degree: int = 16, pool: int = 48, alpha: float =
             alive &= alpha * between[line, first] > away
             if not alive.any():
                 break
-    source, target = np.repeat(np.arange(n), degree), kept.ravel()
-    source, target = source[target >= 0], target[target >= 0]
+    source, target = np.tile(np.arange(n), degree), kept.T.ravel()  # nearest ones first
+    nearest = np.arange(n * degree) < n
+    source, target, nearest = source[target >= 0], target[target >= 0], nearest[target >= 0]
     order = np.argsort(target, kind="stable")
-    source, target = source[order], target[order]
-    rank = np.arange(len(target)) - np.searchsorted(target, target)
-    back = np.full((n, degree), -1, np.int64)
-    back[target[rank < degree], rank[rank < degree]] = source[rank < degree]
-    return np.concatenate((kept, back), axis=1)
+    source, target, nearest = source[order], target[order], nearest[order]
+    first = np.searchsorted(target, target)
+    rank = np.arange(len(target)) - first
+    back, tree = np.full((2, n, degree), -1, np.int64)
+    listed = rank < degree
+    back[target[listed], rank[listed]] = source[listed]
+    more = ~listed & nearest
+    tree[source[first[more] + rank[more] // degree - 1], rank[more] % degree] = source[more]
+    return np.concatenate((kept, back, tree), axis=1)
 
 
 def medoids(x: np.ndarray, k: int = 4) -> np.ndarray:
@@ -150,25 +158,29 @@ def _fresh(seen: np.ndarray, line: np.ndarray, nodes: np.ndarray) -> tuple[np.nd
     return line, nodes
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, threshold: float, how: Search, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def range_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, how: Search, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of what a greedy search finds with an inner product of at least ``threshold``.
 
-    Each query walks from the ``starts`` to the best places of its beam; then
-    the neighbours of every row within ``margin`` of the threshold are looked
-    at, and theirs in turn, until no more are in range.
+    Each query walks from the ``starts``, and from the row that it is itself
+    (``own``, -1: none), to the best places of its beam; then the neighbours of
+    every row within ``margin`` of the threshold are looked at, and theirs in
+    turn, until no more are in range.
     """
     beam, n = how.beam, len(q)
+    first = np.column_stack((np.tile(starts, (n, 1)), np.where(np.isin(own, starts), -1, own)))
+    at = np.maximum(first, 0)
+    reached = np.where(first >= 0, np.einsum("ij,ikj->ik", q, x[at]), -np.inf).astype(x.dtype)
     seen = np.zeros((n, len(x)), bool)
-    seen[:, starts] = True
+    line, col = np.nonzero(first >= 0)
+    seen[line, first[line, col]] = True
+    take = np.argsort(-reached, axis=1, kind="stable")[:, :beam]
     places = np.full((n, beam), -1, np.int64)
     scores = np.full((n, beam), -np.inf, x.dtype)
-    first = q @ x[starts].T
-    take = np.argsort(-first, axis=1)[:, :beam]
-    places[:, : take.shape[1]], scores[:, : take.shape[1]] = starts[take], np.take_along_axis(first, take, 1)
+    places[:, : take.shape[1]], scores[:, : take.shape[1]] = np.take_along_axis(first, take, 1), np.take_along_axis(reached, take, 1)
     opened = places < 0
     least = threshold - how.margin
-    line, col = np.nonzero(first >= least)
-    near = [(line, starts[col], first[line, col])]
+    line, col = np.nonzero(reached >= least)
+    near = [(line, first[line, col], reached[line, col])]
     active = np.arange(n)
     while len(active):
         waiting = np.where(opened[active], -np.inf, scores[active])
@@ -434,13 +446,15 @@ def links(assigned: DataFrame, near: DataFrame | None, sizes: DataFrame, by_dim:
         single, singles = x.astype(np.float32), xs.astype(np.float32)
         if not how.everything:
             graph, starts = _local_graph(ids, left["near"]), medoids(single)
+            there = np.minimum(np.searchsorted(ids, asking), len(ids) - 1)
+            own = np.where(ids[there] == asking, there, -1)
         forest = Forest(asking, ids)
         sums = [np.zeros(n, np.int64) for n in (len(asking), len(asking), len(ids), len(ids))]
         for at in range(0, len(asking), 256):
             if how.everything:
                 i, t = np.nonzero(xs[at : at + 256] @ x.T >= threshold)
             else:
-                i, t = range_search(single, graph, starts, singles[at : at + 256], threshold - SINGLE_SLACK, how)
+                i, t = range_search(single, graph, starts, singles[at : at + 256], own[at : at + 256], threshold - SINGLE_SLACK, how)
             i = i + at
             sure = counts[t] & (asking[i] != ids[t]) & (np.einsum("ij,ij->i", xs[i], x[t]) >= threshold)
             sure &= ~inside[i] | (ids[t] > asking[i])  # both sides hold such a pair twice: once is enough
