@@ -57,6 +57,20 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_RUN))
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has each key once and in ``weight`` how many of the ``total`` rows of ``left`` have it.
+
+    With P shuffle partitions fewer than P keys can hold over a P-th of all
+    rows each: those are broadcast.  The other keys are shuffled, each of them
+    a P-th of the rows at most.  Both tables are read twice: settle them first.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.coalesce(F.col(weight) * parts > total, F.lit(False))
+    few, many = F.broadcast(right.where(hot).drop(weight)), right.where(~hot).drop(weight)
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
+    return left.join(few, keys).unionByName(rest.join(many, keys))
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small, so that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

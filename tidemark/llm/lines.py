@@ -1,19 +1,20 @@
 """Exact line dedup with per-document keep bitmaps (DataFrame functions only).
 
-Hashes of line keys are range-partitioned by (hash, document).  Because the
-document belongs to the range key, a line that a third of all documents share
-is spread over many partitions.  A hash aggregate there makes keys distinct by
-document (Spark drops the sort asked for before it), which gives the document
-count of a key; the lines to drop come back as a sparse bitmap per document
+Hashes of line keys are range-partitioned by (hash, document) and sorted there
+by document and position, so that a pass over the sorted rows streams the first
+occurrence of each key in each document.  Because the document belongs to the
+range key, a line that a third of all documents share is spread over many
+partitions.  Counts of first occurrences, combined before their shuffle, tell
+the common keys; the lines to drop come back as a sparse bitmap per document
 (one 64-line word per entry), never as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, let, settle
+from .common import BLANKS, ascii_lower, let, settle, split_join
 
 
 def text_lines(text: Column) -> Column:
@@ -36,6 +37,18 @@ def keyed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
 
 
+def first_occurrences(lines: DataFrame, parts: int) -> DataFrame:
+    """The first row of each key in each document, with ``times``, how often the document has it.
+
+    The range partitioning serves the window, which sorts by document and
+    position and streams: there is no further shuffle.
+    """
+    group = Window.partitionBy("h1", "h2", "_id", "_row").orderBy("pos")
+    placed = lines.repartitionByRange(parts, "h1", "h2", "_id", "_row")
+    every = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return placed.withColumns({"k": F.row_number().over(group), "times": F.count("*").over(every)}).where("k = 1").drop("k")
+
+
 def line_bitmaps(
     docs: DataFrame, min_documents: int = 10, keep_first: bool = False, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -48,19 +61,14 @@ def line_bitmaps(
     """
     lines = settle(keyed_lines(docs, id_col, text))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = (
-        lines.repartitionByRange(parts, "h1", "h2", "_id", "_row")
-        .sortWithinPartitions("h1", "h2", "_id", "_row", "pos")
-        .groupBy("h1", "h2", "_id", "_row")
-        .agg(F.min("pos").alias("pos"))
-    )
-    common = (
-        firsts.groupBy("h1", "h2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "pos")).alias("first"))
+    common = settle(
+        first_occurrences(lines, parts)
+        .groupBy("h1", "h2")
+        .agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.min(F.struct("_id", "_row", "pos")).alias("first"))
         .where(F.col("n") >= min_documents)
         .drop("n")
     )
-    dropped = lines.join(common, ["h1", "h2"])
+    dropped = split_join(lines, common if keep_first else common.drop("first"), ["h1", "h2"], "times", lines.count())
     if keep_first:
         dropped = dropped.where(~F.struct("_id", "_row", "pos").eqNullSafe(F.col("first")))
     return (
@@ -72,8 +80,11 @@ def line_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_dropped (long) and kept_text, the lines not in the bitmap joined by newlines."""
-    lines = text_lines(F.col(text))
+    """``docs`` with n_lines, n_dropped (long) and kept_text, the lines not in the bitmap joined by newlines.
+
+    Columns of ``docs`` with these names are replaced; whatever other names it
+    has stay, as its rows travel as one struct.
+    """
 
     def dense(bits: Column) -> Column:
         words = F.sequence(F.lit(0), F.array_max(F.map_keys(bits)))
@@ -83,27 +94,25 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         word = F.coalesce(F.get(b, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
         return F.call_function("getbit", word, i % 64) == 0
 
-    kept = F.when(F.col("_bits").isNull(), lines).otherwise(
-        let(dense(F.col("_bits")), lambda b: F.filter(lines, lambda x, i: stays(b, i)))
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), _row_key(id_col, text).alias("row")
     )
-    marks = bitmaps.select(F.col("_id").alias("_bid"), F.col("_row").alias("_brow"), F.col("bits").alias("_bits"))
-    joined = docs.withColumn("_row", _row_key(id_col, text)).join(
-        marks, F.col(id_col).eqNullSafe(F.col("_bid")) & (F.col("_row") == F.col("_brow")), "left"
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    joined = own.join(bitmaps, same, "left").select("doc", "bits", text_lines(F.col(f"doc.`{text}`")).alias("lines"))
+    kept = F.when(F.col("bits").isNull(), F.col("lines")).otherwise(
+        let(dense(F.col("bits")), lambda b: F.filter(F.col("lines"), lambda x, i: stays(b, i)))
     )
-    return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept")
-    ).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "n_lines",
-        (F.col("n_lines") - F.size("_kept")).alias("n_dropped"),
-        F.array_join("_kept", "\n").alias("kept_text"),
+    made = joined.select("doc", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    added = {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_lines") - F.size("kept"), "kept_text": F.array_join("kept", "\n")}
+    return made.select(
+        *[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in added], *[e.alias(c) for c, e in added.items()]
     )
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = 10, keep_first: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text; see :func:`line_bitmaps` and :func:`apply_bitmaps`.
 
-    Columns of ``docs`` named like those added are replaced.
+    Null and empty texts are one empty line, which has no key and stays.  An
+    empty table gives no rows.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_bits", "_kept", "_row")
     return apply_bitmaps(docs, line_bitmaps(docs, min_documents, keep_first, id_col, text), id_col, text)
