@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, row_key, settle
+from .common import arrow_batches, row_key, settle, split_join
 from .components import connected_components
 
 BITS = 64
@@ -77,6 +77,9 @@ def near_pairs(prints: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
 
     ``radius`` is at most 5: with more, two blocks may hold over three bits.
     Each projection yields a pair once; pairs found on several are made distinct.
+    Prints that are all within four bits of each other are 2,081 at most (as
+    many as a ball of radius two holds), however many texts there are, so that
+    pairs grow with the number of prints and not with its square.
     """
     if not 0 <= radius <= 5:
         raise ValueError("radius: 0 to 5")
@@ -121,8 +124,8 @@ def near_groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text:
         nodes["fp"].alias("_fp"), "least", F.coalesce("component", "fp").alias("component")
     )
     named = settle(named)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = named.join(least, "component").select("_fp", "component_id")
+    least = settle(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    members = split_join(named, least, ["component"], "n", named.count()).select("_fp", "component_id")
     return prints.join(members, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
@@ -133,7 +136,9 @@ def keep_one(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str
     under none, are documents of their own; a row without an id is kept only
     where no near copy has one.  Rows that repeat both are one document.
     """
-    rows = docs.withColumn("_self", row_key(id_col, text))
-    first = near_groups(rows, radius, "_self", text).where(F.col("_self") == F.col("component_id"))
-    kept = rows.join(first.select("_self").distinct(), "_self", "left_semi").dropDuplicates(["_self"])
-    return kept.select(*docs.columns)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text).alias("self"), F.col(text).alias("body")
+    )
+    first = near_groups(rows, radius, "self", "body").where(F.col("self") == F.col("component_id"))
+    kept = rows.join(first.select("self").distinct(), "self", "left_semi").dropDuplicates(["self"])
+    return kept.select("doc.*")
