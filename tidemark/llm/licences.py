@@ -2,9 +2,9 @@
 
 A pass over all texts finds the plain phrases and the places of licence words.
 Document frequencies of those words over the whole corpus give their IDF.  The
-mandatory key phrases of each template are sought from their word of highest
-IDF; where all of them stand in a file, the places of all the template's words
-vote for where it starts, and it is confirmed only if the phrases stand there.
+same pass finds where the mandatory key phrases of the templates stand, word by
+word.  Where all those of a template do, the places of its words vote for where
+its notice starts, and it is confirmed only if the phrases stand there.
 """
 
 from __future__ import annotations
@@ -90,8 +90,19 @@ def index_words(templates: dict[str, tuple[str, list[str]]], least: int = 4) ->
     return dict(index)
 
 
+def key_phrases(templates: dict[str, tuple[str, list[str]]]) -> dict[str, list[tuple[str, list[str], int]]]:
+    """The longest word of each key phrase -> (phrase, its words, that word's place in it)."""
+    anchors = defaultdict(list)
+    for phrase in dict.fromkeys(p for _, keys in templates.values() for p in keys):
+        parts = phrase.split()
+        k = max(range(len(parts)), key=lambda i: len(parts[i]))
+        anchors[parts[k]].append((phrase, parts, k))
+    return dict(anchors)
+
+
 def licence_places(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = BASE_PHRASES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base_labels array<string>, places array<struct<word string, at bigint>>.
+    """id, n_words, n_base, first_word, last_word, base_labels array<string>, and
+    places, stands array<struct<word string, at bigint>>: licence words and whole key phrases.
 
     A null text is empty.  Each row is scanned whole and by itself.
     """
@@ -101,31 +112,35 @@ def licence_places(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
     for phrase, label in phrases.items():
         parts = phrase.split()
         by_first[parts[0]].append((parts, label))
-    wanted = index | set(by_first)
+    anchors = key_phrases(templates)
+    wanted = index | set(by_first) | set(anchors)
     kind = docs.schema[id_col].dataType.simpleString()
     place = pa.struct([("word", pa.string()), ("at", pa.int64())])
-    names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "places"]
+    names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "places", "stands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in names[1:]]
             for t in batch.column(1).to_pylist():
                 words = WORD.findall((t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
-                starts, labels, places = [], set(), []
+                starts, labels, places, stands = [], set(), [], []
                 for at, w in [(i, w) for i, w in enumerate(words) if w in wanted]:
                     for parts, label in by_first.get(w, ()):
                         if words[at : at + len(parts)] == parts:
                             starts.append(at)
                             labels.add(label)
+                    for phrase, parts, k in anchors.get(w, ()):
+                        if at >= k and words[at - k : at - k + len(parts)] == parts:
+                            stands.append({"word": phrase, "at": at - k})
                     if w in index:
                         places.append({"word": w, "at": at})
-                row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), places)
+                row = (len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), places, stands)
                 for x, y in zip(out, row):
                     x.append(y)
-            kinds = [*[pa.int64()] * 4, pa.list_(pa.string()), pa.list_(place)]
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.string()), pa.list_(place), pa.list_(place)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names)
 
-    schema = f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, places array<struct<word:string,at:bigint>>"
+    schema = f"`{id_col}` {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, places array<struct<word:string,at:bigint>>, stands array<struct<word:string,at:bigint>>"
     return docs.select(id_col, text).mapInArrow(run, schema)
 
 
@@ -138,41 +153,33 @@ class Matcher:
         for w, postings in self.index.items():
             for label, at in postings:
                 self.words[label][at] = w
-        self.phrases = {
-            label: [[(k, w) for k, w in enumerate(p.split()) if w in self.index] for p in keys]
-            for label, (_, keys) in templates.items()
-        }
+        self.phrases = {label: keys for label, (_, keys) in templates.items()}
 
-    def match(self, places: list[dict]) -> dict[str, float]:
+    def match(self, places: list[dict], stands: list[dict]) -> dict[str, float]:
         """label -> the IDF-weighted share of its notice that stands in place, for templates whose key phrases all do.
 
+        places: the file's licence words; stands: where whole key phrases start.
         Every template whose key phrases all stand somewhere is looked up by
         all its words that the file has; the others cannot be confirmed.
         """
-        at = defaultdict(list)
+        if not stands:
+            return {}
+        at, starting = defaultdict(list), defaultdict(list)
         for p in places:
             at[p["word"]].append(p["at"])
+        for p in stands:
+            starting[p["word"]].append(p["at"])
         there = {(w, i) for w, own in at.items() for i in own}
         found: dict[str, float] = {}
         for label, notice in self.words.items():
-            stands = []  # where each key phrase starts
-            for phrase in self.phrases[label]:
-                if not phrase:
-                    continue
-                if not all(w in at for _, w in phrase):
-                    break
-                k, rarest = max(phrase, key=lambda x: self.idf.get(x[1], 0.0))
-                starts = sorted(i - k for i in at[rarest] if all((w, i - k + d) in there for d, w in phrase))
-                if not starts:
-                    break
-                stands.append(starts)
-            else:
+            if all(p in starting for p in self.phrases[label]):
+                phrases = [sorted(starting[p]) for p in self.phrases[label]]
                 votes = Counter(i - k for k, w in notice.items() for i in at.get(w, ()))
                 total = sum(self.idf.get(w, 0.0) for w in notice.values())
                 length = max(notice) + self.slack
                 for start, n in votes.items():
                     if n < 2 or not all(
-                        (j := bisect_left(own, start - self.slack)) < len(own) and own[j] <= start + length for own in stands
+                        (j := bisect_left(own, start - self.slack)) < len(own) and own[j] <= start + length for own in phrases
                     ):
                         continue
                     has = sum(
@@ -199,18 +206,18 @@ def scan_licences(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict =
     )  # at most the templates' words
     idf = {r["word"]: math.log((1 + total) / r["n"]) for r in rows}
     matcher = Matcher(idf, templates)
-    kinds = [seen.schema[c].dataType.simpleString() for c in seen.columns[:-1]]
-    columns = [*seen.columns[:-1], "matches", "labels", "score"]
+    kinds = [seen.schema[c].dataType.simpleString() for c in seen.columns[:-2]]
+    columns = [*seen.columns[:-2], "matches", "labels", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matches, labels, scores = [], [], []
-            for places, base in zip(batch.column("places").to_pylist(), batch.column("base_labels").to_pylist()):
-                found = matcher.match(places) if places else {}
+            for places, stands, base in zip(*[batch.column(c).to_pylist() for c in ("places", "stands", "base_labels")]):
+                found = matcher.match(places, stands)
                 matches.append(sorted(found.items()))
                 labels.append(sorted({*found, *base}))
                 scores.append(1 - (0.5 if base else 1.0) * (1 - max(found.values(), default=0.0)))
-            data = [*batch.columns[:-1], pa.array(matches, pa.map_(pa.string(), pa.float64())), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())]
+            data = [*batch.columns[:-2], pa.array(matches, pa.map_(pa.string(), pa.float64())), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(data, columns)
 
     schema = ", ".join(f"`{c}` {k}" for c, k in zip(columns, [*kinds, "map<string,double>", "array<string>", "double"]))
