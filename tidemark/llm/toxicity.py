@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, settle
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,6 +31,15 @@ PREFIXES = range(4, 9)
 CACHE_ENTRIES = 300_000
 
 
+def lowered(text: str) -> tuple[str, np.ndarray | None]:
+    """The lower-cased text and, where letters became several, the place in ``text`` of each of its characters and its end."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    parts = [c.lower() for c in text]
+    return "".join(parts), np.append(np.repeat(np.arange(len(text)), [len(p) for p in parts]), len(text))
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings, which have a ``-`` at the end."""
     return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]]
@@ -60,11 +69,12 @@ class Scorer:
         return found
 
     def score(self, text: str | None) -> tuple[float, int, int, int, int]:
-        """(score, offending sentences, start and length of the worst one, its number from 0).
+        """(score, offending sentences, start and length of the worst one in the text itself, its number from 0).
 
         A text without words scores 0 and has no worst sentence (start -1).
+        Of sentences that score alike the first is the worst.
         """
-        low = (text or "").lower()
+        low, at_ = lowered(text or "")
         known, total, n = self.known, 0.0, 0
         words = WORD.findall(low)
         if not words:
@@ -84,7 +94,11 @@ class Scorer:
             if z > worst:
                 worst, at = z, (m.start(), m.end() - m.start(), n)
             n += 1
-        return -math.expm1(-total), offending, *(at if offending else (-1, 0, -1))
+        if not offending:
+            at = (-1, 0, -1)
+        elif at_ is not None:
+            at = (int(at_[at[0]]), int(at_[at[0] + at[1]] - at_[at[0]]), at[2])
+        return -math.expm1(-total), offending, *at
 
 
 def sample_labelled(labelled: DataFrame, bound: int, id_col: str, label: str) -> DataFrame:
@@ -114,7 +128,8 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", bound: int
     """
     arrow_batches(docs.sparkSession, 500)
     drawn = F.broadcast(sample_labelled(labelled.where(F.col(label).isin(0, 1)), bound, id_col, label))  # at most bound rows
-    rows = docs.select(id_col, text).join(drawn, id_col).select(text, "label", "weight").dropDuplicates([text, "label"])
+    rows = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("text")).join(drawn, id_col)
+    rows = settle(rows.select("text", "label", "weight").dropDuplicates(["text", "label"]))  # read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +180,31 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", bound: int
     return fit(rows.mapInArrow(places, schema).collect(), names)  # at most bound rows of feature places
 
 
+@dataclass(frozen=True)
+class Bags:
+    """Labelled documents as bags of sentences: features of the i-th place are those of sentence[i], of document owner[sentence[i]]."""
+
+    y: np.ndarray
+    plain: np.ndarray
+    weight: np.ndarray
+    owner: np.ndarray
+    sentence: np.ndarray
+    which: np.ndarray
+
+    def loss(self, theta: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Weighted negative log likelihood of the noisy-or with a ridge on the weights, and its gradient."""
+        w, b, docs = theta[:-1], theta[-1], len(self.y)
+        soft = lambda z: np.logaddexp(0, z)
+        z = b + np.bincount(self.sentence, w[self.which], len(self.owner))
+        none = np.bincount(self.owner, soft(z), docs) + self.plain * soft(b)  # -log of "no sentence offends"
+        any_ = np.maximum(-np.expm1(-none), 1e-12)
+        value = (self.weight * np.where(self.y == 1, -np.log(any_), none)).sum() + ridge / 2 * (w * w).sum()
+        slope = self.weight * np.where(self.y == 1, -np.exp(-none) / any_, 1.0)  # by ``none``
+        own = slope[self.owner] / (1 + np.exp(-z))
+        by_weight = np.bincount(self.which, own[self.sentence], len(w)) + ridge * w
+        return float(value), np.append(by_weight, own.sum() + (slope * self.plain).sum() / (1 + math.exp(-b)))
+
+
 def fit(rows: list, names: list[str], steps: int = 400, ridge: float = 2e-4) -> Model:
     """Maximize the noisy-or likelihood by Adam, from rows of (plain, at, which, label, weight)."""
     rows = sorted(rows, key=lambda r: (r["label"], r["plain"], r["which"], r["at"]))
@@ -179,16 +219,9 @@ def fit(rows: list, names: list[str], steps: int = 400, ridge: float = 2e-4) ->
     which = np.concatenate([np.array(r["which"], int) for r in rows]) if rows else np.zeros(0, int)
     theta = np.concatenate((np.zeros(len(names)), [-6.0]))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    soft = lambda z: np.logaddexp(0, z)
+    bag = Bags(y, plain, weight, owner, sentence, which)
     for step in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
-        z = b + np.bincount(sentence, w[which], len(owner))
-        none = np.bincount(owner, soft(z), len(rows)) + plain * soft(b)  # -log of "no sentence offends"
-        any_ = np.maximum(-np.expm1(-none), 1e-12)
-        slope = weight * np.where(y == 1, -np.exp(-none) / any_, 1.0)  # by ``none``
-        p = 1 / (1 + np.exp(-z))
-        g = np.concatenate((np.bincount(which, (slope[owner] * p)[sentence], len(names)) + ridge * w, [0.0]))
-        g[-1] = (slope[owner] * p).sum() + (slope * plain).sum() / (1 + math.exp(-b))
+        g = bag.loss(theta, ridge)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[-1] = min(theta[-1], -5.0)
@@ -198,8 +231,8 @@ def fit(rows: list, names: list[str], steps: int = 400, ridge: float = 2e-4) ->
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score, n_offending, worst_start, worst_length, worst_sentence of every row, by whole text.
 
-    Starts and lengths count characters of the lower-cased text.  Null, empty
-    and wordless texts score 0.  No other column is read.
+    Starts and lengths count characters of the text.  Null, empty and wordless
+    texts score 0.  No other column is read.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
