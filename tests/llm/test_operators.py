@@ -144,9 +144,13 @@ def test_wordpiece(spark, odd):
             i, n = j, n + 1
         return n
 
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").collect()}
-    for r in queries.op6_token_counts(spark, SF).where("doc_id < 40").collect():
-        assert r["n_tokens"] == sum(greedy(w) for w in wordpiece.WORD.findall(texts[r["doc_id"]].lower()))
+    texts, known = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}, {}
+    found = queries.op6_token_counts(spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        words = wordpiece.WORD.findall(texts[r["doc_id"]].lower())
+        assert r["n_tokens"] == sum(known.setdefault(w, greedy(w)) if w not in known else known[w] for w in words) and r["n_words"] == len(words)
+    assert wordpiece.count_tokens(odd.limit(0), queries.vocabulary_path()).count() == 0
     out = wordpiece.count_tokens(odd, queries.vocabulary_path()).collect()
     assert len(out) == len(ODD) and {r["n_tokens"] for r in out if r["doc_id"] in (1, 2, 3)} == {0}
 
@@ -173,7 +177,9 @@ def test_licences_do_not_crowd_each_other_out():
             idf = {w: 9.0 if w in notices[rare] else 1.0 for w in licences.index_words(licences.TEMPLATES)}
             text = [*notices[rare], "and", "also", *notices[common]]
             places = [{"word": w, "at": i} for i, w in enumerate(text) if w in idf]
-            found = licences.Matcher(idf, licences.TEMPLATES).match(places)
+            phrases = [p for _, keys in licences.TEMPLATES.values() for p in keys]
+            stands = [{"word": p, "at": i} for i in range(len(text)) for p in phrases if text[i : i + len(p.split())] == p.split()]
+            found = licences.Matcher(idf, licences.TEMPLATES).match(places, stands)
             assert {rare, common} <= set(found) and min(found[rare], found[common]) == pytest.approx(1)
 
 
@@ -244,7 +250,8 @@ def test_toxicity(spark, odd):
     toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
     held = [(toxic[r["doc_id"]], r["predicted"]) for r in out if r["held_out"] and r["doc_id"] in toxic]
-    assert sum(y == p for y, p in held) >= 0.9 * len(held)
+    hits, true, told = sum(y & p for y, p in held), sum(y for y, _ in held), sum(p for _, p in held)
+    assert true >= 10 and hits >= 0.75 * true and hits >= 0.75 * told  # recall and precision apart
     model = toxicity.Model({"vile": 9.0}, -6.0)
     found = {r["doc_id"]: r for r in toxicity.score_documents(odd.unionByName(spark.createDataFrame([(9, "Fine. So VILE. Ok", "s", "en", "", 1, 0.0)], odd.schema)), model).collect()}
     assert found[9]["worst_sentence"] == 1 and found[9]["n_offending"] == 1 and found[9]["score"] > 0.9

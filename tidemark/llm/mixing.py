@@ -121,34 +121,35 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = 40, toleran
     Starts at 1 and steps in the metric of the token counts, so that long and
     short documents of like content get like rates; w_k is one over domain k's
     part of the curvature.  Each step is one aggregate of K sums.  It ends
-    after ``steps``, or once each total is within ``tolerance`` of all tokens.
+    after ``steps``, or once each total that some document can move is within
+    ``tolerance`` of all tokens; target_gap, the largest distance from a target
+    as a share of all tokens, tells how near it came.
     """
     k = range(len(targets))
     p = [F.col(f"p{i}") for i in k]
     n = F.col("n_tokens").cast("double")
     row = members.agg(F.sum(n).alias("n"), *[F.sum(n * p[i] * p[j]).alias(f"h{i}_{j}") for i in k for j in k if j >= i]).first()
-    state = members.withColumn("rate", F.lit(1.0))
+    state, gap = members.withColumn("rate", F.lit(1.0)), None
     if not row["n"]:
-        return state
+        return state.withColumn("target_gap", F.lit(None).cast("double"))
     h = [[row[f"h{min(i, j)}_{max(i, j)}"] for j in k] for i in k]
     w = [1 / h[i][i] if h[i][i] > 1e-9 * row["n"] else 0.0 for i in k]
     top = _top_eigenvalue([[math.sqrt(w[i] * w[j]) * h[i][j] for j in k] for i in k])
-    if not top:
-        return state
-    for step in range(1, steps + 1):
+    for step in range(1, steps + 2):
         now = state.agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"s{i}") for i in k]).first()
         off = [now[i] - targets[i] for i in k]
-        if max(abs(x) for x, own in zip(off, w) if own) <= tolerance * row["n"]:
+        gap = max(abs(x) for x in off) / row["n"]
+        if not top or step > steps or max(abs(x) for x, own in zip(off, w) if own) <= tolerance * row["n"]:
             break
         move = reduce(lambda a, b: a + b, [p[i] * (w[i] * off[i] / top) for i in k])
         state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
         if step % settle_every == 0:
             state = settle(state)
-    return state
+    return state.withColumn("target_gap", F.lit(gap).cast("double"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, id_col: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
-    """id, n_tokens, rate, copies, domain (the likeliest) and p0.. of every row of ``docs``.
+    """id, n_tokens, rate, copies, target_gap, domain (the likeliest) and p0.. of every row of ``docs``.
 
     The totals aimed at are ``targets`` (scaled to sum 1) times ``budget``
     times all tokens.  copies is the rate rounded up or down by a hash of the
@@ -169,7 +170,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     joined = key.join(fitted.withColumnRenamed("_id", "_fid"), (F.col("_key") == F.col("_row")) & F.col(id_col).eqNullSafe(F.col("_fid")), "left")
     prior = [math.exp(x) for x in model[0]]
     p = [F.coalesce(F.col(f"p{k}"), F.lit(x / sum(prior))).alias(f"p{k}") for k, x in enumerate(prior)]
-    out = joined.select(id_col, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("rate", F.lit(1.0)).alias("rate"), *p, *(["_doc"] if whole else []))
+    out = joined.select(id_col, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("rate", F.lit(1.0)).alias("rate"), "target_gap", *p, *(["_doc"] if whole else []))
     chance = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1_000_000)) / 1_000_000
     best = F.greatest(*[F.col(f"p{k}") for k in range(len(names))]) if len(names) > 1 else F.col("p0")
     domain = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(names)])

@@ -28,7 +28,7 @@ def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, domain_labels(docs, table(spark, sf_dir, "labels")))
-    return mixed.select("doc_id", "n_tokens", "rate", "copies", "domain", *[f"p{k}" for k in range(len(mixing.TARGETS))])
+    return mixed.select("doc_id", "n_tokens", "rate", "copies", "target_gap", "domain", *[f"p{k}" for k in range(len(mixing.TARGETS))])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
