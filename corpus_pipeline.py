@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, packing, queries, simhash, toxicity
 from tidemark.llm.common import row_key, settle, table
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row of ``docs`` as one struct, so that no stage's own columns can clash with its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold; the model learns from labelled rows of ``docs``."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
-    rows = docs.withColumn("_self", row_key("doc_id", "text"))
-    scored = toxicity.score_documents(rows, toxicity.train(docs, labels), id_col="_self")
-    bad = scored.where(F.col("score") >= queries.TOXIC_AT).select("_self").distinct()
-    return rows.join(bad, "_self", "left_anti").select(*docs.columns)
+    rows = docs.select(whole(docs), row_key("doc_id", "text").alias("self"), "text")
+    scored = toxicity.score_documents(rows, toxicity.train(docs, labels), id_col="self")
+    bad = scored.where(F.col("score") >= queries.TOXIC_AT).select("self").distinct()
+    return rows.join(bad, "self", "left_anti").select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten or more documents share, and n_chars to match."""
-    done = lines.dedup_lines(docs)
+    done = lines.dedup_lines(docs.select(whole(docs), "doc_id", "text"))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return done.withColumns({"n_chars": F.char_length(text).cast("long"), "text": text}).select(*docs.columns)
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return done.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
