@@ -16,9 +16,22 @@ TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "nin
 SCALES = {"k": 1e3, "m": 1e6, "b": 1e9, "bn": 1e9, "thousand": 1e3, "million": 1e6, "billion": 1e9}
 CURRENCIES = r"(?U)\br\$|\b(?:sgd|usd|brl|eur|myr|gbp|jpy)\b|[$€£¥₹]"
 HEDGES = r"(?U)~|≈|\b(?:approx(?:imately)?|about|around|circa|roughly|estimated)\b"
+#: Letters within parentheses are a remark on a number, which does not count.
+REMARK = r"(?U)\([^)]*[^\W\d_][^)]*\)"
+#: A signed decimal number, perhaps a scale, perhaps a per cent sign.
+NUMBER_SHAPE = r"^(-?\d+(?:\.\d+)?)\s*(k|m|b|bn|thousand|million|billion)?\s*%?$"
 PERIOD = r"^(?:(?:q[1-4]|h[12]|fy|20[0-9]{2})[\s/-]+)+"
 
 
+#: A number in plain digits, which needs no normalization.
+PLAIN_NUMBER = r"\A-?[0-9]+(?:\.[0-9]+)?\z"
+
+
+def once(value: Column, body) -> Column:
+    """Evaluate ``value`` once a row and hand it to ``body``; a plain reference would be worked out at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold(text: Column) -> Column:
     """Lower case with sharp s as ss."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -69,29 +82,32 @@ def expand_cardinals(text: Column) -> Column:
         used = before.isNotNull() & one.between(1, 9)
         return F.when(used, F.lit(None).cast("string")).otherwise(F.coalesce(number.cast("string"), t))
 
-    # the outer transform splits once a row, not once a token
-    split = F.transform(F.array(F.split(text, " ")), lambda ts: F.transform(ts, lambda t, i: shown(ts, t, i)))[0]
     spelled = r"(?U)\b(?:" + "|".join(ONES + TENS) + r")\b"
-    return F.when(text.rlike(spelled), F.array_join(F.filter(split, lambda x: x.isNotNull()), " ")).otherwise(text)
+    joined = once(F.split(text, " "), lambda ts: F.array_join(F.filter(F.transform(ts, lambda t, i: shown(ts, t, i)), lambda x: x.isNotNull()), " "))
+    return F.when(text.rlike(spelled), joined).otherwise(text)
 
 
 def value_text(value: Column) -> Column:
-    """The text form by which values are compared; null is empty."""
-    v = F.regexp_replace(fold(F.coalesce(value, F.lit(""))), "−", "-")
+    """The text form by which values are compared; null is empty.  Plain numbers are their own."""
+    given = F.coalesce(value, F.lit(""))
+    v = F.regexp_replace(fold(given), "−", "-")
     v = F.regexp_replace(v, HEDGES, " ")
     v = F.regexp_replace(v, r"(?<=[a-z])-(?=[a-z])", " ")
     v = F.regexp_replace(v, r"(?<=\d),(?=\d)", "")
-    return squeeze(expand_cardinals(squeeze(v)))
+    return F.when(given.rlike(PLAIN_NUMBER), given).otherwise(once(squeeze(v), lambda x: squeeze(expand_cardinals(x))))
 
 
 def value_number(text: Column) -> Column:
-    """The number that a whole :func:`value_text` is, scale words applied, else null.  A per cent sign does not scale."""
-    bare = F.regexp_replace(F.regexp_replace(text, CURRENCIES, " "), r"(?U)\([^)]*[^\W\d_][^)]*\)", " ")
+    """The number that a whole :func:`value_text` is, scale words applied, else null.  A per cent sign does not scale.
+
+    One match takes the number and its scale, parted by a control character.
+    """
+    bare = F.regexp_replace(F.regexp_replace(text, CURRENCIES, " "), REMARK, " ")
     bare = F.regexp_replace(squeeze(bare), r"(?<=-)\s+(?=\d)", "")
-    shape = r"^(-?\d+(?:\.\d+)?)\s*(k|m|b|bn|thousand|million|billion)?\s*%?$"
-    suffix = F.regexp_extract(bare, shape, 2)
-    scale = reduce(lambda e, kv: F.when(suffix == kv[0], F.lit(kv[1])).otherwise(e), SCALES.items(), F.lit(1.0))
-    return F.when(bare.rlike(shape), F.regexp_extract(bare, shape, 1).try_cast("double") * scale)
+    scales = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
+    scaled = lambda p: p[1].try_cast("double") * F.coalesce(F.try_element_at(scales, p[2]), F.lit(1.0))
+    parts = once(F.split(F.regexp_replace(bare, NUMBER_SHAPE, "\x01$1\x01$2"), "\x01"), lambda p: F.when(F.size(p) == 3, scaled(p)))
+    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).otherwise(parts)
 
 
 def value_key(text: Column, number: Column) -> Column:

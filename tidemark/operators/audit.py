@@ -62,12 +62,66 @@ def suspicious(threshold: float = 0.5) -> Column:
     )
 
 
-def stratified_sample(rows: DataFrame, stratum: str, id_col: str, k: int) -> DataFrame:
-    """``k`` rows, one of each stratum in turn, each stratum in an order by a multiplicative hash of the id."""
-    hashed = F.pmod(F.col(id_col) * 2654435761, F.lit(4294967296))
-    own = rows.withColumn("_h", hashed)
+def stratified_sample(rows: DataFrame, stratum: str, id_col: str, k: int, seed: int = 0) -> DataFrame:
+    """``k`` rows, one of each stratum in turn, each stratum in an order by a multiplicative hash of the id and the seed."""
+    hashed = F.pmod((F.col(id_col) + seed) * 2654435761, F.lit(4294967296))
     order = Window.partitionBy(stratum).orderBy("_h", id_col)
-    return own.withColumn("_r", F.row_number().over(order)).orderBy("_r", stratum).limit(k).drop("_r", "_h")
+    own = rows.withColumn("_h", hashed).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)  # a stratum gives no more
+    return own.orderBy("_r", stratum).limit(k).drop("_r", "_h")
+
+
+def review_sample(rows: DataFrame, stratum: str, id_col: str, k: int = 25, seed: int = 1729, share: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """``k`` rows for review with ``part``: half of them (to even) suspicious, where there are so many, the rest from all strata in turn."""
+    marked = rows.withColumn("_bad", suspicious(threshold))
+    most = round(k * share)
+    bad = stratified_sample(marked.where("_bad"), stratum, id_col, most, seed).withColumn("part", F.lit("suspicious"))
+    rest = stratified_sample(marked.join(bad.select(id_col), id_col, "left_anti"), stratum, id_col, k, seed).withColumn("part", F.lit("any"))
+    order = Window.orderBy(F.col("part").desc(), F.pmod((F.col(id_col) + seed) * 2654435761, F.lit(4294967296)), id_col)  # 2k rows at most
+    both = bad.unionByName(rest).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return both.drop("_bad", "_n")
+
+
+def by_category(found: DataFrame) -> DataFrame:
+    """(category, severity, n) of :func:`violations`."""
+    return found.groupBy("category", "severity").agg(F.count("*").alias("n"))
+
+
+def report(found: DataFrame, traps: DataFrame) -> DataFrame:
+    """One row: violations, errors, failed_traps, clean (neither errors nor failed traps) of violations and traps (trap, passed)."""
+    none = F.lit(0).cast("long")
+    v = found.select(F.lit(1).cast("long").alias("violations"), (F.col("severity") == "error").cast("long").alias("errors"), none.alias("failed_traps"))
+    t = traps.select(none.alias("violations"), none.alias("errors"), (~F.col("passed")).cast("long").alias("failed_traps"))
+    sums = v.unionByName(t).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("violations", "errors", "failed_traps")])
+    return sums.withColumn("clean", (F.col("errors") == 0) & (F.col("failed_traps") == 0))
+
+
+def trap_pairs_surface(claims: DataFrame, pairs: DataFrame, subject: str, predicate: str) -> DataFrame:
+    """(trap, passed): of live claims on a subject of that name and predicate, two with differing values are a recorded contradiction.
+
+    ``claims``: id, subject_name, canonical_predicate, object_value, superseded_by; ``pairs``: claim_a_id, claim_b_id.
+    """
+    own = claims.where(
+        F.contains(F.lower("subject_name"), F.lit(subject.lower())) & (F.col("canonical_predicate") == predicate)
+        & F.col("superseded_by").isNull() & F.col("object_value").isNotNull()
+    ).withColumn("_text", text.value_text(F.col("object_value")))
+    own = own.select("id", "_text", text.value_number(F.col("_text")).alias("_number"))
+    a = own.select(F.col("id").alias("claim_a_id"), F.col("_text").alias("ta"), F.col("_number").alias("na"))
+    b = own.select(F.col("id").alias("claim_b_id"), F.col("_text").alias("tb"), F.col("_number").alias("nb"))
+    hits = pairs.select("claim_a_id", "claim_b_id").join(a, "claim_a_id").join(b, "claim_b_id").where(text.values_conflict(F.col("ta"), F.col("na"), F.col("tb"), F.col("nb")))
+    return hits.agg((F.count("*") > 0).alias("passed")).select(F.lit(f"{subject}: {predicate} surfaces").alias("trap"), "passed")
+
+
+def trap_no_contradiction(pairs: DataFrame, predicate: str) -> DataFrame:
+    """(trap, passed): nothing is recorded on a predicate that all sources agree on."""
+    return pairs.where(F.col("predicate") == predicate).agg((F.count("*") == 0).alias("passed")).select(
+        F.lit(f"{predicate}: no contradiction").alias("trap"), "passed"
+    )
+
+
+def trap_names_apart(entities: DataFrame, entity_type: str, prefix: str, least: int = 2) -> DataFrame:
+    """(trap, passed): so many entities of a type have names that begin with the prefix."""
+    own = entities.where((F.col("entity_type") == entity_type) & F.startswith(F.lower("canonical_name"), F.lit(prefix.lower())))
+    return own.agg((F.countDistinct("id") >= least).alias("passed")).select(F.lit(f"{prefix.strip()}: {least} apart").alias("trap"), "passed")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

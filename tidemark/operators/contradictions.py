@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
@@ -23,11 +23,14 @@ def with_values(claims: DataFrame) -> DataFrame:
     )
 
 
-def detect(claims: DataFrame, targets: list[str] = TARGETS, set_valued: list[str] = (), recorded: DataFrame | None = None) -> DataFrame:
+def detect(
+    claims: DataFrame, targets: list[str] = TARGETS, set_valued: list[str] = (), recorded: DataFrame | None = None, with_texts: bool = False
+) -> DataFrame:
     """Pairs of live claims of one subject and predicate whose values conflict in a shared period.
 
-    Columns: subject_entity_id, predicate, claim_a_id < claim_b_id, kind.
-    ``recorded`` pairs (claim_a_id, claim_b_id) are left out.
+    Columns: subject_entity_id, predicate, claim_a_id < claim_b_id, kind, and
+    ``with_texts`` value_a and value_b, the compared texts.  ``recorded`` pairs
+    (claim_a_id, claim_b_id) are left out.
     """
     live = with_values(
         claims.where(F.col("superseded_by").isNull() & F.col("subject_entity_id").isNotNull() & F.col("object_value").isNotNull())
@@ -54,6 +57,7 @@ def detect(claims: DataFrame, targets: list[str] = TARGETS, set_valued: list[str
     ).select(
         col("a.subject_entity_id"), col("a.predicate"), col("a.id").alias("claim_a_id"), col("b.id").alias("claim_b_id"),
         kind(col("a.document_id"), col("b.document_id"), col("a.as_of"), col("b.as_of")).alias("kind"),
+        *([col("a.value_text").alias("value_a"), col("b.value_text").alias("value_b")] if with_texts else []),
     )
     return found if recorded is None else found.join(recorded, ["claim_a_id", "claim_b_id"], "left_anti")
 
@@ -86,15 +90,64 @@ def detect_links(links: DataFrame, single_valued: list[str] = SINGLE_VALUED_LINK
     )
 
 
-def first_of_each_conflict(pairs: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row for each unordered pair of normalized value texts of a group: that of the least claim ids."""
-    keys = claims.select(F.col("id"), text.value_text(F.col("object_value")).alias("key"))
-    named = pairs.join(keys.select(F.col("id").alias("claim_a_id"), F.col("key").alias("key_a")), "claim_a_id").join(
-        keys.select(F.col("id").alias("claim_b_id"), F.col("key").alias("key_b")), "claim_b_id"
-    )
-    group = ["subject_entity_id", "predicate", F.least("key_a", "key_b"), F.greatest("key_a", "key_b")]
-    order = Window.partitionBy(*group).orderBy("claim_a_id", "claim_b_id")
-    return named.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(pairs.columns)
+def first_of_each_conflict(pairs: DataFrame) -> DataFrame:
+    """One row for each unordered pair of compared texts of a group: that of the least claim ids.
+
+    ``pairs`` is that of :func:`detect` with texts, which the result lacks.
+    The aggregate is combined before its shuffle.
+    """
+    kept = [c for c in pairs.columns if c not in ("subject_entity_id", "predicate", "value_a", "value_b")]
+    first = F.min(F.struct("claim_a_id", "claim_b_id", *[c for c in kept if not c.startswith("claim_")])).alias("s")
+    group = ["subject_entity_id", "predicate", F.least("value_a", "value_b").alias("_x"), F.greatest("value_a", "value_b").alias("_y")]
+    return pairs.groupBy(*group).agg(first).select("subject_entity_id", "predicate", *[f"s.{c}" for c in kept])
+
+
+def link_conflicts_once(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """One row for each unordered pair of targets that :func:`detect_links` found for an entity and type: that of the least link ids."""
+    ends = links.select("id", "to_entity_id")
+    a = ends.select(F.col("id").alias("link_a_id"), F.col("to_entity_id").alias("_x"))
+    b = ends.select(F.col("id").alias("link_b_id"), F.col("to_entity_id").alias("_y"))
+    first = F.min(F.struct("link_a_id", "link_b_id", "kind")).alias("s")
+    named = pairs.join(a, "link_a_id").join(b, "link_b_id")
+    group = ["subject_entity_id", "predicate", F.least("_x", "_y"), F.greatest("_x", "_y")]
+    return named.groupBy(*group).agg(first).select("subject_entity_id", "predicate", "s.link_a_id", "s.link_b_id", "s.kind")
+
+
+def sweep(claims: DataFrame, links: DataFrame, set_valued: list[str] = SET_VALUED) -> DataFrame:
+    """All contradictions of the store anew: one row for each conflict of claims or links.
+
+    Columns: subject_entity_id, predicate, claim_a_id, claim_b_id, link_a_id,
+    link_b_id, kind.  What was recorded before plays no part.
+    """
+    none = F.lit(None).cast("bigint")
+    of_claims = first_of_each_conflict(detect(claims, set_valued=set_valued, with_texts=True))
+    of_links = link_conflicts_once(detect_links(links), links)
+    return of_claims.withColumns({"link_a_id": none, "link_b_id": none}).unionByName(
+        of_links.withColumns({"claim_a_id": none, "claim_b_id": none})
+    ).select("subject_entity_id", "predicate", "claim_a_id", "claim_b_id", "link_a_id", "link_b_id", "kind")
+
+
+def sweep_counts(claims: DataFrame, links: DataFrame, recorded: DataFrame, set_valued: list[str] = SET_VALUED) -> DataFrame:
+    """(figure, n) of a sweep: rows cleared, groups looked at and passed over, pairs found, rows written, pairs dropped as repeats."""
+    groups = claim_groups(claims)
+    passed = F.col("predicate").isin(list(set_valued))
+    pairs = detect(claims, set_valued=set_valued, with_texts=True)
+    linked = detect_links(links)
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("figure"), "n")
+    figures = [
+        count(recorded, "cleared"), count(groups.where(~passed), "claim_groups"), count(groups.where(passed), "set_valued_groups"),
+        count(link_groups(links), "link_groups"), count(pairs, "claim_pairs"), count(first_of_each_conflict(pairs), "claims_written"),
+        count(linked, "link_pairs"), count(link_conflicts_once(linked, links), "links_written"),
+    ]
+    out = figures[0]
+    for more in figures[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def link_groups(links: DataFrame, single_valued: list[str] = SINGLE_VALUED_LINKS) -> DataFrame:
+    """(from_entity_id, link_type), distinct, of single-valued links."""
+    return links.where(F.col("link_type").isin(list(single_valued))).select("from_entity_id", "link_type").distinct()
 
 
 def label(kind_col, claim_a):
@@ -150,3 +203,33 @@ def clusters(claims: DataFrame, links: DataFrame, most: int = 40, set_valued: li
     key = F.sha2(F.array_join(F.array_sort(F.collect_list("signature")), "\n"), 256)
     keys = gathered.groupBy("subject_entity_id").agg(key.alias("cluster_key"))
     return sizes.join(keys, "subject_entity_id", "left")
+
+
+def adjudicated(swept: DataFrame, clustered: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Contradictions after judgement: those of a verdict where the subject's cluster has one, else what the sweep found.
+
+    ``clustered`` is that of :func:`clusters`; ``verdicts`` has cluster_key and
+    rows, an array of the structs (predicate, claim_a_id, claim_b_id,
+    link_a_id, link_b_id, kind); an empty one says that nothing conflicts and
+    is final.  Adds source: verdict or floor.
+    """
+    found = clustered.where("cluster_key IS NOT NULL").select("subject_entity_id", "cluster_key").join(verdicts, "cluster_key")
+    ruled = found.select("subject_entity_id", F.inline("rows")).withColumn("source", F.lit("verdict"))
+    floor = swept.join(found.select("subject_entity_id"), "subject_entity_id", "left_anti").withColumn("source", F.lit("floor"))
+    return ruled.select(floor.columns).unionByName(floor)
+
+
+# Predicates whose values are parts of a whole, and those with one true value.
+BREAKDOWN = ["commit_count", "cross_pr_reviews", "gross_revenue", "net_revenue", "refunds"]
+FUNCTIONAL = [
+    "backlog_status", "board_meeting_date", "completion_target", "ebitda", "ga_target", "launch_date", "location", "nps",
+    "revenue", "revenue_vs_plan", "role", "title", "total_paid_merchants",
+]
+
+
+def cardinality(predicate):
+    """set_valued, breakdown, functional or unknown; only the first takes a predicate out of the sweep."""
+    p = predicate
+    return (
+        F.when(p.isin(SET_VALUED), "set_valued").when(p.isin(BREAKDOWN), "breakdown").when(p.isin(FUNCTIONAL), "functional").otherwise("unknown")
+    )

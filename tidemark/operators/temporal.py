@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 
+from .ranks import rank_within
+
 
 def timeline(claims: DataFrame) -> DataFrame:
     """All claims with their ``position`` (from 1) in their subject's timeline, superseded ones too."""
@@ -22,14 +24,19 @@ def freshest_per_predicate(claims: DataFrame) -> DataFrame:
     return claims.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def _compared(claims: DataFrame, source: str) -> DataFrame:
+    """What claims are compared by: values in their normal forms, once a row."""
+    own = claims.where("as_of IS NOT NULL AND object_value IS NOT NULL").withColumn("_text", text.value_text(F.col("object_value")))
+    return own.select("id", "subject_entity_id", "predicate", source, "as_of", "_text", text.value_number(F.col("_text")).alias("_number"))
+
+
 def supersede(claims: DataFrame, source: str = "document_id") -> DataFrame:
     """``claims`` with superseded_by and valid_to set where a later-dated claim of the same source contradicts them.
 
     By date, not arrival: of the claims of a subject, predicate and source
     that are dated later and differ in value, the first (by date, then id) supersedes.
     """
-    own = claims.withColumn("_text", text.value_text(F.col("object_value"))).withColumn("_number", text.value_number(F.col("_text")))
-    a, b, col = own.alias("a"), own.alias("b"), F.col
+    a, b, col = _compared(claims, source).alias("a"), _compared(claims, source).alias("b"), F.col
     later = a.join(
         b,
         (col("a.subject_entity_id") == col("b.subject_entity_id"))
@@ -52,23 +59,59 @@ def coverage(claims: DataFrame, roster_as_of: str) -> DataFrame:
     )
 
 
+def source_coverage(cited: DataFrame, group: list[str], roster_as_of: str, source: str = "source_uri") -> DataFrame:
+    """By group: earliest and latest day of its evidence, stale, and sources, the freshest day of each of its dated sources.
+
+    Sources are combined first, so that a group's map holds a source once.
+    """
+    own = cited.groupBy(*group, source).agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"))
+    dated = F.filter(F.collect_list(F.struct(F.col(source), F.col("last"))), lambda x: x["last"].isNotNull() & x[source].isNotNull())
+    found = own.groupBy(*group).agg(F.min("first").alias("earliest"), F.max("last").alias("latest"), F.map_from_entries(F.array_sort(dated)).alias("sources"))
+    return found.withColumn("stale", F.coalesce(F.col("latest") < F.to_date(F.lit(roster_as_of)), F.lit(False)))
+
+
 def snapshot(rows: DataFrame, day: str | None) -> DataFrame:
     """Rows that hold on ``day``; all of them without one."""
     return rows if day is None else rows.where(dates.valid_at(F.col("as_of"), F.col("valid_to"), day))
 
 
-def consensus(claims: DataFrame) -> DataFrame:
-    """Values of predicates with two or more claims, ranked: most claims, then freshest, then least id.
+def sides(claims: DataFrame, group: list[str]) -> DataFrame:
+    """Values of groups with two or more claims: group, value_key, value, n, freshest, least_id, total.
 
-    Columns: predicate, value_key, n, freshest, least_id, rank; rank 1 is the consensus, others dissent.
+    value is that of the least claim with one; claims without a value are a side.
     """
     own = claims.withColumn("_text", text.value_text(F.col("object_value"))).withColumn(
         "value_key", text.value_key(F.col("_text"), text.value_number(F.col("_text")))
     )
-    sides = own.groupBy("predicate", "value_key").agg(F.count("*").alias("n"), F.max("as_of").alias("freshest"), F.min("id").alias("least_id"))
-    order = Window.partitionBy("predicate").orderBy(F.col("n").desc(), dates.or_first_day(F.col("freshest")).desc(), "least_id")
-    every = Window.partitionBy("predicate")
-    return sides.withColumn("rank", F.row_number().over(order)).withColumn("_all", F.sum("n").over(every)).where("_all >= 2").drop("_all")
+    told = F.min_by("object_value", F.when(F.col("object_value").isNotNull(), F.col("id")))
+    found = own.groupBy(*group, "value_key").agg(
+        F.count("*").alias("n"), F.max("as_of").alias("freshest"), F.min("id").alias("least_id"), told.alias("value")
+    )
+    total = found.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.sum("n").alias("total")).where("total >= 2")
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return found.join(total, same).drop(*[f"_{g}" for g in group])
+
+
+def best_first() -> list:
+    """Most claims, then freshest, then least id."""
+    return [F.col("n").desc(), dates.or_first_day(F.col("freshest")).desc(), F.col("least_id")]
+
+
+def consensus(claims: DataFrame, group: list[str] = ["predicate"]) -> DataFrame:  # noqa: B006
+    """:func:`sides` with their rank within the group; rank 1 is the consensus, others dissent."""
+    return rank_within(sides(claims, group).drop("total"), list(group), best_first())
+
+
+def verdicts(claims: DataFrame, group: list[str] = ["predicate"]) -> DataFrame:  # noqa: B006
+    """By group: the consensus value, n, freshest, least_id, and dissent, how many claims say otherwise.
+
+    One aggregate, combined before its shuffle, whatever the number of values.
+    """
+    last = F.struct("n", dates.or_first_day(F.col("freshest")).alias("day"), (-F.col("least_id")).alias("before"), "value", "freshest", "least_id")
+    top = sides(claims, group).groupBy(*group).agg(F.max(last).alias("s"), F.max("total").alias("total"))
+    return top.select(*group, "s.value", "s.n", "s.freshest", "s.least_id", (F.col("total") - F.col("s.n")).alias("dissent"))
 
 
 def freshest_per_source(cited: DataFrame, source: str = "source_uri") -> DataFrame:

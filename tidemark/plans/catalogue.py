@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import audit, citations, contradictions, graph, resolve, retrieval, temporal
+from tidemark.operators import audit, citations, contradictions, graph, overlap, resolve, retrieval, temporal
 
 from . import views
 
@@ -71,7 +71,7 @@ SELECT subject_entity_id, predicate, claim_a_id, claim_b_id, kind FROM k WHERE r
 def contradictions_dedup(spark: SparkSession, d: str) -> DataFrame:
     own = views.claims(spark, d)
     open_ended = own.withColumn("valid_from", F.lit("0001-01-01").cast("date")).withColumn("valid_to", F.lit("9999-12-31").cast("date"))
-    return contradictions.first_of_each_conflict(contradictions.detect(open_ended), own)
+    return contradictions.first_of_each_conflict(contradictions.detect(open_ended, with_texts=True))
 
 
 @query(f"""WITH {views.LINKS}
@@ -269,9 +269,8 @@ def _probe(spark: SparkSession, d: str) -> list[float]:
 VECTOR = """v AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score
   FROM embeddings ORDER BY score DESC, id LIMIT {k})"""
 LEXICAL = """t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
-l AS (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'tion'))) / (1.0 + ln(len(w))) AS score FROM t
+l AS (SELECT id, len(list_filter(w, lambda x: x IN ('the', 'of'))) / (1.0 + ln(len(w))) AS score FROM t
   WHERE list_contains(w, 'the') AND list_contains(w, 'of') ORDER BY score DESC, id LIMIT {k})"""
-LEXICAL = LEXICAL.replace("'tion'", "'of'")
 
 
 @query(f"WITH {VECTOR.format(k=10)} SELECT id, round(score, 6) AS score FROM v")
@@ -364,12 +363,8 @@ o AS (SELECT doc_id, item_id, count(*) AS c FROM w JOIN b USING (t) WHERE t <> '
 SELECT doc_id, item_id, round(c / n, 6) AS overlap FROM o JOIN n USING (item_id) WHERE c / n >= 0.6""")
 def grounding_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items of which a document has three fifths of the distinct words."""
-    cut = lambda t: F.explode(F.array_distinct(F.filter(F.split(F.lower(t), "[^a-z0-9]+"), lambda w: w != "")))
-    w = views.read(spark, d, "documents").select("doc_id", cut(F.col("text")).alias("t"))
-    b = views.read(spark, d, "benchmark").select("item_id", cut(F.col("text")).alias("t"))
-    n = b.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = w.join(b, "t").groupBy("doc_id", "item_id").agg(F.count("*").alias("c")).join(n, "item_id")
-    return shared.where(F.col("c") / F.col("n") >= 0.6).select("doc_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("overlap"))
+    found = overlap.containment(views.read(spark, d, "documents"), views.read(spark, d, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
 
 
 @query("""SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n, position('the' IN text) - 1 AS first_at FROM documents""")
@@ -413,7 +408,7 @@ def value_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Values with currencies, hedges and scales, read as numbers."""
     own = views.claims(spark, d)
     v = F.col("object_value")
-    written = F.when(F.col("id") % 2 == 0, F.concat(F.lit("approx. USD ").substr(1, 6), F.lit(" USD "), v, F.lit(" thousand"))).otherwise(
+    written = F.when(F.col("id") % 2 == 0, F.concat(F.lit("approx USD "), v, F.lit(" thousand"))).otherwise(
         F.concat(F.lit("~$"), F.regexp_replace(v, r"(?<=\d)(?=(?:\d{3})+$)", ","))
     )
     return own.select("id", text.value_number(text.value_text(written)).alias("number"))
