@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.lineage import settle
+
+__all__ = ["BLANKS", "BLANK_RUN", "NOT_BLANK", "arrow_batches", "ascii_lower", "let", "row_key", "settle", "split_join", "table", "words"]
+
 #: White space of the word contracts: blank and the five ASCII controls.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -14,20 +16,6 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) is a temporary one used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
