@@ -129,3 +129,120 @@ def goal(answers: DataFrame, recall: DataFrame, bar: float = 0.8) -> DataFrame:
     )
     r = recall.select((F.col("recall") >= bar).alias("recall_ok"), no.alias("answers_ok"), no.alias("contradiction_ok"))
     return a.unionByName(r).agg(*[F.bool_or(c).alias(c) for c in a.columns])
+
+
+# The checks an answer may have to pass; all but the soft one decide.
+CHECKS = [
+    "cites_source", "states_as_of", "resolves_hierarchy", "uses_freshest_as_of", "surfaces_contradiction", "attributes_each_side",
+    "cross_document_synthesis", "cites_multiple_sources", "entity_resolution", "alias_handling", "no_false_contradiction",
+]
+SOFT = ["alias_handling"]
+
+
+def answer_checks(questions: DataFrame, citations: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(question_id, check, passed, gating): the checks of each question (question_id, checks array<string>) on its answer.
+
+    ``citations``: question_id, source_uri, as_of; ``contradictions``:
+    question_id.  A question without either fails what asks for them; raises,
+    when the row is evaluated, on an unknown check.
+    """
+    c = citations.groupBy("question_id").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("source_uri", F.lit("")) != "").alias("sourced"), F.count("as_of").alias("dated"),
+        F.countDistinct(F.nullif(F.col("source_uri"), F.lit(""))).alias("sources"),
+        F.count_if(F.contains(F.lower("source_uri"), F.lit("org-chart"))).alias("charts"),
+    )
+    k = contradictions.groupBy("question_id").agg(F.count("*").alias("conflicts"))
+    own = questions.select("question_id", F.explode("checks").alias("check")).join(c, "question_id", "left").join(k, "question_id", "left")
+    has = lambda name, least=1: F.coalesce(F.col(name), F.lit(0)) >= least
+    rules = {
+        "cites_source": has("sourced"), "states_as_of": has("dated"), "resolves_hierarchy": has("charts"),
+        "uses_freshest_as_of": has("dated"),  # several dates always come with their coverage here
+        "surfaces_contradiction": has("conflicts"), "attributes_each_side": has("conflicts") & has("sources", 2),
+        "cross_document_synthesis": has("sources", 2), "cites_multiple_sources": has("sources", 2),
+        "entity_resolution": has("n"), "alias_handling": has("n"), "no_false_contradiction": ~has("conflicts"),
+    }
+    passed = F.raise_error(F.concat(F.lit("unknown check: "), "check")).cast("boolean")
+    for name, rule in rules.items():
+        passed = F.when(F.col("check") == name, rule).otherwise(passed)
+    return own.select("question_id", "check", passed.alias("passed"), (~F.col("check").isin(SOFT)).alias("gating"))
+
+
+def graded_answers(checked: DataFrame) -> DataFrame:
+    """(question_id, gating_passed, asks_contradiction, surfaced) of :func:`answer_checks`, as :func:`goal` takes them."""
+    asks = F.col("check") == "surfaces_contradiction"
+    return checked.groupBy("question_id").agg(
+        F.bool_and(F.col("passed") | ~F.col("gating")).alias("gating_passed"), F.bool_or(asks).alias("asks_contradiction"), F.bool_or(asks & F.col("passed")).alias("surfaced")
+    )
+
+
+def as_of_correctness(checked: DataFrame) -> DataFrame:
+    """One row: passed and total of the questions that ask for the freshest date and for no contradiction."""
+    q = checked.groupBy("question_id").agg(
+        F.bool_or(F.col("check") == "uses_freshest_as_of").alias("fresh"), F.bool_or(F.col("check") == "surfaces_contradiction").alias("conflict"),
+        F.bool_or((F.col("check") == "uses_freshest_as_of") & F.col("passed")).alias("ok"),
+    )
+    own = q.where(F.col("fresh") & ~F.col("conflict"))
+    return own.agg(F.count_if("ok").alias("passed"), F.count("*").alias("total"))
+
+
+def contradiction_classes(golden: DataFrame, surfaced: DataFrame) -> DataFrame:
+    """(golden_id, class) of planted contradictions (golden_id, question_id, subject_entity_id, predicate) by what their question's answer surfaced.
+
+    ``surfaced``: question_id, subject_entity_id, predicate, claim_a_id,
+    claim_b_id.  correct: a row on the predicate, and on the subject if that is
+    known, has two claims; partial: a row is there, but one-sided or without a
+    subject; incorrect: none, also where there is no answer.
+    """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    g = golden.select("golden_id", "question_id", F.col("subject_entity_id").alias("want"), plain(F.col("predicate")).alias("p"))
+    two = F.coalesce(F.col("claim_a_id") != F.col("claim_b_id"), F.lit(False))
+    s = surfaced.select("question_id", F.col("subject_entity_id").alias("has"), plain(F.col("predicate")).alias("p"), two.alias("two"), F.lit(True).alias("there"))
+    joined = g.join(s, ["question_id", "p"], "left")
+    sure = F.col("there") & (F.col("want").isNull() | F.coalesce(F.col("want") == F.col("has"), F.lit(False)))
+    unsure = F.col("there") & F.col("want").isNotNull() & F.col("has").isNull()
+    rank = F.when(sure & F.col("two"), 2).when(sure | unsure, 1).otherwise(0)
+    names = F.array(*map(F.lit, ["incorrect", "partial", "correct"]))
+    best = joined.groupBy("golden_id").agg(F.max(rank).alias("_r"))
+    return best.select("golden_id", F.element_at(names, F.col("_r") + 1).alias("class"))
+
+
+def document_verdicts(documents: DataFrame, verdicts: DataFrame, losses: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(source_uri, found, total, verdict, reasons) of documents (source_uri): the worst of what golden facts, losses and vectors say.
+
+    ``verdicts``: source_uri, verdict of each golden fact; ``losses``: the
+    ledger's rows; ``embeddings``: source_uri, ok.  FAIL: a fact is not found, a
+    call gave nothing or was cut short, a vector is missing or zero.
+    INCOMPLETE: items were lost, or the ledger or the vectors are not known.
+    """
+    v = verdicts.groupBy("source_uri").agg(F.count("*").alias("total"), F.count_if(F.col("verdict") == "found").alias("found"))
+    out = documents.select("source_uri").join(v, "source_uri", "left").na.fill(0, ["total", "found"])
+    out = out.join(losses.where("source_uri IS NOT NULL"), "source_uri", "left").join(embeddings.select("source_uri", "ok"), "source_uri", "left")
+    checks = [
+        (2, "golden facts not found", F.col("found") < F.col("total")),
+        (1, "losses not known", F.col("chunks").isNull()),
+        (2, "a call gave nothing or was cut short", (F.col("empty_extractions") > 0) | (F.col("truncated_calls") > 0)),
+        (1, "items were lost", (F.col("lossy_drops") > 0) & (F.col("empty_extractions") == 0) & (F.col("truncated_calls") == 0)),
+        (2, "a vector is missing or zero", ~F.col("ok")),
+        (1, "vectors not known", F.col("ok").isNull()),
+    ]
+    found = F.filter(
+        F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rank).alias("rank"), F.lit(why).alias("why"))) for rank, why, bad in checks]),
+        lambda x: x.isNotNull(),
+    )
+    out = out.withColumn("_f", found)
+    worst = F.coalesce(F.array_max(F.transform("_f", lambda x: x["rank"])), F.lit(0))
+    name = F.element_at(F.array(*map(F.lit, ["PASS", "INCOMPLETE", "FAIL"])), worst + 1)
+    return out.select("source_uri", "found", "total", name.alias("verdict"), F.transform("_f", lambda x: x["why"]).alias("reasons"))
+
+
+def oracle_totals(caught: DataFrame) -> DataFrame:
+    """One row: caught, total, recall (0 of nothing), baseline, and held, whether it fell below that, of items (caught, baseline_caught)."""
+    s = caught.agg(F.count_if("caught").alias("caught"), F.count("*").alias("total"), F.count_if("baseline_caught").alias("baseline"))
+    return s.withColumns({"recall": F.coalesce(F.try_divide("caught", "total"), F.lit(0.0)), "held": F.col("caught") >= F.col("baseline")})
+
+
+def sound_golden(facts: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """(problem, id) of golden data: fact ids that repeat, and sides (claim_a, claim_b) of contradictions that name no fact."""
+    repeated = facts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_fact").alias("problem"), "id")
+    sides = contradictions.select(F.explode(F.array("claim_a", "claim_b")).alias("id")).where("id IS NOT NULL").distinct()
+    return repeated.unionByName(sides.join(facts.select("id"), "id", "left_anti").select(F.lit("dangling_side").alias("problem"), "id"))

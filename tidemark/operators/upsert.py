@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.lineage import settle
 from tidemark.schemas import KEYS
 
 
@@ -30,9 +31,11 @@ def insert_new(target: DataFrame, rows: DataFrame, keys: list[str], arrival: lis
 def number(rows: DataFrame, order: list[str], after: int = 0) -> DataFrame:
     """``rows`` with ids after ``after`` in the given order, without gathering them in one task.
 
-    A range partitioning sorts; partition counts, one row each, give the offsets.
+    A range partitioning sorts; partition counts, one row each, give the
+    offsets.  The placed rows are checkpointed, so that a lost executor cannot
+    place them anew.
     """
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()
+    placed = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, after
     for p in sorted(sizes):
@@ -63,6 +66,11 @@ def merge_entities(target: DataFrame, rows: DataFrame) -> DataFrame:
     return there.unionByName(number(state.where("id IS NULL").drop("id"), keys, top).select(state.columns))
 
 
-def pair_key(a, b):
-    """A contradiction's claims in either order."""
-    return F.least(a, b), F.greatest(a, b)
+def insert_contradictions(target: DataFrame, rows: DataFrame, arrival: list[str]) -> DataFrame:
+    """New contradictions of ``rows`` with ids: pairs of claims, or of links, in either order, that ``target`` lacks.
+
+    A pair of claims and a pair of links are told apart by which of them is known.
+    """
+    sides = [(f"{k}_a_id", f"{k}_b_id") for k in ("claim", "link")]
+    turned = {c: f(a, b) for a, b in sides for c, f in ((a, F.least), (b, F.greatest))}
+    return insert_new(target, rows.withColumns(turned), [c for pair in sides for c in pair], arrival)

@@ -10,12 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.lineage import settle
 
 # Which files a connector takes, by path below the root.
 CONNECTORS = {
@@ -45,47 +48,113 @@ def discover(spark: SparkSession, root: str, connectors: dict[str, str] = CONNEC
     return rows.select("source_uri", one.alias("source_type"), "content")
 
 
-def _title(body: Column) -> Column:
-    return F.nullif(F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1), F.lit(""))
+# Months by their first letters, and the labels of a document's date, the more telling ones first.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+DATE_LABELS = [r"(?:issued|as[\s-]?of|effective|dated|completed|generated|exported|published)", r"\bdate"]
+WINDOW = 60
 
 
-def _label(body: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(body, rf"(?m)^\*\*(?:{name}):\*\*\s*(.+)$", 1)), F.lit(""))
+def date_in(body: Column) -> Column:
+    """The first ISO date of a text, else its first ``April 15, 2026``, else its first ``15 April 2026``; days that do not exist are none."""
+
+    def written(pattern: str, year: int, month: int, day: int) -> Column:
+        part = lambda k: F.regexp_extract(body, pattern, k)
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.lower(part(month)), 1, 3))
+        padded = lambda c: F.lpad(c.cast("string"), 2, "0")
+        return F.when(number > 0, F.concat_ws("-", part(year), padded(number), padded(part(day))).try_cast("date"))
+
+    return F.coalesce(
+        F.regexp_extract(body, r"\b(\d{4}-\d{2}-\d{2})\b", 1).try_cast("date"),
+        written(r"\b([A-Za-z]{3,9})\s+(\d{1,2}),\s*(\d{4})\b", 3, 1, 2),
+        written(r"\b(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4})\b", 3, 2, 1),
+    )
+
+
+def document_date(body: Column, path: Column) -> Column:
+    """The date behind a label, else the first one of the text, else that of the file's name."""
+    labelled = [F.regexp_extract_all(body, F.lit(rf"(?is){label}\b[\s:*\-—]*(?=(.{{0,{WINDOW}}}))"), 1) for label in DATE_LABELS]
+    first = lambda windows: F.get(F.filter(F.transform(windows, date_in), lambda d: d.isNotNull()), 0)
+    return F.coalesce(*map(first, labelled), date_in(body), date_in(F.substring_index(path, "/", -1)))
+
+
+def _match(body: Column, pattern: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(body, pattern, 1)), F.lit(""))
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text."""
-    body = text.normalize_text(F.decode("content", "UTF-8"))
+    """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text.
+
+    Raises, when the row is evaluated, on a file without text.
+    """
+    decoded = F.decode("content", "UTF-8")
+    blank = F.raise_error(F.concat(F.lit("no text in "), F.col("source_uri")))
+    body = F.when(text.squeeze(decoded) == "", blank).otherwise(text.normalize_text(decoded))
     rows = found.where(F.col("source_type") != "image").select("source_uri", "source_type", body.alias("raw_text"))
-    stamp = F.regexp_extract("raw_text", r"(?is)(?:as of|date|updated)\W{1,4}(?:.{0,60}?)(\d{4}-\d{2}-\d{2})", 1)
-    first = F.regexp_extract("raw_text", r"(\d{4}-\d{2}-\d{2})", 1)
-    named = F.regexp_extract("source_uri", r"(\d{4}-\d{2}-\d{2})", 1)
+    raw, kind = F.col("raw_text"), F.col("source_type")
+    head = F.substring_index(raw, "\n\n", 1)
+    header = lambda name: _match(head, rf"(?im)^{name}:\s*(.*)$")
+    heading = _match(raw, r"(?m)^#\s+(.+?)\s*$")
+    stamps = F.array_join(F.regexp_extract_all(raw, F.lit(r'(?s)class="[^"]*\b(?:subtitle|stamp)\b[^"]*"[^>]*>([^<]*)'), 1), "\n")
+    by_kind = lambda **own: F.coalesce(*[F.when(kind == k, v) for k, v in own.items()])
+    day = F.when(kind == "dashboard", document_date(stamps, F.col("source_uri"))).when(
+        kind == "email", F.coalesce(date_in(header("Date")), document_date(raw, F.col("source_uri")))
+    ).otherwise(document_date(raw, F.col("source_uri")))
     return rows.select(
-        "source_uri", "source_type", F.coalesce(_title(F.col("raw_text")), F.col("source_uri")).alias("title"),
-        _label(F.col("raw_text"), "Name|Author").alias("author"), _label(F.col("raw_text"), "Language").alias("lang"),
-        F.coalesce(*[x.try_cast("date") for x in (stamp, first, named)]).alias("as_of"),
-        text.content_hash(F.col("raw_text")).alias("content_hash"), "raw_text",
+        "source_uri", "source_type",
+        F.coalesce(by_kind(email=header("Subject"), dashboard=_match(raw, r"(?is)<title>(.*?)</title>")), heading, "source_uri").alias("title"),
+        F.coalesce(
+            by_kind(email=header("From"), code=_match(raw, r"Author:\s*([^.\n]+)")),
+            _match(raw, r"(?m)^\s*[-*]?\s*\*\*(?:Name|Author):?\*\*\s*(.+?)\s*$"),
+        ).alias("author"),
+        _match(raw, r"\*\*Language:?\*\*\s*([A-Za-z-]+)").alias("lang"), day.alias("as_of"), text.content_hash(raw).alias("content_hash"), "raw_text",
     )
 
 
-def markdown_segments(body: str) -> list[tuple[str, bool]]:
-    """Blocks between blank lines; headings and bold labels lead the block after them, tables stay whole."""
+def images(found: DataFrame, caption: Column | None = None) -> DataFrame:
+    """One row per image, with the columns of :func:`documents`: its caption as text, hashed by its bytes.
+
+    ``caption`` is a column over source_uri and content, such as a pandas UDF; blank or without one the file's name stands for it.
+    """
+    stem = F.regexp_replace(F.substring_index("source_uri", "/", -1), r"\.[^.]+$", "")
+    told = F.concat(F.lit("[image: "), stem, F.lit("]"))
+    told = told if caption is None else F.coalesce(F.nullif(F.trim(caption), F.lit("")), told)
+    none = F.lit(None).cast("string")
+    return found.where(F.col("source_type") == "image").select(
+        "source_uri", "source_type", stem.alias("title"), none.alias("author"), none.alias("lang"), date_in(F.substring_index("source_uri", "/", -1)).alias("as_of"),
+        F.sha2("content", 256).alias("content_hash"), told.alias("raw_text"),
+    )
+
+
+def table_text(rows: Column) -> Column:
+    """array<array<string>> as lines of cells between bars; null cells are empty, newlines in cells blanks."""
+    cell = lambda c: F.replace(F.trim(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |"))
+    return F.array_join(F.transform(rows, line), "\n")
+
+
+def _line_kind(line: str) -> str:
+    bare = line.strip()
+    if not bare:
+        return "blank"
+    if bare.startswith("|"):
+        return "table"
+    return "label" if re.match(r"#{1,6}\s", line) or re.fullmatch(r"\*\*.+\*\*", bare) else "text"
+
+
+def markdown_segments(body: str, day: object = None) -> list[tuple[str, bool]]:
+    """Runs of text and of table lines; headings and whole bold lines lead the run after them, tables stay whole."""
     out: list[tuple[str, bool]] = []
     lead: list[str] = []
-    for block in re.split(r"\n\s*\n", body.strip("\n")):
-        lines = [x for x in block.split("\n") if x.strip()]
-        while lines and re.match(r"#{1,6}\s|\*\*[^*]+\*\*:?$", lines[0].strip()):
-            lead.append(lines.pop(0))
-        at = 0
-        while at < len(lines):
-            table = lines[at].lstrip().startswith("|")
-            to = next((i for i in range(at, len(lines)) if lines[i].lstrip().startswith("|") != table), len(lines))
-            out.append(("\n".join([*lead, *lines[at:to]]), table))
-            lead, at = [], to
+    for kind, run in groupby(body.split("\n"), _line_kind):
+        if kind == "label":
+            lead += [x.strip() for x in run]
+        elif kind != "blank":
+            out.append(("\n".join([*lead, *run]), kind == "table"))
+            lead = []
     return out + ([("\n".join(lead), False)] if lead else [])
 
 
-def chat_segments(body: str, longest_header: int = 200) -> list[tuple[str, bool]]:
+def chat_segments(body: str, day: object = None, longest_header: int = 200) -> list[tuple[str, bool]]:
     """What stands before the first message, then each message, whole, from its ``**... HH:MM — who**`` line on."""
     out: list[list[str]] = [[]]
     for line in body.split("\n"):
@@ -96,56 +165,85 @@ def chat_segments(body: str, longest_header: int = 200) -> list[tuple[str, bool]
     return [(p, k > 0) for k, p in enumerate(parts) if p.strip()]
 
 
-def email_segments(body: str) -> list[tuple[str, bool]]:
-    """The header block up to the first blank line, whole, then the paragraphs."""
+def email_segments(body: str, day: object = None) -> list[tuple[str, bool]]:
+    """The header block up to the first blank line, whole, then the rest as in :func:`markdown_segments`."""
     head, _, rest = body.partition("\n\n")
-    if not all(re.match(r"[A-Za-z-]+:\s", x) for x in head.split("\n")):
-        return markdown_segments(body)
-    return [(head, True), *[(p, False) for p in rest.split("\n\n") if p.strip()]]
+    return [*([(head, True)] if head.strip() else []), *markdown_segments(rest)]
 
 
-class _Cards(HTMLParser):
-    """Texts of cards, sections, banners and notes of a dashboard, in order."""
+class _Element(list):
+    """A page element: its texts and elements in order."""
 
-    KINDS = ("card", "section", "banner", "note")
+    def __init__(self, tag: str, classes: tuple[str, ...]):
+        super().__init__()
+        self.tag, self.classes = tag, classes
+
+    def text(self) -> str:
+        parts = [x.text() if isinstance(x, _Element) else " ".join(x.split()) for x in self]
+        return " ".join(p for p in parts if p)
+
+    def all(self, *names: str) -> Iterator["_Element"]:
+        """Elements below with one of these classes or tags."""
+        for x in self:
+            if isinstance(x, _Element):
+                if x.tag in names or any(f".{c}" in names for c in x.classes):
+                    yield x
+                yield from x.all(*names)
+
+    def first_text(self, name: str) -> str:
+        return next((x.text() for x in self.all(name)), "")
+
+
+class _Page(HTMLParser):
+    """Builds the elements of a page; what is not closed ends with its parent."""
+
+    EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr")
 
     def __init__(self) -> None:
         super().__init__()
-        self.stack: list[str] = []
-        self.parts: list[tuple[str, list[str]]] = []
-        self.all: list[str] = []
+        self.root = _Element("", ())
+        self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("br", "img", "meta", "link", "hr", "input"):
-            return
-        names = (dict(attrs).get("class") or "").split()
-        kind = next((k for k in self.KINDS if k in names), "")
-        if kind and not any(self.stack):
-            self.parts.append((kind, []))
-        self.stack.append(kind)
-        self.hidden = tag in ("script", "style")
+        element = _Element(tag, tuple((dict(attrs).get("class") or "").split()))
+        self.open[-1].append(element)
+        if tag not in self.EMPTY:
+            self.open.append(element)
 
     def handle_endtag(self, tag: str) -> None:
-        if self.stack:
-            self.stack.pop()
-        self.hidden = False
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), 0)
+        if at:
+            del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        words = " ".join(data.split())
-        if words and not getattr(self, "hidden", False):
-            self.all.append(words)
-            if any(self.stack):
-                self.parts[-1][1].append(words)
+        if self.open[-1].tag not in ("script", "style"):
+            self.open[-1].append(data)
+
 
+def dashboard_segments(body: str, day: object = None) -> list[tuple[str, bool]]:
+    """Cards (label, value and change joined by dashes), sections (heading, then table rows or text), banners and notes, each with the page's date.
 
-def dashboard_segments(body: str) -> list[tuple[str, bool]]:
-    """Cards with their parts joined by a dash, and other blocks, each with the page's date; else the whole text."""
-    page = _Cards()
+    Without any of these the whole text; raises on a page without text.
+    """
+    page = _Page()
     page.feed(body)
-    day = re.search(r"[Aa]s of (\d{4}-\d{2}-\d{2})", " ".join(page.all))
-    mark = f" (as of {day[1]})" if day else ""
-    found = [((" — " if kind == "card" else " ").join(parts) + mark, True) for kind, parts in page.parts if parts]
-    return found or ([(" ".join(page.all) + mark, False)] if page.all else [])
+    mark = f"(as of {day})" if day is not None and day == day else "(as of unknown)"
+    out = []
+    for card in page.root.all(".card"):
+        told = " — ".join(x for x in (card.first_text(c) for c in (".label", ".value", ".delta")) if x)
+        out += [(f"{told} {mark}", True)] if told else []
+    for section in page.root.all(".section"):
+        table = next(section.all("table"), None)
+        rows = [[cell.text() for cell in row.all("th", "td")] for row in table.all("tr")] if table is not None else []
+        told = "\n".join("| " + " | ".join(r) + " |" for r in rows) if table is not None else section.text()
+        out.append((f"{section.first_text('h2')} {mark}\n{told}".strip(), True))
+    out += [(f"{x.text()} {mark}", True) for x in page.root.all(".banner", ".note") if x.text()]
+    if not out:
+        whole = next((x.text() for x in page.root.all("body")), page.root.text())
+        if not whole:
+            raise ValueError("a page without text")
+        out.append((f"{whole} {mark}", False))
+    return out
 
 
 SEGMENTERS = {
@@ -154,44 +252,86 @@ SEGMENTERS = {
     "chat": chat_segments,
     "email": email_segments,
     "dashboard": dashboard_segments,
+    "image": lambda body, day=None: [(body, True)],
 }
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """``docs`` (source_uri, source_type, raw_text) with ``segments``, an array of (text, atomic), per whole document."""
+def segments(docs: DataFrame, segmenters: dict = SEGMENTERS) -> DataFrame:
+    """``docs`` (source_uri, source_type, as_of, raw_text) with ``segments``, an array of (text, atomic), per whole document.
+
+    A source of another type needs a path pattern in :func:`discover` and a function of text and date here.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", segments {SEGMENT}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            cut = [SEGMENTERS[k](t or "") for k, t in zip(pdf["source_type"], pdf["raw_text"])]
+            cut = [segmenters[k](t or "", d) for k, t, d in zip(pdf["source_type"], pdf["raw_text"], pdf["as_of"])]
             yield pdf.assign(segments=[[{"text": t, "atomic": a} for t, a in x] for x in cut])
 
     return docs.mapInPandas(run, schema)
 
 
+def prose_pieces(body: Column, most: int) -> Column:
+    """array<string>: paragraphs of a text, those of over ``most`` tokens cut between sentences; a longer sentence stays whole."""
+    joined = lambda a, s: F.when(a["now"] == "", s).otherwise(F.concat(a["now"], F.lit(" "), s))
+
+    def step(a: Column, s: Column) -> Column:
+        full = (a["now"] != "") & (text.token_estimate(joined(a, s)) > most)
+        return F.struct(
+            F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), F.when(full, s).otherwise(joined(a, s)).alias("now")
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    last = lambda a: F.when(a["now"] != "", F.array_append(a["done"], a["now"])).otherwise(a["done"])
+    cut = lambda p: F.aggregate(F.split(p, r"(?<=[.!?])\s+"), start, step, last)
+    paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(text.token_estimate(p) > most, cut(p)).otherwise(F.array(p))))
+    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(body))
+
+
 def pack(docs: DataFrame, most: int = 800, target: int = 650) -> DataFrame:
     """source_uri, ordinal, text: segments joined by blank lines into chunks.
 
-    A chunk is closed once it has ``target`` tokens or the next segment would
-    take it over ``most``; a segment is never cut.
+    A chunk is closed once it has ``target`` tokens or the next piece would
+    take it over ``most``.  Atomic segments are never cut, other ones of over
+    ``most`` tokens are by :func:`prose_pieces`; blank ones are left out.
     """
 
     def step(acc: Column, s: Column) -> Column:
-        size = text.token_estimate(s["text"])
+        size = text.token_estimate(s)
         closed = (F.size(acc["now"]) > 0) & ((acc["size"] >= target) | (acc["size"] + size > most))
-        now = F.when(closed, F.array(s["text"])).otherwise(F.concat(acc["now"], F.array(s["text"])))
-        done = F.when(closed, F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n")))).otherwise(acc["done"])
+        now = F.when(closed, F.array(s)).otherwise(F.array_append(acc["now"], s))
+        done = F.when(closed, F.array_append(acc["done"], F.array_join(acc["now"], "\n\n"))).otherwise(acc["done"])
         return F.struct(done.alias("done"), now.alias("now"), F.when(closed, size).otherwise(acc["size"] + size).alias("size"))
 
+    bare = lambda s: F.btrim(s["text"], F.lit("\n"))
+    long = lambda s: ~s["atomic"] & (text.token_estimate(bare(s)) > most)
+    told = F.filter("segments", lambda s: text.squeeze(s["text"]) != "")
+    units = F.flatten(F.transform(told, lambda s: F.when(long(s), prose_pieces(bare(s), most)).otherwise(F.array(bare(s)))))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("size"))
     chunks = F.aggregate(
-        "segments", start, step,
-        lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(F.array_join(a["now"], "\n\n")))).otherwise(a["done"]),
+        units, start, step,
+        lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"]),
     )
     return docs.select("source_uri", F.posexplode(chunks).alias("ordinal", "text"))
 
 
+def record(extracted: DataFrame, folder: str, spark: SparkSession) -> DataFrame:
+    """Appends extractions (source_uri, ordinal, claims, relations) that the cache in ``folder`` lacks, and returns them.
+
+    The cache is JSON, one line for each chunk, as :func:`replay` reads it.
+    """
+    try:
+        there = spark.read.schema("source_uri string, ordinal int").json(folder)
+        fresh = extracted.join(there, ["source_uri", "ordinal"], "left_anti")
+    except AnalysisException:  # no folder yet
+        fresh = extracted
+    fresh = settle(fresh)
+    fresh.write.mode("append").json(folder)
+    return fresh
+
+
 def replay(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """Cached extractions (source_uri, ordinal, claims, relations) of all ``wanted`` chunks; raises on a missing one."""
     claim = "struct<subject:string,predicate:string,object_value:string,as_of:string,confidence:double,evidence:string>"
