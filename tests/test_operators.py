@@ -89,3 +89,11 @@ def test_faults_are_raised(spark):
         spark.createDataFrame([("soon",)], "d string").select(store.parse_day(F.col("d"))).collect()
     table, gone = store.cleared(chunks)
     assert table.count() == 0 and gone == 2
+
+
+def test_tables_are_created_once(spark):
+    from tidemark import schemas
+
+    assert schemas.create(spark, "ontology_test") == sorted(schemas.TABLES)
+    assert schemas.create(spark, "ontology_test") == sorted(schemas.TABLES)
+    assert spark.table("ontology_test.claims").count() == 0

@@ -21,6 +21,7 @@ REMARK = r"(?U)\([^)]*[^\W\d_][^)]*\)"
 #: A signed decimal number, perhaps a scale, perhaps a per cent sign.
 NUMBER_SHAPE = r"^(-?\d+(?:\.\d+)?)\s*(k|m|b|bn|thousand|million|billion)?\s*%?$"
 PERIOD = r"^(?:(?:q[1-4]|h[12]|fy|20[0-9]{2})[\s/-]+)+"
+LOOSE_PERIOD = r"^(?:(?:q[1-4]|h[12]|fy|20[0-9]{2})\b[\s/-]*)+"
 
 
 #: A number in plain digits, which needs no normalization.
@@ -126,6 +127,11 @@ def strip_period(predicate: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(predicate)), PERIOD, "")
 
 
+def strip_period_loosely(predicate: Column) -> Column:
+    """As :func:`strip_period`, but a period needs nothing after it but the end of its word: ``q1:rev`` leaves ``:rev``, ``q1`` nothing."""
+    return F.regexp_replace(F.lower(F.trim(predicate)), LOOSE_PERIOD, "")
+
+
 def coerce_as_of(text: Column) -> Column:
     """Quarter as its last day, year as its last day, ISO date as it is; two quarters or anything else is null."""
     t = F.lower(squeeze(text))

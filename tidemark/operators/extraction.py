@@ -20,6 +20,7 @@ VERBS = {
 SUPERIOR_FIRST = ["manages", "manage", "leads", "lead", "functional lead"]
 SUBJECT_TYPES = ["person", "team", "customer", "product", "metric", "other"]
 COMPANY_TYPES = ["company", "organization", "organisation", "org", "subsidiary", "business", "firm", "corporation"]
+#: A number as texts write it, with a scale letter or a per cent sign.
 NUMBER = r"(?i)(?<![A-Za-z\d])[−-]?\d[\d,]*\.?\d*\s*[kmb]?\s*%?"
 OVERLAP = 0.6
 PENALTY, FLOOR = 0.5, 0.1
@@ -153,6 +154,11 @@ def repair_metric_subjects(claims: DataFrame, vocab: DataFrame, primary: str) ->
     ).drop("_s", "_p")
 
 
+def assemble_claims(claims: DataFrame) -> DataFrame:
+    """Resolved claims (subject_entity_id, as_of, document_as_of), dated by their document if undated; those without a subject are gone."""
+    return claims.where("subject_entity_id IS NOT NULL").withColumn("as_of", F.coalesce("as_of", "document_as_of"))
+
+
 def assemble_links(relations: DataFrame) -> DataFrame:
     """Resolved relations (from_entity_id, to_entity_id, as_of, document_as_of) that are no loops, dated by their document if undated."""
     ends = F.col("from_entity_id") != F.col("to_entity_id")

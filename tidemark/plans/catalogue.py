@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
-from tidemark.operators import audit, citations, contradictions, graph, overlap, resolve, retrieval, temporal
+from tidemark.operators import audit, citations, contradictions, extraction, graph, overlap, resolve, retrieval, store, temporal
 
 from . import views
 
@@ -189,11 +189,9 @@ def citations_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _census(spark: SparkSession, d: str) -> DataFrame:
-    own = views.claims(spark, d).withColumns({"char_start": F.lit(None).cast("int"), "char_end": F.lit(None).cast("int")})
-    c = views.chunks(spark, d).select(F.col("id").alias("_c"), F.col("text").alias("chunk_text"))
-    docs = views.documents(spark, d).select(F.col("id").alias("_d"))
-    joined = own.join(c, F.col("source_chunk_id") * 100000 == F.col("_c"), "left").join(docs, F.col("document_id") == F.col("_d"), "left")
-    return joined.withColumns({"chunk_found": F.col("_c").isNotNull(), "document_found": F.col("_d").isNotNull()})
+    own = views.claims(spark, d).withColumns({"char_start": F.lit(None).cast("int"), "char_end": F.lit(None).cast("int"), "source_chunk_id": F.col("source_chunk_id") * 100000})
+    people = views.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical_name"))
+    return audit.census(own, views.chunks(spark, d), views.documents(spark, d), people)
 
 
 CENSUS = f"""{views.CLAIMS}, {views.CHUNKS}, census AS (
@@ -201,9 +199,10 @@ CENSUS = f"""{views.CLAIMS}, {views.CHUNKS}, census AS (
   FROM claims f LEFT JOIN chunks c ON f.source_chunk_id * 100000 = c.id LEFT JOIN documents d ON f.document_id = d.doc_id)"""
 
 
-@query(f"""WITH {CENSUS} SELECT id, predicate, chunk_found, document_found, length(chunk_text) AS chunk_chars FROM census""")
+@query(f"""WITH {CENSUS} SELECT id, predicate, chunk_found, document_found, length(chunk_text) AS chunk_chars, c_name AS subject_name
+FROM census LEFT JOIN customer ON subject_entity_id = c_custkey""")
 def claim_census(spark: SparkSession, d: str) -> DataFrame:
-    return _census(spark, d).select("id", "predicate", "chunk_found", "document_found", F.char_length("chunk_text").cast("long").alias("chunk_chars"))
+    return _census(spark, d).select("id", "predicate", "chunk_found", "document_found", F.char_length("chunk_text").cast("long").alias("chunk_chars"), "subject_name")
 
 
 @query(f"""WITH {CENSUS}, v AS (
@@ -297,9 +296,16 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse([a, b], 8).select("id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT sha256(text) AS content_hash, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1")
+#: Texts as they are hashed: newlines alike, no blanks at line ends, no blank lines at either end.
+NORMALIZED = (
+    "regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), "
+    "lambda x: rtrim(x, ' ' || chr(9) || chr(11) || chr(12))), chr(10)), '^\\n+|\\n+$', '', 'g')"
+)
+
+
+@query(f"SELECT sha256({NORMALIZED}) AS content_hash, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1")
 def content_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
-    own = views.read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    own = views.read(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
     return own.groupBy("content_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
 
 
@@ -390,12 +396,12 @@ def cluster_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {views.CLAIMS}, v AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'Q' || (1 + id % 4) || ' ' || year(as_of)
-  WHEN id % 3 = 0 THEN CAST(year(as_of) AS VARCHAR) ELSE strftime(as_of, '%Y-%m-%d') END AS t, as_of FROM claims WHERE as_of >= DATE '2000-01-01')
-SELECT id, CASE WHEN id % 2 = 0 THEN CAST(year(as_of) || ['-03-31', '-06-30', '-09-30', '-12-31'][CAST(id % 4 AS INTEGER) + 1] AS DATE)
+  WHEN id % 3 = 0 THEN CAST(year(as_of) AS VARCHAR) ELSE strftime(as_of, '%Y-%m-%d') END AS t, as_of FROM claims)
+SELECT id, CASE WHEN as_of IS NULL THEN NULL WHEN id % 2 = 0 THEN CASE WHEN year(as_of) >= 2000 THEN CAST(year(as_of) || ['-03-31', '-06-30', '-09-30', '-12-31'][CAST(id % 4 AS INTEGER) + 1] AS DATE) END
   WHEN id % 3 = 0 THEN CAST(year(as_of) || '-12-31' AS DATE) ELSE as_of END AS day FROM v""")
 def as_of_coerce(spark: SparkSession, d: str) -> DataFrame:
-    """Dates written as quarters, years and ISO dates."""
-    own = views.claims(spark, d).where("as_of >= DATE '2000-01-01'")
+    """Dates written as quarters, which years before 2000 are not read with, as years and as ISO dates."""
+    own = views.claims(spark, d)
     year = F.year("as_of").cast("string")
     written = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Q"), (1 + F.col("id") % 4).cast("string"), F.lit(" "), year)).when(
         F.col("id") % 3 == 0, year
@@ -417,20 +423,15 @@ def value_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {views.CLAIMS} SELECT subject_entity_id, predicate, object_value, min(id) AS id FROM claims GROUP BY 1, 2, 3""")
 def upsert_claims(spark: SparkSession, d: str) -> DataFrame:
     """The first claim of each natural key."""
-    first = Window.partitionBy("subject_entity_id", "predicate", "object_value").orderBy("id")
-    own = views.claims(spark, d).withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    return own.select("subject_entity_id", "predicate", "object_value", "id")
+    key = [F.col(c) for c in ("subject_entity_id", "predicate", "object_value")]
+    return extraction.merge_passes(views.claims(spark, d), key, ["id"]).select("subject_entity_id", "predicate", "object_value", "id")
 
 
 @query(f"""WITH {views.CLAIMS} SELECT 'claims' AS name, count(*) AS n FROM claims UNION ALL SELECT 'documents', count(*) FROM documents
 UNION ALL SELECT 'entities', count(*) FROM customer UNION ALL SELECT 'links', count(*) FROM (WITH {views.LINKS} SELECT * FROM links)""")
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
     tables = {"claims": views.claims(spark, d), "documents": views.documents(spark, d), "entities": views.read(spark, d, "customer"), "links": views.links(spark, d)}
-    counted = [t.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, t in tables.items()]
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out
+    return store.table_counts(tables)
 
 
 @query(f"""WITH {views.CLAIMS} SELECT id, lower(predicate) AS predicate FROM claims

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.operators import extraction
 from tidemark.sources import files
 
 from . import views
@@ -37,6 +38,12 @@ def table_texts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("region", files.table_text(F.col("rows")).alias("body"))
 
 
+@query("""SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title FROM pages""")
+def stripped_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles as pages are filed by."""
+    return views.read(spark, d, "pages").select("page_id", files.page_title(F.col("html")).alias("title"))
+
+
 @query()
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
     """All documents cut and packed into chunks; how pieces fall depends on those before, which SQL does not say."""
@@ -49,3 +56,27 @@ def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
 def slugs(spark: SparkSession, d: str) -> DataFrame:
     doc = views.read(spark, d, "documents")
     return doc.select("doc_id", text.slug(F.concat("source", F.lit("/"), "lang", F.lit(" #"), F.col("doc_id").cast("string"))).alias("slug"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN ':rev' WHEN 2 THEN 'margin' WHEN 3 THEN 'q1x' ELSE lower(o_orderpriority) END AS stripped FROM orders""")
+def loose_periods(spark: SparkSession, d: str) -> DataFrame:
+    """Predicates that are a period, have one before a colon, or two before a word, and some without."""
+    k = F.col("o_orderkey") % 5
+    raw = F.when(k == 0, " Q1").when(k == 1, "q1:rev").when(k == 2, "FY 2026 - margin").when(k == 3, "Q1x").otherwise(F.col("o_orderpriority"))
+    return views.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.strip_period_loosely(raw).alias("stripped"))
+
+
+@query(f"""WITH {views.CLAIMS}, {views.DOCUMENTS} SELECT c.id, coalesce(c.as_of, d.as_of) AS as_of FROM claims c LEFT JOIN docs d ON c.document_id = d.id WHERE subject_entity_id % 10 > 0""")
+def assembled_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims dated by their document if undated; every tenth subject is not resolved."""
+    days = views.documents(spark, d).select(F.col("id").alias("_d"), F.col("as_of").alias("document_as_of"))
+    own = views.claims(spark, d).join(days, F.col("document_id") == F.col("_d"), "left")
+    unresolved = own.withColumn("subject_entity_id", F.when(F.col("subject_entity_id") % 10 > 0, F.col("subject_entity_id")))
+    return extraction.assemble_claims(unresolved).select("id", "as_of")
+
+
+@query(f"""WITH {views.LINKS}, {views.DOCUMENTS} SELECT l.id, coalesce(l.as_of, d.as_of) AS as_of FROM links l LEFT JOIN docs d ON l.document_id = d.id WHERE from_entity_id <> to_entity_id""")
+def assembled_links(spark: SparkSession, d: str) -> DataFrame:
+    days = views.documents(spark, d).select(F.col("id").alias("_d"), F.col("as_of").alias("document_as_of"))
+    own = views.links(spark, d).join(days, F.col("document_id") == F.col("_d"), "left")
+    return extraction.assemble_links(own).select("id", "as_of")

@@ -34,3 +34,11 @@ KEYS = {
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
+
+
+def create(spark: SparkSession, database: str) -> list[str]:
+    """Creates what is missing of the store's tables, as Parquet, and returns the names of all of them."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
+    return sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES IN `{database}`").collect())

@@ -81,6 +81,11 @@ def _match(body: Column, pattern: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(body, pattern, 1)), F.lit(""))
 
 
+def page_title(html: Column) -> Column:
+    """The title of a page, null if it has none."""
+    return _match(html, r"(?is)<title>(.*?)</title>")
+
+
 def documents(found: DataFrame) -> DataFrame:
     """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text.
 
@@ -101,7 +106,7 @@ def documents(found: DataFrame) -> DataFrame:
     ).otherwise(document_date(raw, F.col("source_uri")))
     return rows.select(
         "source_uri", "source_type",
-        F.coalesce(by_kind(email=header("Subject"), dashboard=_match(raw, r"(?is)<title>(.*?)</title>")), heading, "source_uri").alias("title"),
+        F.coalesce(by_kind(email=header("Subject"), dashboard=page_title(raw)), heading, "source_uri").alias("title"),
         F.coalesce(
             by_kind(email=header("From"), code=_match(raw, r"Author:\s*([^.\n]+)")),
             _match(raw, r"(?m)^\s*[-*]?\s*\*\*(?:Name|Author):?\*\*\s*(.+?)\s*$"),
