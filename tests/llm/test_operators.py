@@ -49,6 +49,15 @@ def test_host_verdict(spark):
     rows = [(i, good if i % 5 == 0 else bad, "bad") for i in range(40)] + [(100 + i, good, f"g{i % 4}") for i in range(80)]
     judged = quality.judge_hosts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert not any(r["kept"] for r in judged if r["source"] == "bad") and all(r["kept"] for r in judged if r["source"] != "bad")
+    # by rule: each has counts and a prior of its own
+    own = {"bad": (40, 32), **{f"g{k}": (20, 0) for k in range(4)}}
+    rates = np.array([f / n for n, f in own.values()])
+    mean, sizes = 32 / 120, [n for n, _ in own.values()]
+    strength = min(max(mean * (1 - mean) / rates.var() - 1, 1.0), np.mean(sizes))
+    for r in judged:
+        n, f = own[r["source"]]
+        assert r["host_short"] == pytest.approx((f + mean * strength) / (n + strength)) and r["host_rate"] == max(r["host_short"], r["host_repetitive"])
+        assert r["host_repetitive"] < 0.01
 
 
 def test_lines(spark, odd):

@@ -1,9 +1,9 @@
 """Quality rules with host-level verdicts (DataFrame functions only).
 
 Every document gets its base figures in one projection, without a shuffle.
-The rule failures are then counted by host, the failure rates are shrunk with
-a beta prior fitted to all hosts by moments, and hosts whose shrunk rate is
-above a limit lose all their documents.
+The failures of each rule are then counted by host, the failure rates are
+shrunk with a beta prior of the rule, fitted to all hosts by moments, and hosts
+of which a shrunk rate is above a limit lose all their documents.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import NOT_BLANK, let, settle, words
 
 SYMBOLS = "[#*$%&|<>]"
+#: The rules that are counted by host: too few words, and too many of them in windows that repeat.
+RULES = {"short": "n_words < 10", "repetitive": "100 * n_repeat_words > 20 * n_words"}
 
 
 def repeated_words(tokens: Column, width: int = 5) -> Column:
@@ -72,19 +74,18 @@ def base_figures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
     )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return figures.withColumn("base_failed", failed)
+    return figures.withColumn("base_failed", F.expr(" OR ".join(RULES.values())))
 
 
-def beta_prior(hosts: DataFrame) -> tuple[float, float]:
-    """(alpha, beta) by moments from a table of hosts (n, failed); one row reaches the driver.
+def beta_prior(hosts: DataFrame, failed: str = "failed") -> tuple[float, float]:
+    """(alpha, beta) by moments from a table of hosts (n and a count of failures); one row reaches the driver.
 
     Without hosts, or where their rates do not differ, the prior is as strong
     as one average host, at the overall rate.
     """
-    rate = F.col("failed") / F.col("n")
+    rate = F.col(failed) / F.col("n")
     row = hosts.agg(
-        F.sum("failed").alias("failed"), F.sum("n").alias("n"), F.count("*").alias("hosts"), F.var_pop(rate).alias("var")
+        F.sum(failed).alias("failed"), F.sum("n").alias("n"), F.count("*").alias("hosts"), F.var_pop(rate).alias("var")
     ).first()
     if not row["n"]:
         return 1.0, 1.0
@@ -96,21 +97,22 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", limit: float = 0.5) -> DataFrame:
-    """Base figures of every document with its host's shrunk failure rate and the verdict ``kept``.
+    """Base figures of every document with its host's shrunk failure rates and the verdict ``kept``.
 
-    A document is kept if it passes the base rules and its host's shrunk rate
-    is at most ``limit``.  Documents without a host share one.  An empty table
+    host_<rule> is the host's shrunk rate of each rule, host_rate the greatest
+    of them.  A document is kept if it passes the base rules and host_rate is
+    at most ``limit``.  Documents without a host share one.  An empty table
     gives an empty result.  Hosts are aggregated with map-side partial counts,
     so a host with a third of all rows is one small row per task.
     """
     figures = settle(base_figures(docs, text, (id_col, host)))
-    hosts = settle(
-        figures.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    )
-    alpha, beta = beta_prior(hosts)
-    rates = hosts.select(
-        F.col(host).alias("_host"), ((F.col("failed") + alpha) / (F.col("n") + alpha + beta)).alias("host_rate")
-    )
+    failures = [F.count_if(F.expr(failed)).alias(rule) for rule, failed in RULES.items()]
+    hosts = settle(figures.groupBy(host).agg(F.count("*").alias("n"), *failures))
+    rates = hosts.select(F.col(host).alias("_host"), "n", *RULES)
+    for rule in RULES:
+        alpha, beta = beta_prior(hosts, rule)
+        rates = rates.withColumn(f"host_{rule}", (F.col(rule) + alpha) / (F.col("n") + alpha + beta))
+    rates = rates.select("_host", *[f"host_{r}" for r in RULES], F.greatest(*[f"host_{r}" for r in RULES]).alias("host_rate"))
     return (
         figures.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left")
         .drop("_host")

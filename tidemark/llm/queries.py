@@ -129,15 +129,18 @@ b AS (
     length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM g JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f GROUP BY source),
+f AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repetitive FROM b),
+h AS (SELECT source, count(*) AS n, sum(short::INT) AS fs, sum(repetitive::INT) AS fr FROM f GROUP BY source),
 m AS (
-  SELECT least(greatest(sum(failed) / sum(n), 1e-6), 1 - 1e-6) AS mean, var_pop(failed / n) AS v, sum(n) / count(*) AS avg_n FROM h),
-s AS (SELECT mean, least(greatest(CASE WHEN v > 0 THEN mean * (1 - mean) / v - 1 ELSE avg_n END, 1.0), greatest(avg_n, 1.0)) AS k FROM m),
-r AS (SELECT source, (failed + mean * k) / (n + k) AS host_rate FROM h, s)
+  SELECT sum(n) / count(*) AS avg_n, least(greatest(sum(fs) / sum(n), 1e-6), 1 - 1e-6) AS ms, var_pop(fs / n) AS vs,
+    least(greatest(sum(fr) / sum(n), 1e-6), 1 - 1e-6) AS mr, var_pop(fr / n) AS vr FROM h),
+s AS (
+  SELECT ms, mr, least(greatest(CASE WHEN vs > 0 THEN ms * (1 - ms) / vs - 1 ELSE avg_n END, 1.0), greatest(avg_n, 1.0)) AS ks,
+    least(greatest(CASE WHEN vr > 0 THEN mr * (1 - mr) / vr - 1 ELSE avg_n END, 1.0), greatest(avg_n, 1.0)) AS kr FROM m),
+r AS (SELECT source, greatest((fs + ms * ks) / (n + ks), (fr + mr * kr) / (n + kr)) AS host_rate FROM h, s)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
-  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND host_rate <= 0.5 AS kept
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, short OR repetitive AS base_failed,
+  NOT (short OR repetitive) AND host_rate <= 0.5 AS kept
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """,
     "op3_line_dedup": f"""
