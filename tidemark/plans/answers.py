@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.lineage import settle
 from tidemark.operators import answering, citations, contradictions, resolve, store, temporal
 
 from . import views
@@ -49,10 +52,6 @@ def no_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "entity_id bigint, alias string")
 
 
-def subjects(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.subjects_of(answering.terms(questions(spark, d)), entities(spark, d), no_aliases(spark))
-
-
 SUBJECTS = f"""{QUESTIONS}, {TERMS}, {ENTITIES},
 sf AS (SELECT question_id, id AS entity_id, min(pos) AS pos FROM terms JOIN entities ON lower(trim(term)) = canonical_name GROUP BY ALL),
 subjects AS (SELECT question_id, entity_id, row_number() OVER (PARTITION BY question_id ORDER BY pos, entity_id) AS position FROM sf
@@ -78,20 +77,12 @@ CONFLICTS = f"""conflicts AS (SELECT claim_a_id * 1000000 + claim_b_id AS id, su
   FROM ({_pair()}))"""
 
 
-def relevant(spark: SparkSession, d: str) -> DataFrame:
-    return answering.relevant(subjects(spark, d), answering.terms(questions(spark, d)), conflicts(spark, d))
-
-
 RELEVANT = f"""{SUBJECTS}, {CLAIMS}, {CONFLICTS},
 hits AS (SELECT question_id, id FROM subjects s JOIN conflicts c ON c.subject_entity_id = s.entity_id
   UNION SELECT question_id, id FROM terms t JOIN conflicts c ON lower(t.term) = c.predicate),
 relevant AS (SELECT * FROM hits JOIN conflicts USING (id))"""
 
 
-def gathered(spark: SparkSession, d: str) -> DataFrame:
-    return answering.gather_claims(subjects(spark, d), relevant(spark, d), claims(spark, d))
-
-
 GATHERED = f"""{RELEVANT},
 about AS (SELECT question_id, entity_id FROM subjects UNION SELECT question_id, subject_entity_id FROM relevant),
 sides AS (SELECT question_id, claim_a_id AS id FROM relevant UNION SELECT question_id, claim_b_id FROM relevant),
@@ -100,6 +91,51 @@ gm AS (SELECT a.question_id, c.*, s.id IS NOT NULL AS side FROM about a JOIN cla
 gathered AS (SELECT * FROM gm QUALIFY side OR row_number() OVER (PARTITION BY question_id ORDER BY side DESC, id) <= 50)"""
 
 
+def _link_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    found = contradictions.detect_links(views.links(spark, d))
+    return found.withColumns({"id": F.col("link_a_id") * 1000000 + F.col("link_b_id"), "claim_a_id": none, "claim_b_id": none})
+
+
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The document whose id the question has, as its passage."""
+    doc = views.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return questions(spark, d).select("question_id").join(doc, F.col("question_id") == F.col("id")).withColumn("rank", F.lit(1))
+
+
+class Ask:
+    """The steps from questions to facts, each settled once for all that follows."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return answering.terms(questions(self.spark, self.d))
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        return settle(resolve.subjects_of(self.terms, entities(self.spark, self.d), no_aliases(self.spark)))
+
+    @cached_property
+    def relevant(self) -> DataFrame:
+        return settle(answering.relevant(self.subjects, self.terms, conflicts(self.spark, self.d)))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return settle(answering.gather_claims(self.subjects, self.relevant, claims(self.spark, self.d)))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        own = self.subjects.select("question_id", F.col("entity_id").alias("subject_entity_id"))
+        found = _link_conflicts(self.spark, self.d).join(own, "subject_entity_id")
+        return settle(answering.gather_links(self.subjects, found, views.links(self.spark, self.d)))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return settle(answering.grounding(self.claims, excerpts(self.spark, self.d), self.links, entities(self.spark, self.d)))
+
+
 @query(f"""WITH {QUESTIONS}, low AS (SELECT question_id, question, lower(question) AS q FROM questions), f AS (SELECT question_id,
   {" OR ".join(f"contains(q, $${x}$$)" for x in answering.HIERARCHY)} AS h, {" OR ".join(f"contains(q, $${x}$$)" for x in answering.OWNERSHIP)} AS o,
   {" OR ".join(f"contains(q, $${x}$$)" for x in answering.CONFLICT + answering.METRIC)} AS c,
@@ -119,28 +155,17 @@ def question_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SUBJECTS} SELECT question_id, entity_id, position FROM subjects")
 def question_subjects(spark: SparkSession, d: str) -> DataFrame:
-    return subjects(spark, d).withColumn("position", F.col("position").cast("long"))
+    return Ask(spark, d).subjects.withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"WITH {RELEVANT} SELECT question_id, id, kind FROM relevant")
 def question_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return relevant(spark, d).select("question_id", "id", "kind")
+    return Ask(spark, d).relevant.select("question_id", "id", "kind")
 
 
 @query(f"WITH {GATHERED} SELECT question_id, id FROM gathered")
 def gathered_claims(spark: SparkSession, d: str) -> DataFrame:
-    return gathered(spark, d).select("question_id", "id")
-
-
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    """Reporting lines, with the contradictions of their targets."""
-    return views.links(spark, d)
-
-
-def _link_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("bigint")
-    found = contradictions.detect_links(_links(spark, d))
-    return found.withColumns({"id": F.col("link_a_id") * 1000000 + F.col("link_b_id"), "claim_a_id": none, "claim_b_id": none})
+    return Ask(spark, d).claims.select("question_id", "id")
 
 
 LINK_SIDES = f"""{SUBJECTS}, {views.LINKS},
@@ -155,25 +180,9 @@ lk AS (SELECT lm.*, ls.id IS NOT NULL AS side FROM lm LEFT JOIN ls USING (questi
 gathered_links AS (SELECT * FROM lk QUALIFY side OR row_number() OVER (PARTITION BY question_id ORDER BY side DESC, id) <= 12)"""
 
 
-def gathered_link_rows(spark: SparkSession, d: str) -> DataFrame:
-    s = subjects(spark, d)
-    found = _link_conflicts(spark, d).join(s.select("question_id", F.col("entity_id").alias("subject_entity_id")), "subject_entity_id")
-    return answering.gather_links(s, found, _links(spark, d))
-
-
 @query(f"WITH {LINK_SIDES} SELECT question_id, id FROM gathered_links")
 def gathered_links(spark: SparkSession, d: str) -> DataFrame:
-    return gathered_link_rows(spark, d).select("question_id", "id")
-
-
-def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """The document whose id the question has, as its passage."""
-    doc = views.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return questions(spark, d).select("question_id").join(doc, F.col("question_id") == F.col("id")).withColumn("rank", F.lit(1))
-
-
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    return answering.grounding(gathered(spark, d), excerpts(spark, d), gathered_link_rows(spark, d), entities(spark, d))
+    return Ask(spark, d).links.select("question_id", "id")
 
 
 DATED = "coalesce(' (as of ' || strftime(as_of, '%Y-%m-%d') || ')', '')"
@@ -190,13 +199,13 @@ facts AS (SELECT *, ['C', 'S', 'L'][block + 1] || k AS marker FROM (SELECT * FRO
 
 @query(f"WITH {FACTS} SELECT question_id, marker, kind, ref_id, sha256('[' || marker || '] ' || line) AS line_hash FROM facts")
 def grounding_facts(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).select("question_id", "marker", "kind", "ref_id", F.sha2("line", 256).alias("line_hash"))
+    return Ask(spark, d).facts.select("question_id", "marker", "kind", "ref_id", F.sha2("line", 256).alias("line_hash"))
 
 
 @query(f"""WITH {FACTS} SELECT question_id, sha256(string_agg('[' || marker || '] ' || line, chr(10) ORDER BY block, k)) AS grounding_hash, count(*) AS n
 FROM facts GROUP BY 1""")
 def grounding_texts(spark: SparkSession, d: str) -> DataFrame:
-    own = facts(spark, d)
+    own = Ask(spark, d).facts
     counted = own.groupBy("question_id").agg(F.count("*").alias("n"))
     return answering.grounding_text(own).join(counted, "question_id").select("question_id", F.sha2("grounding", 256).alias("grounding_hash"), "n")
 
@@ -207,7 +216,8 @@ FROM (SELECT *, kind AS kind_ FROM relevant) r JOIN facts a ON a.question_id = r
 JOIN facts b ON b.question_id = r.question_id AND b.kind = 'claim' AND b.ref_id = claim_b_id""")
 def contradiction_lines(spark: SparkSession, d: str) -> DataFrame:
     label = contradictions.label(F.col("kind"), F.col("claim_a_id"))
-    return answering.conflict_lines(relevant(spark, d), facts(spark, d), label)
+    ask = Ask(spark, d)
+    return answering.conflict_lines(ask.relevant, ask.facts, label)
 
 
 @query(f"""WITH {FACTS}, v AS (SELECT question_id, predicate, object_value AS value, count(*) AS n, max(as_of) AS freshest, min(id) AS least FROM gathered GROUP BY ALL),
@@ -219,11 +229,12 @@ SELECT r.question_id, r.predicate, sha256(string_agg(CASE WHEN rank = 1 THEN '-
     || coalesce(', freshest ' || strftime(freshest, '%Y-%m-%d'), '') || ' [' || marks || ']' ELSE '; dissent: ' || r.value || ' [' || marks || ']' END, '' ORDER BY rank)) AS line_hash
 FROM r JOIN m USING (question_id, predicate, value) WHERE total >= 2 GROUP BY 1, 2""")
 def consensus_blocks(spark: SparkSession, d: str) -> DataFrame:
-    own = gathered(spark, d)
+    ask = Ask(spark, d)
+    own = ask.claims
     ranked = temporal.consensus(own, ["question_id", "predicate"])
     t = own.withColumn("_t", text.value_text(F.col("object_value")))
     members = t.select("question_id", "predicate", text.value_key(F.col("_t"), text.value_number(F.col("_t"))).alias("value_key"), "id")
-    made = answering.consensus_lines(ranked, members, facts(spark, d))
+    made = answering.consensus_lines(ranked, members, ask.facts)
     return made.select("question_id", "predicate", F.sha2("line", 256).alias("line_hash"))
 
 
@@ -245,7 +256,7 @@ def _citations(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("bigint")
     c = citations.of_claims(claims(spark, d), chunks, docs).select(F.lit("claim").alias("kind"), F.col("claim_id").alias("ref_id"), "claim_id", "chunk_id", none.alias("link_id"), "source_uri", "snippet", "as_of")
     s = citations.of_chunks(chunks, docs).select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("ref_id"), none.alias("claim_id"), "chunk_id", none.alias("link_id"), "source_uri", "snippet", "as_of")
-    k = citations.of_links(_links(spark, d), chunks, docs).select(F.lit("link").alias("kind"), F.col("link_id").alias("ref_id"), none.alias("claim_id"), "chunk_id", "link_id", "source_uri", "snippet", "as_of")
+    k = citations.of_links(views.links(spark, d), chunks, docs).select(F.lit("link").alias("kind"), F.col("link_id").alias("ref_id"), none.alias("claim_id"), "chunk_id", "link_id", "source_uri", "snippet", "as_of")
     return c.unionByName(s).unionByName(k)
 
 
@@ -264,7 +275,7 @@ kept AS (SELECT sm.question_id, sm.pos, sm.text, sm.at, f.kind, f.ref_id, claim_
 
 @query(f"WITH {CITED} SELECT question_id, pos, kind, ref_id, source_uri, sha256(coalesce(snippet, '')) AS snippet_hash FROM kept")
 def enforced_citations(spark: SparkSession, d: str) -> DataFrame:
-    kept = answering.enforced(_sentences(spark, d), facts(spark, d), _citations(spark, d))
+    kept = answering.enforced(_sentences(spark, d), Ask(spark, d).facts, _citations(spark, d))
     return kept.select("question_id", F.col("pos").cast("long"), "kind", "ref_id", "source_uri", F.sha2(F.coalesce("snippet", F.lit("")), 256).alias("snippet_hash"))
 
 
@@ -277,7 +288,7 @@ FROM questions LEFT JOIN an USING (question_id) LEFT JOIN nc USING (question_id)
 def cited_answers(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from questions to answers; every other one has a confidence of its own."""
     q = questions(spark, d)
-    kept = answering.enforced(_sentences(spark, d), facts(spark, d), _citations(spark, d))
+    kept = answering.enforced(_sentences(spark, d), Ask(spark, d).facts, _citations(spark, d))
     sure = q.select("question_id", F.when(F.col("question_id") % 2 == 0, F.col("question_id") / 50.0).alias("confidence"))
     return answering.answers(q, kept, sure).select("question_id", "answer", "n_citations", F.round("confidence", 9).alias("confidence"))
 
