@@ -101,7 +101,8 @@ def documents(found: DataFrame) -> DataFrame:
     heading = _match(raw, r"(?m)^#\s+(.+?)\s*$")
     stamps = F.array_join(F.regexp_extract_all(raw, F.lit(r'(?s)class="[^"]*\b(?:subtitle|stamp)\b[^"]*"[^>]*>([^<]*)'), 1), "\n")
     by_kind = lambda **own: F.coalesce(*[F.when(kind == k, v) for k, v in own.items()])
-    day = F.when(kind == "dashboard", document_date(stamps, F.col("source_uri"))).when(
+    stamped = F.coalesce(document_date(stamps, F.lit("")), document_date(raw, F.col("source_uri")))
+    day = F.when(kind == "dashboard", stamped).when(
         kind == "email", F.coalesce(date_in(header("Date")), document_date(raw, F.col("source_uri")))
     ).otherwise(document_date(raw, F.col("source_uri")))
     return rows.select(
@@ -187,6 +188,10 @@ class _Element(list):
         parts = [x.text() if isinstance(x, _Element) else " ".join(x.split()) for x in self]
         return " ".join(p for p in parts if p)
 
+    def pieces(self) -> list[str]:
+        """The texts below, one by one."""
+        return [p for x in self for p in (x.pieces() if isinstance(x, _Element) else [" ".join(x.split())]) if p]
+
     def all(self, *names: str) -> Iterator["_Element"]:
         """Elements below with one of these classes or tags."""
         for x in self:
@@ -226,7 +231,7 @@ class _Page(HTMLParser):
 
 
 def dashboard_segments(body: str, day: object = None) -> list[tuple[str, bool]]:
-    """Cards (label, value and change joined by dashes), sections (heading, then table rows or text), banners and notes, each with the page's date.
+    """Cards (label, value and change, or else all their texts, joined by dashes), sections (heading, then table rows or text), banners and notes, each with the page's date.
 
     Without any of these the whole text; raises on a page without text.
     """
@@ -235,7 +240,7 @@ def dashboard_segments(body: str, day: object = None) -> list[tuple[str, bool]]:
     mark = f"(as of {day})" if day is not None and day == day else "(as of unknown)"
     out = []
     for card in page.root.all(".card"):
-        told = " — ".join(x for x in (card.first_text(c) for c in (".label", ".value", ".delta")) if x)
+        told = " — ".join([x for x in (card.first_text(c) for c in (".label", ".value", ".delta")) if x] or card.pieces())
         out += [(f"{told} {mark}", True)] if told else []
     for section in page.root.all(".section"):
         table = next(section.all("table"), None)
