@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licences, lines, mixing, packing, quality, simhash, toxicity, vectors, wordpiece
+from . import chat, collocations, licences, lines, mixing, packing, quality, repair, simhash, toxicity, vectors, wordpiece
 from .common import table
 
 TOXIC_AT = 0.3
@@ -96,11 +96,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damage(table(spark, sf_dir, "conversations"))
+    told = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    return repair.repair(rows, present=F.col("present")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(told, "\n"), 256).alias("repaired_sha256")
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_quality_rules, op3_line_dedup, op4_chat_format, op5_near_vectors,
         op6_token_counts, op7_licence_scan, op8_packing, op9_simhash, op10_toxicity,
+        op12_repair, op13_collocations,
     )
 }
 
@@ -167,5 +180,80 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(CASE WHEN starts THEN 6 + length(role) ELSE 7 END + length(body) + CASE WHEN ends THEN 8 ELSE 0 END)::BIGINT AS formatted_chars
 FROM p GROUP BY conv_id
+""",
+    "op12_repair": r"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS fate FROM d),
+g AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM f, range(2) t(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM o),
+r AS (
+  SELECT conv_id, turn, pos, role, text, left(role, 1) AS said, final = '' AS blank, final <> '' AND again AS duplicate,
+    final <> '' AND NOT again AND NOT regexp_matches(final, '[.!?]') AS truncated,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) || left(role, 1) AS pair FROM p),
+fig AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM r GROUP BY conv_id),
+ins(q, fee, letters, lines, q2) AS (
+  VALUES (0, 0, '', []::VARCHAR[], 0), (1, 0, '', [], 1), (2, 0, '', [], 2), (3, 0, '', [], 3), (0, 3, 'I', ['user:'], 2), (1, 3, 'I', ['user:'], 2),
+    (2, 3, 'I', ['assistant:'], 3), (3, 3, 'I', ['user:'], 2), (0, 6, 'II', ['user:', 'assistant:'], 3), (1, 6, 'II', ['user:', 'assistant:'], 3),
+    (2, 6, 'II', ['assistant:', 'user:'], 2), (3, 6, 'II', ['user:', 'assistant:'], 3)),
+step(q2, made, q3) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ed AS (
+  SELECT conv_id, pos, 'D' AS letter, 4 AS fee, NULL AS made, []::VARCHAR[] AS lines FROM r
+  UNION ALL SELECT conv_id, pos, 'K', CASE WHEN truncated THEN 3 ELSE 0 END, said, [role || ':' || text] FROM r
+  WHERE NOT blank AND NOT duplicate AND said IN ('s', 'u', 'a')
+  UNION ALL SELECT conv_id, pos, 'R', CASE WHEN truncated THEN 6 ELSE 3 END, left(name, 1), [name || ':' || text]
+  FROM r, (VALUES ('user'), ('assistant')) v(name) WHERE NOT blank AND NOT duplicate AND said <> left(name, 1)),
+w AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS q, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM fig
+  UNION ALL
+  SELECT conv_id, pos, q, min(best) AS best FROM (
+    SELECT w.conv_id, ed.pos, coalesce(q3, ins.q2) AS q, {'cost': best.cost + ins.fee + ed.fee, 'audit': best.audit || ins.letters || letter,
+      'lines': list_concat(list_concat(best.lines, ins.lines), ed.lines)} AS best
+    FROM w JOIN ins ON w.q = ins.q JOIN ed ON ed.conv_id IS NOT DISTINCT FROM w.conv_id AND ed.pos = w.pos + 1
+    LEFT JOIN step ON step.q2 = ins.q2 AND step.made = ed.made WHERE ed.made IS NULL OR q3 IS NOT NULL)
+  GROUP BY conv_id, pos, q),
+e AS (
+  SELECT fig.conv_id, min({'cost': best.cost + fee, 'audit': best.audit || letters, 'lines': list_concat(best.lines, ins.lines)}) AS best
+  FROM w JOIN fig ON fig.conv_id IS NOT DISTINCT FROM w.conv_id AND n = pos JOIN ins ON w.q = ins.q WHERE q2 IN (0, 3) GROUP BY fig.conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN fig ON i.conv_id IS NOT DISTINCT FROM fig.conv_id
+LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id
+""",
+    "op13_collocations": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, len, unnest([array_to_string(ws[i:i + len - 1], ' ') FOR i IN range(1, len(ws) - len + 2)]) AS phrase FROM w, range(1, 6) t(len)),
+c AS (SELECT lang, len, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE len = 1 GROUP BY lang),
+k AS (SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE len >= 2 AND f >= 100),
+x AS (SELECT *, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail FROM k, range(1, 5) r(cut) WHERE cut < len),
+s AS (
+  SELECT x.lang, x.phrase, cut, a, h.f AS l, q.f AS r, n, (1000 * a * n) // (h.f * q.f) AS score
+  FROM x JOIN c h ON x.lang = h.lang AND head = h.phrase JOIN c q ON x.lang = q.lang AND tail = q.phrase JOIN t ON x.lang = t.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[o:o + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM k, range(2, 5) v(size), range(1, 5) u(o) WHERE size < len AND o + size - 1 <= len GROUP BY ALL),
+z AS (
+  SELECT b.* FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z QUALIFY rank <= 2000
 """,
 }
