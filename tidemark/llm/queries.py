@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, licences, lines, mixing, packing, quality, repair, simhash, toxicity, vectors, wordpiece
+from . import chat, collocations, licences, lines, mixing, packing, quality, repair, restaurants, simhash, toxicity, vectors, wordpiece
 from .common import table
 
 TOXIC_AT = 0.3
@@ -96,6 +96,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restaurants.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repair.damage(table(spark, sf_dir, "conversations"))
     told = F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
@@ -113,7 +117,7 @@ QUERIES = {
     for f in (
         op1_mixing, op2_quality_rules, op3_line_dedup, op4_chat_format, op5_near_vectors,
         op6_token_counts, op7_licence_scan, op8_packing, op9_simhash, op10_toxicity,
-        op12_repair, op13_collocations,
+        op11_lm_scores, op12_repair, op13_collocations,
     )
 }
 
