@@ -115,15 +115,31 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     if counts is None:
         found, n = np.unique(keys, return_counts=True)
         return found, n.astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[heads], np.add.reduceat(counts[order], heads) if len(heads) else np.zeros(0, np.uint64)
 
 
-def buckets_of(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, its place) of sorted keys dealt by their highest ``bits``."""
-    owner = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def merged(sorted_keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of several sorted lists, the sums of their counts, and the places of each list's keys among them."""
+    keys = np.sort(np.concatenate(sorted_keys))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    sums, places = np.zeros(len(keys), np.uint64), []
+    for own, n in zip(sorted_keys, counts):
+        places.append(np.searchsorted(keys, own))
+        sums[places[-1]] += n
+    return keys, sums, places
+
+
+def bucket_bits(tokens: int, partitions: int, each: int = 1 << 16) -> int:
+    """Bits for buckets of about ``each`` keys, but four for a shuffle partition at most: a task's keys shall fill them."""
+    return min(max(tokens // each, 1).bit_length(), (4 * partitions - 1).bit_length())
+
+
+def buckets_of(keys: np.ndarray, bits: int, wide: int = 64) -> Iterator[tuple[int, slice]]:
+    """(bucket, its place) of sorted keys of ``wide`` bits dealt by their highest ``bits``."""
+    owner = (keys >> np.uint64(wide - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(keys) else []
     for head, stop in zip(heads, [*heads[1:], len(keys)]):
         yield int(owner[head]), slice(int(head), int(stop))
@@ -138,35 +154,32 @@ def packed_batch(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBa
     )
 
 
-def merge_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of all rows of one bucket, added up."""
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    return summed(np.concatenate(keys), np.concatenate([unplaned(x) for x in table.column("counts").to_pylist()]))
+def count_keys(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], bits: int, hold: int = 1 << 21) -> DataFrame:
+    """(bucket, keys, counts), one row a bucket: the keys that ``of_batch`` draws from ``rows``, with the sums of their weights (none: one each).
 
-
-def count_keys(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], bits: int, hold: int = 1 << 22) -> DataFrame:
-    """(bucket, keys, counts), one row a bucket: the keys that ``of_batch`` draws from ``rows``, with the sums of their weights.
-
-    A task adds up ``hold`` keys before it hands them on, and once more when it
-    has gathered as many sums, so that a key that is everywhere costs it a few
-    entries.
+    A task adds up ``hold`` keys before it hands them on, so that a key that is
+    everywhere costs it a few entries.
     """
 
+    def told(kept: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+        keys = np.concatenate([k for k, _ in kept])
+        weights = None if kept[0][1] is None else np.concatenate([n for _, n in kept])
+        return packed_batch(*summed(keys, weights), bits)
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
-            for keys, counts in of_batch(batch):
-                kept.append((keys, np.ones(len(keys), np.uint64) if counts is None else counts))
-                size += len(keys)
+            for drawn in of_batch(batch):
+                kept.append(drawn)
+                size += len(drawn[0])
                 if size >= hold:
-                    keys, counts = summed(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept]))
+                    yield told(kept)
                     kept, size = [], 0
-                    yield packed_batch(keys, counts, bits)
         if size:
-            yield packed_batch(*summed(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])), bits)
+            yield told(kept)
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = merge_bucket(table)
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([table.column("bucket").combine_chunks()[:1], pa.array([pack_sorted(keys)], pa.binary()), pa.array([planes(counts)], pa.binary())], ["bucket", "keys", "counts"])])
+        keys, counts, _ = merged([unpack_sorted(x) for x in table.column("keys").to_pylist()], [unplaned(x) for x in table.column("counts").to_pylist()])
+        return pa.table({"bucket": table.column("bucket").combine_chunks()[:1], "keys": pa.array([pack_sorted(keys)], pa.binary()), "counts": pa.array([planes(counts)], pa.binary())})
 
     return rows.mapInArrow(parts, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)

@@ -9,7 +9,7 @@ chunks, weighted by frequency; one that begins in the overlap belongs to the
 next chunk, so that each occurrence counts once.
 
 Rare phrases are pruned level by level: words, pairs of frequent words, longer
-phrases all of whose pairs are frequent.  What is frequent is told by filters
+phrases all of whose pairs are frequent, and words of such pairs.  What is frequent is told by filters
 of a fixed size, which never lose a frequent phrase; what passes them is then
 counted by its text.
 """
@@ -20,11 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import Words, byte_kinds, count_keys, mixed, split_words, summed, unpack_sorted, unplaned
+from .batches import Words, bucket_bits, buckets_of, byte_kinds, count_keys, mixed, split_words, summed, unpack_sorted, unplaned
 from .common import arrow_batches, settle
 
 KINDS = byte_kinds(" \t", ".,;:!?\n\x0b\x0c\r")
@@ -32,7 +33,10 @@ TRIGGER = 16
 #: Bits of a filter: 16 MB, whatever the number of frequent phrases.  With very many of them a filter prunes less.
 FILTER_BITS = 27
 HOLD_TEXTS = 400_000
-_JOIN = np.uint64(0xD6E8FEB86659FD93)
+#: Languages whose totals are broadcast; with more of them they are joined by shuffle.
+FEW_LANGUAGES = 10_000
+_COUNTED = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
+_JOIN, _ALONE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A5_0F0F_3C3C_5A5A)
 
 
 def parse(docs: DataFrame, longest: int = 5, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -115,21 +119,22 @@ def _filter_of(counted: DataFrame, at_least: int) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, f) of all phrases of up to ``longest`` words found ``at_least`` times, and (lang, n) with all word occurrences."""
+    """(lang, phrase, words, f) of all phrases of 2 to ``longest`` words found ``at_least`` times and of the words in them, and (lang, n) with all word occurrences."""
     spark = docs.sparkSession
     arrow_batches(spark)
     chunks = settle(parse(docs, longest, lang, text))
     arrow_batches(spark, 20_000)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = min((4 * parts - 1).bit_length(), FILTER_BITS)
+    totals = settle(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n")))
+    tokens = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(bucket_bits(tokens, int(spark.conf.get("spark.sql.shuffle.partitions"))), FILTER_BITS)
 
     def level(draw: Callable[[_Chunks], Iterator[tuple[np.ndarray, np.ndarray]]]):
         def of_batch(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             chunks = _Chunks(batch)
-            for at, keys in draw(chunks):
-                yield keys, chunks.weights[at]
+            for at, keys, *weights in draw(chunks):
+                yield keys, weights[0] if weights else chunks.weights[at]
 
-        return spark.sparkContext.broadcast(_filter_of(count_keys(chunks, of_batch, bucket_bits), at_least))
+        return spark.sparkContext.broadcast(_filter_of(count_keys(chunks, of_batch, bits), at_least))
 
     def words(c: _Chunks):
         at = np.flatnonzero(c.owned)
@@ -148,6 +153,11 @@ def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, lang:
 
     def longer(c: _Chunks):
         good = _passes(frequent_pairs.value, c.pair_keys())
+        inside = good.copy()
+        inside[1:] |= good[:-1]
+        at = np.flatnonzero(inside)  # own or not: a word that begins a chunk may have its pair in the chunk before
+        kept, first = np.unique(c.keys[at], return_index=True)
+        yield at[first], mixed(kept ^ _ALONE), np.full(len(kept), at_least, np.uint64)
         for n, at, keys in c.grams(longest):
             if n > 2:
                 all_good = np.logical_and.reduce([good[at + k] for k in range(n - 1)])
@@ -159,18 +169,18 @@ def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, lang:
         held: dict[int, list] = {}
 
         def told() -> pa.RecordBatch:
-            rows = list(held.values())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())],
-                ["lang", "phrase", "words", "f"],
-            )
+            order = sorted(held)
+            cut = list(buckets_of(np.array(order, np.uint64), bits))
+            columns = zip(*[held[k] for k in order])
+            rows = pa.StructArray.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, _COUNTED)], fields=list(_COUNTED))
+            places = pa.array([0, *[own.stop for _, own in cut]], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut], pa.int32()), pa.ListArray.from_arrays(places, rows)], ["bucket", "found"])
 
         for batch in batches:
             c = _Chunks(batch)
             body = c.words.body.tobytes()
-            filters = {1: frequent_words, 2: frequent_pairs}
             for n, at, keys in c.grams(longest):
-                passed = _passes(filters.get(n, frequent_longer).value, keys)
+                passed = _passes(frequent_pairs.value, keys) if n == 2 else _passes(frequent_longer.value, mixed(keys ^ _ALONE) if n == 1 else keys)
                 at, keys = at[passed], keys[passed]
                 distinct, first = np.unique(keys, return_index=True)
                 _, sums = summed(keys, c.weights[at])
@@ -186,9 +196,14 @@ def phrase_counts(docs: DataFrame, longest: int = 5, at_least: int = 100, lang:
         if held:
             yield told()
 
-    found = chunks.mapInArrow(count_texts, "lang string, phrase string, words int, f bigint")
-    found = settle(found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= at_least))
-    totals = settle(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n")))
+    def add(table: pa.Table) -> pa.Table:
+        rows = pc.list_flatten(table.column("found").combine_chunks()).flatten()
+        sums = pa.table(rows, ["lang", "phrase", "words", "f"]).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("f", "sum")])
+        return sums.filter(pc.greater_equal(sums["f_sum"], at_least)).rename_columns(["lang", "phrase", "words", "f"])
+
+    kind = "lang string, phrase string, words int, f bigint"
+    found = chunks.mapInArrow(count_texts, f"bucket int, found array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
+    found = settle(found.groupBy("bucket").applyInArrow(add, kind))
     return found, totals
 
 
@@ -216,7 +231,7 @@ def collocations(docs: DataFrame, longest: int = 5, at_least: int = 100, top: in
     scored = (
         cuts.join(left, ["lang", "left_part"])
         .join(right, ["lang", "right_part"])
-        .join(totals, "lang")
+        .join(F.broadcast(totals) if totals.count() <= FEW_LANGUAGES else totals, "lang")
         .select("*", (thousand * (exact["a"] * exact["n"])).alias("_over"), (exact["l"] * exact["r"]).alias("_under"))
         .withColumn("score", F.expr("_over div _under"))
     )

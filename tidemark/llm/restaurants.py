@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BLANK, PACKED, buckets_of, byte_kinds, count_keys, mixed, pack_sorted, planes, split_words, summed, unpack_sorted, unplaned
+from .batches import bucket_bits, buckets_of, byte_kinds, count_keys, merged, mixed, pack_sorted, planes, split_words, unpack_sorted, unplaned
 from .common import BLANKS, arrow_batches, settle
 
 KINDS = byte_kinds(BLANKS)
@@ -43,10 +44,16 @@ EXACT = 64
 #: Bytes of text in a block that asks for probabilities at once.
 BLOCK = 1 << 24
 END = mixed(np.array([0x5EED_E17D], np.uint64))[0]
-_ODD = 0xA0761D6478BD642F
-_BACK = np.uint64(pow(_ODD, -1, 1 << 64))
+#: A dish takes 21 bits, a pair 42; multiplying by an odd number modulo 2 ** 42 spreads pairs over the buckets.
+DISH_BITS = 21
+_SHIFT, _PAIR = np.uint64(DISH_BITS), np.uint64((1 << 2 * DISH_BITS) - 1)
+_ODD = 0xA0761D6478B
+_BACK = np.uint64(pow(_ODD, -1, 1 << 2 * DISH_BITS))
 _ODD = np.uint64(_ODD)
-_SHIFT = np.uint64(21)
+#: Log10 probabilities travel as multiples of this.
+_STEP = 2.0**-18
+#: Bits of a key's head by which words are looked up.
+_HEAD = np.uint64(64 - 20)
 
 
 def table_weights(discount: float, most: int = EXACT) -> np.ndarray:
@@ -124,9 +131,24 @@ class Lexicon:
     def words(self) -> int:
         return int((self.counts > 0).sum()) + self.rare_words
 
+    @cached_property
+    def _heads(self) -> np.ndarray:
+        """Where the words begin whose keys have the same highest bits."""
+        return np.searchsorted(self.keys, np.arange((1 << 20) + 1, dtype=np.uint64) << _HEAD).astype(np.int32) if len(self.keys) else None
+
     def dishes(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys))
+        heads, many = self._heads, len(self.keys)
+        head = (keys >> _HEAD).astype(np.int64)
+        at, stop = heads[head], np.where(head + 1 < len(heads) - 1, heads[head + 1], many)
+        found = np.full(len(keys), many, np.int64)
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            hit = self.keys[at[open_]] == keys[open_]
+            found[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return found
 
     def customers(self) -> np.ndarray:
         """How often each dish follows anything, and so how often its own restaurant is asked."""
@@ -135,12 +157,11 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class State:
-    """Tables of every restaurant and dish, by chain, and what the root predicts."""
+    """Tables of every restaurant by chain, and what the root predicts for each dish."""
 
     strength: float
     discounts: tuple[float, float]
     by_context: np.ndarray
-    by_dish: np.ndarray
     root: np.ndarray
 
     def mass(self, contexts: np.ndarray, dishes: np.ndarray) -> np.ndarray:
@@ -172,25 +193,25 @@ def _pair_keys(lexicon: Lexicon, keys: np.ndarray, rows: np.ndarray) -> tuple[np
     """(pairs as one spread-out number each, dishes of the words)."""
     dishes = lexicon.dishes(keys)
     contexts = _before(dishes, int(lexicon.dishes(np.array([END]))[0]), rows)
-    return (contexts.astype(np.uint64) << _SHIFT | dishes.astype(np.uint64)) * _ODD, dishes
+    return (contexts.astype(np.uint64) << _SHIFT | dishes.astype(np.uint64)) * _ODD & _PAIR, dishes
 
 
 def _pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = keys * _BACK
-    return (pairs >> _SHIFT).astype(np.int64), (pairs & np.uint64((1 << 21) - 1)).astype(np.int64)
+    pairs = keys * _BACK & _PAIR
+    return (pairs >> _SHIFT).astype(np.int64), (pairs & np.uint64((1 << DISH_BITS) - 1)).astype(np.int64)
 
 
-def _bucket_bits(spark, each: int = 8) -> int:
-    return (each * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+def _parts(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def count_words(texts: DataFrame, most: int = WORDS) -> tuple[Lexicon, DataFrame]:
+def count_words(texts: DataFrame, bits: int, most: int = WORDS) -> tuple[Lexicon, DataFrame]:
     """The lexicon of ``texts`` (one column), and all its words by bucket with their counts."""
 
     def of_batch(batch: pa.RecordBatch):
         yield _streams(batch, 0)[0], None
 
-    counted = settle(count_keys(texts, of_batch, _bucket_bits(texts.sparkSession)))
+    counted = settle(count_keys(texts, of_batch, bits))
 
     def spectrum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,49 +248,65 @@ def count_words(texts: DataFrame, most: int = WORDS) -> tuple[Lexicon, DataFrame
 
 
 def _totals(pairs: DataFrame, lexicon, state, seed: int, chains: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tables summed by context and by dish after a draw, and how many pairs were counted once and twice; without a state every pair has one table."""
+    """Tables of pairs with several customers, summed by context and by dish after a draw, and how many pairs were counted once and twice.
+
+    Without a state there are two columns: pairs with one customer, and those
+    with more, each pair at one table.
+    """
     stretch, size = 1 << 14, len(lexicon.value.keys) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, size, chains), np.int64)
         seen = np.zeros(3, np.int64)
         for batch in batches:
-            for bucket, keys, counts in zip(*[c.to_pylist() for c in batch.columns[:3]]):
-                contexts, dishes = _pairs(unpack_sorted(keys))
-                customers = unplaned(counts).astype(np.int64)
-                tables = _drawn(state and state.value, contexts, dishes, customers, seed, bucket, chains)
+            for bucket, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "keys", "counts")]):
+                keys, customers = unpack_sorted(keys), unplaned(counts).astype(np.int64)
                 seen += np.bincount(np.minimum(customers, 3), minlength=4)[1:]
+                own = np.flatnonzero(customers > (state is not None))
+                contexts, dishes = _pairs(keys[own])
+                if state is None:
+                    tables = np.stack((customers[own] == 1, customers[own] > 1), 1)
+                else:
+                    tables = _drawn(state.value, contexts, dishes, customers[own], seed, bucket)
                 for k in range(chains):
                     for which, ids in enumerate((contexts, dishes)):
                         sums[which, :, k] += np.bincount(ids, tables[:, k], size).astype(np.int64)
         for at in range(0, size, stretch):
-            part = sums[:, at : at + stretch]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // stretch], pa.int32()), pa.array([planes(part.reshape(-1).astype(np.uint64))], pa.binary())], ["part", "sums"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([planes(seen.astype(np.uint64))], pa.binary())], ["part", "sums"])
+            part = sums[:, at : at + stretch].reshape(2 * min(stretch, size - at), chains)
+            if len(places := np.flatnonzero(part.any(axis=1))):
+                yield _sum_row(at // stretch, places, part[places])
+        yield _sum_row(-1, np.zeros(1, np.int64), seen[None])
 
     def add(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table.column("part").combine_chunks()[:1], "sums": pa.array([planes(sum(unplaned(x) for x in table.column("sums").to_pylist()))], pa.binary())})
-
-    kind = "part int, sums binary"
-    done = {r["part"]: unplaned(r["sums"]).astype(np.int64) for r in pairs.mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).collect()}
-    seen = done.pop(-1, np.zeros(3, np.int64))
-    sums = np.zeros((2, size, chains), np.int64)
-    for part, values in done.items():
-        own = sums[:, part * stretch : (part + 1) * stretch]
-        own += values.reshape(own.shape)
+        rows = [(unpack_sorted(p).astype(np.int64), unplaned(v).astype(np.int64)) for p, v in zip(table.column("places").to_pylist(), table.column("sums").to_pylist())]
+        wide = len(rows[0][1]) // len(rows[0][0])
+        total = np.zeros((max(int(p[-1]) for p, _ in rows) + 1, wide), np.int64)
+        for places, values in rows:
+            total[places] += values.reshape(-1, wide)
+        places = np.flatnonzero(total.any(axis=1)) if total.any() else np.zeros(1, np.int64)
+        return pa.Table.from_batches([_sum_row(table.column("part")[0].as_py(), places, total[places])])
+
+    kind = "part int, places binary, sums binary"
+    sums, seen = np.zeros((2, size, chains), np.int64), np.zeros(3, np.int64)
+    for row in pairs.mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind).collect():
+        places, values = unpack_sorted(row["places"]).astype(np.int64), unplaned(row["sums"]).astype(np.int64)
+        if row["part"] < 0:
+            seen = values
+            continue
+        at = row["part"] * stretch
+        which, ids = divmod(places, min(stretch, size - at))
+        sums[which, at + ids] = values.reshape(-1, chains)
     return sums[0], sums[1], seen
 
 
-def _drawn(state: State | None, contexts, dishes, customers, seed: int, bucket: int, chains: int) -> np.ndarray:
-    """Tables of one bucket's pairs; the same whenever it is drawn again with that seed."""
-    tables = np.ones((len(customers), chains), np.int64)
-    tables[customers == 0] = 0
-    shared = np.flatnonzero(customers > 1)
-    if state is not None and len(shared):
-        rng = np.random.default_rng((seed, bucket))
-        tables[shared] = draw_tables(customers[shared], state.mass(contexts[shared], dishes[shared]), state.discounts[1], rng)
-    return tables
+def _sum_row(part: int, places: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([pack_sorted(places.astype(np.uint64))], pa.binary()), pa.array([planes(sums.reshape(-1).astype(np.uint64))], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "places", "sums"])
+
+
+def _drawn(state: State, contexts, dishes, customers, seed: int, bucket: int) -> np.ndarray:
+    """Tables of those pairs of one bucket that have several customers; the same whenever they are drawn again with that seed."""
+    return draw_tables(customers, state.mass(contexts, dishes), state.discounts[1], np.random.default_rng((seed, bucket)))
 
 
 def _discount(once: int, twice: int) -> float:
@@ -289,16 +326,14 @@ def _seat_root(customers: np.ndarray, strength: float, discount: float, rng: np.
 
 @dataclass(frozen=True)
 class Model:
+    """What scoring needs: the buckets' pairs and rare words with the blocks that ask for them, and the last two states."""
+
     lexicon: Lexicon
-    words: DataFrame
-    asked: DataFrame
+    gathered: DataFrame
+    bits: tuple[int, int]
     drawn_from: State
     state: State
     seed: int
-    chains: int
-
-    def probabilities(self, contexts: np.ndarray, dishes: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        return predictive(self.state, self.lexicon.customers(), contexts, dishes, customers, tables)
 
 
 def predictive(state: State, asked: np.ndarray, contexts: np.ndarray, dishes: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -307,77 +342,87 @@ def predictive(state: State, asked: np.ndarray, contexts: np.ndarray, dishes: np
     return (over / (state.strength + asked[contexts])[:, None]).mean(axis=1)
 
 
-def with_blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(block, number, learns, id, text): rows dealt into blocks of ``BLOCK`` bytes in the order in which a task reads them.
-
-    It is worked out each time ``docs`` is read, so ``docs`` must give its rows
-    in the same partitions and order then, as files and checkpoints do.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, read, row = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in batches:
-            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)) + read
-            block = place + size // BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(place + row + np.arange(batch.num_rows), pa.int64()), *batch.columns], ["block", "number", "learns", "id", "text"])
-            read, row = int(size[-1]) if len(size) else read, row + batch.num_rows
-
-    rows = docs.select(learn_from(id_col).alias("learns"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"block bigint, number bigint, learns boolean, id {kind}, text string")
-
-
 #: What a block asks a bucket: its distinct pairs with their counts in texts learned from, or its rare words.
 ASKED = "block bigint, bucket int, rare boolean, keys binary, counts binary"
+_ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("rare", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _asked_by(lexicon: Lexicon, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct pairs, their counts where learned from, distinct rare words) of a block."""
-    pairs = np.concatenate([p for p, _, _ in parts])
-    learned = np.concatenate([n for _, n, _ in parts])
-    return *summed(pairs, learned), np.unique(np.concatenate([r for _, _, r in parts]))
-
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Blocks of ``BLOCK`` bytes of text, named by the partition and their place in it, in the order in which a task reads rows."""
+    name, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
+        if size >= BLOCK:
+            yield name, held
+            name, held, size = name + 1, [], 0
+    if held:
+        yield name, held
 
-def ask(blocks: DataFrame, lexicon, bits: int) -> DataFrame:
-    """The questions of all blocks, and with them the counts of pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
+def _tokens_of(lexicon: Lexicon, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(pairs with 1 in the lowest bit where learned from, rare word keys, dishes, keys, rows) of the tokens of (learns, id, text) rows."""
+    keys, rows = _streams(batch, 2)
+    pairs, dishes = _pair_keys(lexicon, keys, rows)
+    learned = batch.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.uint64)
+    return pairs << np.uint64(1) | learned, keys[dishes == len(lexicon.keys)], dishes, keys, rows
 
-        def told() -> pa.RecordBatch:
-            pairs, learned, rare = _asked_by(lexicon.value, parts)
-            found = [(b, False, pack_sorted(pairs[s]), planes(learned[s])) for b, s in buckets_of(pairs, bits)]
-            found += [(b, True, pack_sorted(rare[s]), b"") for b, s in buckets_of(rare, bits)]
-            return pa.RecordBatch.from_pylist([{"block": block, "bucket": b, "rare": r, "keys": k, "counts": c} for b, r, k, c in found], _ASKED)
 
-        for batch in batches:
-            names = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(names, prepend=names[:1] - 1)).tolist()
-            for start, stop in zip(cuts, [*cuts[1:], len(names)]):
-                if block is not None and names[start] != block:
-                    yield told()
-                    parts = []
-                block = int(names[start])
-                parts.append(_tokens_of(lexicon.value, batch.slice(start, stop - start))[:3])
-        if parts:
-            yield told()
+def _questions(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs, their counts where learned from, distinct rare words) of a block."""
+    marked = np.sort(np.concatenate([p[0] for p in parts]))
+    pairs = marked >> np.uint64(1)
+    heads = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+    counts = np.add.reduceat(marked & np.uint64(1), heads) if len(heads) else np.zeros(0, np.uint64)
+    return pairs[heads], counts, np.unique(np.concatenate([p[1] for p in parts]))
 
-    return blocks.mapInArrow(run, ASKED)
 
+def _rows_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(learn_from(id_col).alias("learns"), F.col(id_col).alias("id"), F.col(text).alias("text"))
 
-_ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("rare", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
+def ask(rows: DataFrame, lexicon, bits: tuple[int, int]) -> DataFrame:
+    """The questions of all blocks, and with them the counts of pairs."""
 
-def _tokens_of(lexicon: Lexicon, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, 1 where learned from, rare word keys, dishes, keys, rows) of the tokens of a batch of blocks."""
-    keys, rows = _streams(batch, 4)
-    pairs, dishes = _pair_keys(lexicon, keys, rows)
-    learned = batch.column(2).to_numpy(zero_copy_only=False)[rows].astype(np.uint64)
-    return pairs, learned, keys[dishes == len(lexicon.keys)], dishes, keys, rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches):
+            pairs, learned, rare = _questions([_tokens_of(lexicon.value, b)[:2] for b in held])
+            found = [(b, False, pack_sorted(pairs[s]), planes(learned[s])) for b, s in buckets_of(pairs, bits[0], 2 * DISH_BITS)]
+            found += [(b, True, pack_sorted(rare[s]), b"") for b, s in buckets_of(rare, bits[1])]
+            yield pa.RecordBatch.from_pylist([{"block": block, "bucket": b, "rare": r, "keys": k, "counts": c} for b, r, k, c in found], _ASKED)
+
+    return rows.mapInArrow(run, ASKED)
+
+
+#: Of a bucket: distinct keys (of pairs those learned from, then apart the others), counts, and by block the places of what it asks among all of them.
+GATHERED = "rare boolean, bucket int, keys binary, counts binary, others binary, blocks array<bigint>, places array<binary>"
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    asking = [r for r in rows if r["block"] is not None]
+    own = [unpack_sorted(r["keys"]) for r in asking]
+    rare = rows[0]["rare"]
+    keys, counts, places = merged(own or [np.zeros(0, np.uint64)], [np.zeros(len(k), np.uint64) if rare else unplaned(r["counts"]) for r, k in zip(asking, own)])
+    if rare:  # the words themselves came along, with their counts
+        known, n, _ = merged([np.zeros(0, np.uint64), *[unpack_sorted(r["keys"]) for r in rows if r["block"] is None]], [np.zeros(0, np.uint64), *[unplaned(r["counts"]) for r in rows if r["block"] is None]])
+        both, at, where = np.intersect1d(keys, known, assume_unique=True, return_indices=True)
+        counts[at] = n[where]
+    learned = counts > 0 if not rare else np.ones(len(keys), bool)
+    packed = [pack_sorted(keys[learned]), planes(counts[learned]), pack_sorted(keys[~learned])]
+    return pa.table(
+        {
+            "rare": table.column("rare").combine_chunks()[:1],
+            "bucket": table.column("bucket").combine_chunks()[:1],
+            **{name: pa.array([x], pa.binary()) for name, x in zip(("keys", "counts", "others"), packed)},
+            "blocks": pa.array([[r["block"] for r in asking]], pa.list_(pa.int64())),
+            "places": pa.array([[pack_sorted(x.astype(np.uint64)) for x in places[: len(asking)]]], pa.list_(pa.binary())),
+        }
+    )
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, chains: int = CHAINS, rounds: int = ROUNDS, strength: float = 1.0, seed: int = 11) -> Model:
-    """A model of the rows that ``learn_from`` names, over all of their text.
+    """A model of the rows that ``learn_from`` names, over all of their text; ``gathered`` holds the questions of all rows.
 
     Discounts come from how many pairs (and at the root, words by the contexts
     they follow) were counted once and twice; the strength is the same for all
@@ -385,67 +430,58 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    lexicon, counted = count_words(docs.where(learn_from(id_col)).select(F.col(text).alias("text")), words)
+    word_bits = (_parts(spark) - 1).bit_length()
+    lexicon, counted = count_words(docs.where(learn_from(id_col)).select(F.col(text).alias("text")), word_bits, words)
     shared = spark.sparkContext.broadcast(lexicon)
-    bits = _bucket_bits(spark)
-    asked = settle(ask(with_blocks(docs, id_col, text), shared, bits))
-    pairs = settle(asked.where(~F.col("rare")).select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(_merge_learned, PACKED))
-    by_context, by_dish, seen = _totals(pairs, shared, None, seed, 1)
-    spread = np.bincount(np.minimum(by_dish[:, 0], 3), minlength=4)
+    bits = bucket_bits(lexicon.tokens, _parts(spark)), word_bits
+    told = counted.select(F.lit(None).cast("bigint").alias("block"), "bucket", F.lit(True).alias("rare"), "keys", "counts")
+    asked = ask(_rows_of(docs, id_col, text), shared, bits).unionByName(told)
+    gathered = settle(asked.groupBy("bucket", "rare").applyInArrow(_gather, GATHERED))
+    pairs = gathered.where(~F.col("rare")).select("bucket", "keys", "counts")
+    by_context, by_dish, seen = _totals(pairs, shared, None, seed, 2)
+    spread = np.bincount(np.minimum(by_dish.sum(axis=1), 3), minlength=4)
     discounts = _discount(int(spread[1]), int(spread[2])), _discount(int(seen[0]), int(seen[1]))
-    by_context, by_dish = np.repeat(by_context, chains, 1), np.repeat(by_dish, chains, 1)
+    alone = by_context[:, :1], by_dish[:, :1]
+    tables = [np.repeat(x.sum(axis=1, keepdims=True), chains, 1) for x in (by_context, by_dish)]
     states = []
     for k in range(rounds + 1):
-        root = _seat_root(by_dish, strength, discounts[0], np.random.default_rng((seed, k, 1 << 40)))
-        states.append(State(strength, discounts, by_context.astype(np.float32), by_dish.astype(np.float32), root))
+        root = _seat_root(tables[1], strength, discounts[0], np.random.default_rng((seed, k, 1 << 40)))
+        states = [*states[-1:], State(strength, discounts, tables[0].astype(np.float32), root)]
         if k < rounds:
-            sent = spark.sparkContext.broadcast(states[-1])
-            by_context, by_dish, _ = _totals(pairs, shared, sent, seed + k, chains)
-    return Model(lexicon, counted, asked, states[-2], states[-1], seed + rounds - 1, chains)
-
-
-def _merge_learned(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
-    keys, counts = summed(keys, np.concatenate([unplaned(x) for x in table.column("counts").to_pylist()]))
-    own = counts > 0
-    return pa.table({"bucket": table.column("bucket").combine_chunks()[:1], "keys": pa.array([pack_sorted(keys[own])], pa.binary()), "counts": pa.array([planes(counts[own])], pa.binary())})
+            *several, _ = _totals(pairs, shared, spark.sparkContext.broadcast(states[-1]), seed + k, chains)
+            tables = [x + y for x, y in zip(alone, several)]
+    return Model(lexicon, gathered, bits, states[0], states[-1], seed + rounds - 1)
 
 
 def answers(model: Model) -> DataFrame:
-    """(block, bucket, rare, check, values): for each question of a block its log10 probabilities, or the counts of its rare words, in order."""
-    spark = model.asked.sparkSession
+    """(block, bucket, rare, check, values): for what a block asks of a bucket, in order, its probabilities or the counts of its rare words."""
+    spark = model.gathered.sparkSession
     before, after = spark.sparkContext.broadcast(model.drawn_from), spark.sparkContext.broadcast((model.state, model.lexicon.customers()))
-    seed, chains = model.seed, model.chains
-    own = model.asked.select("block", "bucket", "rare", "keys", "counts")
-    words = model.words.select(F.lit(None).cast("bigint").alias("block"), "bucket", F.lit(True).alias("rare"), "keys", "counts")
-
-    def reply(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        bucket = rows[0]["bucket"]
-        questions = [(r, unpack_sorted(r["keys"])) for r in rows if r["block"] is not None]
-        out = []
-        asking = [(r, k) for r, k in questions if not r["rare"]]
-        if asking:
-            keys, customers = summed(np.concatenate([k for _, k in asking]), np.concatenate([unplaned(r["counts"]) for r, _ in asking]))
-            customers = customers.astype(np.int64)
-            contexts, dishes = _pairs(keys)
-            known = customers > 0
-            tables = np.zeros((len(keys), chains), np.int64)
-            tables[known] = _drawn(before.value, contexts[known], dishes[known], customers[known], seed, bucket, chains)
-            logs = np.log10(predictive(*after.value, contexts, dishes, customers, tables)).astype(np.float32)
-            out += [(r["block"], False, k, logs[np.searchsorted(keys, k)].tobytes()) for r, k in asking]
-        asking = [(r, k) for r, k in questions if r["rare"]]
-        if asking:
-            known = [(unpack_sorted(r["keys"]), unplaned(r["counts"])) for r in rows if r["block"] is None]
-            keys = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in known]])
-            counts = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in known]])
-            for r, k in asking:
-                at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                n = np.where(keys[at] == k, counts[at], 0).astype(np.uint64) if len(keys) else np.zeros(len(k), np.uint64)
-                out.append((r["block"], True, k, planes(n)))
-        return pa.Table.from_pylist([{"block": b, "bucket": bucket, "rare": r, "check": _check(k), "values": v} for b, r, k, v in out], _ANSWERED)
-
-    return own.unionByName(words).groupBy("bucket").applyInArrow(reply, "block bigint, bucket int, rare boolean, check bigint, values binary")
+    seed = model.seed
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            learned, customers, others = unpack_sorted(row["keys"]), unplaned(row["counts"]).astype(np.int64), unpack_sorted(row["others"])
+            keys, values = np.concatenate((learned, others)), customers.astype(np.uint64)
+            if not row["rare"]:
+                contexts, dishes = _pairs(keys)
+                tables = np.zeros((len(keys), after.value[0].root.shape[1]), np.int64)
+                tables[: len(learned)] = 1
+                several = np.flatnonzero(customers > 1)
+                tables[several] = _drawn(before.value, contexts[several], dishes[several], customers[several], seed, row["bucket"])
+                customers = np.append(customers, np.zeros(len(others), np.int64))
+                logs = np.log10(predictive(*after.value, contexts, dishes, customers, tables))
+                values = np.rint(-logs / _STEP).astype(np.uint64)
+                order = np.argsort(keys)
+                keys, values = keys[order], values[order]
+            out = []
+            for block, places in zip(row["blocks"], row["places"]):
+                own = unpack_sorted(places).astype(np.int64)
+                out.append({"block": block, "bucket": row["bucket"], "rare": row["rare"], "check": _check(keys[own]), "values": planes(values[own])})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _ANSWERED)
+
+    return model.gathered.mapInArrow(reply, "block bigint, bucket int, rare boolean, check bigint, values binary")
 
 
 _ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("rare", pa.bool_()), ("check", pa.int64()), ("values", pa.binary())])
@@ -455,6 +491,20 @@ def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed(keys)).astype(np.int64)) if len(keys) else 0
 
 
+def _pack_texts(rows: DataFrame) -> DataFrame:
+    """(block, texts): the blocks of texts again, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+
+    return rows.mapInArrow(run, "block bigint, texts binary")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -469,40 +519,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     model = train(docs, id_col, text, **how)
-    shared, bits = spark.sparkContext.broadcast(model.lexicon), _bucket_bits(spark)
+    shared, bits = spark.sparkContext.broadcast(model.lexicon), model.bits
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(block: pa.Table, replies: pa.Table) -> pa.Table:
         lexicon: Lexicon = shared.value
-        block = block.sort_by("number")
-        batches = block.to_batches(max_chunksize=500)
+        batches = list(pa.ipc.open_stream(block.column("texts")[0].as_py()))
         parts = [_tokens_of(lexicon, b) for b in batches]
-        keys, _, rare = _asked_by(lexicon, [p[:3] for p in parts])
+        keys, _, rare = _questions(parts)
         by = {(r["rare"], r["bucket"]): r for r in replies.to_pylist()}
-        logs, counts = np.zeros(len(keys)), np.zeros(len(rare), np.uint64)
-        for asked, said, read, flag in ((keys, logs, lambda v: np.frombuffer(v, np.float32), False), (rare, counts, unplaned, True)):
-            for bucket, own in buckets_of(asked, bits):
-                reply = by[flag, bucket]
-                if reply["check"] != _check(asked[own]):
+        asked = {False: (keys, np.zeros(len(keys), np.uint64), bits[0], 2 * DISH_BITS), True: (rare, np.zeros(len(rare), np.uint64), bits[1], 64)}
+        for is_rare, (own_keys, said, own_bits, wide) in asked.items():
+            for bucket, own in buckets_of(own_keys, own_bits, wide):
+                reply = by.get((is_rare, bucket))
+                if reply is None or reply["check"] != _check(own_keys[own]):
                     raise RuntimeError("documents came in another order when they were read again: settle them first")
-                said[own] = read(reply["values"])
+                said[own] = unplaned(reply["values"])
+        logs, counts = asked[False][1] * -_STEP, asked[True][1].astype(np.int64)
         tokens, words = lexicon.tokens, lexicon.words
-        under = math.log10(tokens + words + 1)
-        rare_under = math.log10(lexicon.rare_tokens + lexicon.rare_words + 1)
+        under, rare_under = math.log10(tokens + words + 1), math.log10(lexicon.rare_tokens + lexicon.rare_words + 1)
         found = []
-        for batch, (pairs, _, _, dishes, own_keys, rows) in zip(batches, parts):
+        for batch, (marked, _, dishes, own_keys, rows) in zip(batches, parts):
             is_rare = dishes == len(lexicon.keys)
             c = np.append(lexicon.counts, 0)[dishes]
             c[is_rare] = counts[np.searchsorted(rare, own_keys[is_rare])]
-            score = logs[np.searchsorted(keys, pairs)]
+            score = logs[np.searchsorted(keys, marked >> np.uint64(1))]
             score[is_rare] += np.log10(c[is_rare] + 1) - rare_under
             add = lambda x: np.bincount(rows, x, batch.num_rows)
-            n = add(None).astype(np.int64)
-            columns = [batch.column("id"), pc.invert(batch.column("learns")), n, add(c > 0).astype(np.int64), np.full(len(n), tokens), add(np.log10(c + 1.0) - under), add(score)]
-            found.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            columns = [batch.column("id"), pc.invert(batch.column("learns")), add(None), add(c > 0).astype(np.int64), np.full(batch.num_rows, tokens), add(np.log10(c + 1.0) - under), add(score)]
+            found.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names))
         return pa.Table.from_batches(found)
 
-    blocks = with_blocks(docs, id_col, text).groupBy("block")
+    blocks = _pack_texts(_rows_of(docs, id_col, text)).groupBy("block")
     scored = blocks.cogroup(answers(model).groupBy("block")).applyInArrow(score, out)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
