@@ -154,7 +154,7 @@ def packed_batch(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBa
     )
 
 
-def count_keys(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], bits: int, hold: int = 1 << 21) -> DataFrame:
+def count_keys(rows: DataFrame, of_batch: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray | None]]], bits: int, hold: int = 1 << 20) -> DataFrame:
     """(bucket, keys, counts), one row a bucket: the keys that ``of_batch`` draws from ``rows``, with the sums of their weights (none: one each).
 
     A task adds up ``hold`` keys before it hands them on, so that a key that is

@@ -32,7 +32,7 @@ KINDS = byte_kinds(" \t", ".,;:!?\n\x0b\x0c\r")
 TRIGGER = 16
 #: Bits of a filter: 16 MB, whatever the number of frequent phrases.  With very many of them a filter prunes less.
 FILTER_BITS = 27
-HOLD_TEXTS = 400_000
+HOLD_TEXTS = 200_000
 #: Languages whose totals are broadcast; with more of them they are joined by shuffle.
 FEW_LANGUAGES = 10_000
 _COUNTED = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])

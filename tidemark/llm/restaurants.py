@@ -36,8 +36,8 @@ from .batches import bucket_bits, buckets_of, byte_kinds, count_keys, merged, mi
 from .common import BLANKS, arrow_batches, settle
 
 KINDS = byte_kinds(BLANKS)
-#: Words with a dish of their own at most; their arrays take about 100 MB of a task's memory with four chains.
-WORDS = 1 << 20
+#: Words with a dish of their own at most; their arrays take about 60 MB of a task's memory with four chains.
+WORDS = 1 << 19
 CHAINS, ROUNDS = 4, 3
 #: Up to so many customers a dish's tables are drawn from their exact distribution; further ones sit down in blocks.
 EXACT = 64
@@ -165,7 +165,7 @@ class State:
     root: np.ndarray
 
     def mass(self, contexts: np.ndarray, dishes: np.ndarray) -> np.ndarray:
-        return (self.strength + self.discounts[1] * self.by_context[contexts]) * self.root[dishes]
+        return (self.strength + self.discounts[1] * self.by_context[contexts]).astype(np.float64) * self.root[dishes]
 
 
 def learn_from(id_col: str = "doc_id") -> Column:
@@ -446,9 +446,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: in
     states = []
     for k in range(rounds + 1):
         root = _seat_root(tables[1], strength, discounts[0], np.random.default_rng((seed, k, 1 << 40)))
-        states = [*states[-1:], State(strength, discounts, tables[0].astype(np.float32), root)]
+        states = [*states[-1:], State(strength, discounts, tables[0].astype(np.float32), root.astype(np.float32))]
         if k < rounds:
-            *several, _ = _totals(pairs, shared, spark.sparkContext.broadcast(states[-1]), seed + k, chains)
+            sent = spark.sparkContext.broadcast(states[-1])
+            *several, _ = _totals(pairs, shared, sent, seed + k, chains)
+            sent.destroy()
             tables = [x + y for x, y in zip(alone, several)]
     return Model(lexicon, gathered, bits, states[0], states[-1], seed + rounds - 1)
 
