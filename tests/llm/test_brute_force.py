@@ -157,13 +157,14 @@ def test_toxicity_scores_and_gradient():
     text = "Such a vile, vile man! mean nicely. 123 ...\nVILEST of all?! İİ vile"
 
     def brute(t):
-        clean, zs = 1.0, []
+        bags, zs = set(), []
         for s in toxicity.SENTENCE.findall(t.lower()):
             own = toxicity.WORD.findall(s)
             if own:
-                z = model.bias + sum(model.weights.get(f, 0.0) for f in {f for w in own for f in toxicity.features(w)})
-                zs.append(z)
-                clean *= 1 - 1 / (1 + np.exp(-z))
+                bag = frozenset(f for w in own for f in toxicity.features(w) if f in model.weights)
+                bags.add(bag)
+                zs.append(model.bias + sum(model.weights[f] for f in bag) if bag else -np.inf)
+        clean = np.prod([1 - 1 / (1 + np.exp(-model.bias - sum(model.weights[f] for f in bag))) for bag in bags if bag])
         return 1 - clean, sum(z > 0 for z in zs), int(np.argmax(zs))
 
     score, offending, start, length, number = model.scorer().score(text)
@@ -177,7 +178,7 @@ def test_toxicity_scores_and_gradient():
     assert wide[found[2] : found[2] + found[3]] == " So vile"
     rng = np.random.default_rng(1)
     owner = np.repeat(np.arange(6), 3)
-    bag = toxicity.Bags(np.array([1, 0, 1, 0, 0, 1.0]), rng.integers(0, 4, 6) * 1.0, np.full(6, 1 / 6), owner, rng.integers(0, 18, 40), rng.integers(0, 5, 40))
+    bag = toxicity.Bags(np.array([1, 0, 1, 0, 0, 1.0]), np.full(6, 1 / 6), owner, rng.integers(0, 18, 40), rng.integers(0, 5, 40))
     theta = np.append(rng.normal(size=5), -2.0)
     value, gradient = bag.loss(theta, 0.01)
     for k in range(6):
@@ -186,13 +187,42 @@ def test_toxicity_scores_and_gradient():
         assert (bag.loss(theta + step, 0.01)[0] - bag.loss(theta - step, 0.01)[0]) / 2e-6 == pytest.approx(gradient[k], rel=1e-4, abs=1e-7)
     bags = [1.0]
     for d in range(6):  # the likelihood itself, by its definition
-        clean = (1 - 1 / (1 + np.exp(-theta[-1]))) ** bag.plain[d]
+        clean = 1.0
         for s in np.flatnonzero(owner == d):
             clean *= 1 - 1 / (1 + np.exp(-(theta[-1] + sum(theta[w] for w, at in zip(bag.which, bag.sentence) if at == s))))
         bags.append(1 - clean if bag.y[d] else clean)
     assert value == pytest.approx(-np.log(bags).sum() / 6 + 0.005 * (theta[:-1] ** 2).sum())
 
 
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(~toxicity.held_out()).select("doc_id", "toxic"))
+    scorer = model.scorer()
+    word = next(f for f in model.weights if not f.endswith("-"))
+    assert scorer.score("a harmless sentence. " * 20_000)[0] < 0.3
+    varied = " ".join(f"harmless {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}." for i in range(17_000))
+    assert scorer.score(varied)[0] < 0.3
+    assert scorer.score(f"so {word} it is. ")[0] == pytest.approx(scorer.score(f"so {word} it is. " * 5_000)[0])
+
+
+@pytest.mark.parametrize("radius", range(5))
+def test_every_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    prints, want = [], set()
+    for _ in range(200):
+        a = int(rng.integers(0, 2**63))
+        b = a
+        for bit in rng.choice(63, radius, replace=False).tolist():
+            b ^= 1 << bit
+        prints += [(a,), (b,)]
+        if radius:
+            want.add((min(a, b), max(a, b)))
+    df = spark.createDataFrame(prints, "fp bigint")
+    assert {tuple(r) for r in simhash.near_pairs(df, radius).collect()} == want
+    with pytest.raises(ValueError):
+        simhash.near_pairs(df, 5)
+
+
 def test_mixing_against_plain_python(spark):
     """Posteriors word by word, and all eight totals at their targets."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -44,11 +44,21 @@ def test_quality_overlapping_windows(spark):
     assert quality.base_figures(df).first()["n_repeat_words"] == len(covered)
 
 
+def test_hosts_are_judged_against_others(spark):
+    """A host that fails far oftener than the others is bad though it passes more than it fails."""
+    good, bad = " ".join(f"w{i}" for i in range(50)), "short"
+    rows = [(i, bad if i % 4 == 0 else good, "bad") for i in range(400)] + [(1000 + i, bad if i % 101 == 0 else good, f"g{i % 10}") for i in range(8000)]
+    judged = quality.judge_hosts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert not any(r["kept"] for r in judged if r["source"] == "bad") and all(r["kept"] != r["base_failed"] for r in judged if r["source"] != "bad")
+    assert all(r["host_rate"] < 0.5 for r in judged)
+
+
 def test_host_verdict(spark):
     good, bad = " ".join(f"w{i}" for i in range(50)), "short"
     rows = [(i, good if i % 5 == 0 else bad, "bad") for i in range(40)] + [(100 + i, good, f"g{i % 4}") for i in range(80)]
     judged = quality.judge_hosts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert not any(r["kept"] for r in judged if r["source"] == "bad") and all(r["kept"] for r in judged if r["source"] != "bad")
+    assert {r["source"]: r["host_bad"] for r in judged} == {"bad": True, **{f"g{k}": False for k in range(4)}}
     # by rule: each has counts and a prior of its own
     own = {"bad": (40, 32), **{f"g{k}": (20, 0) for k in range(4)}}
     rates = np.array([f / n for n, f in own.values()])

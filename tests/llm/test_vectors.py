@@ -105,3 +105,30 @@ def test_a_poor_search_is_widened(crowd):
     true = near.sum(1) - 1
     own = [i for i in np.flatnonzero(true) if not 4000 < i < 7000]
     assert np.mean([out[i]["n_links"] / true[i] for i in own]) >= 0.98 and out[0]["recall"] >= 0.99
+
+
+def test_clusters_within_reach():
+    rng = np.random.default_rng(2)
+    x, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(300, 16)), rng.normal(size=(3000, 16))))
+    own = (x @ c.T).argmax(1)
+    inner, outer = rng.uniform(0, 0.2, 3000), rng.uniform(0.3, 0.8, 3000)
+    got = vectors.within_reach(x, own, c, inner, outer, 0.95)
+    r = np.sqrt(2 - 2 * 0.95) + vectors.SLACK
+    s = x @ c.T
+    apart, away = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0)), np.sqrt(np.maximum(2 - 2 * s, 0))
+    want = (s[np.arange(300), own][:, None] - s <= r * apart[own] + vectors.SLACK) & (away <= outer + r + vectors.SLACK) & (away >= inner - r - vectors.SLACK)
+    assert (got == want).all() and 0 < got.sum() < got.size
+
+
+def test_reach_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(16_384, 64))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x, own = c[:1000], np.arange(1000)
+    tracemalloc.start()
+    found = vectors.within_reach(x, own, c, np.zeros(len(c)), np.full(len(c), 0.5), 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and found[np.arange(1000), own].all()

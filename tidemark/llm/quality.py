@@ -96,12 +96,14 @@ def beta_prior(hosts: DataFrame, failed: str = "failed") -> tuple[float, float]:
     return mean * strength, (1 - mean) * strength
 
 
-def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", limit: float = 0.5) -> DataFrame:
+def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", id_col: str = "doc_id", factor: float = 3.0) -> DataFrame:
     """Base figures of every document with its host's shrunk failure rates and the verdict ``kept``.
 
     host_<rule> is the host's shrunk rate of each rule, host_rate the greatest
-    of them.  A document is kept if it passes the base rules and host_rate is
-    at most ``limit``.  Documents without a host share one.  An empty table
+    of them.  Hosts are judged against the others: one is bad if by some rule
+    its shrunk rate, less two standard deviations of its posterior, is over
+    ``factor`` times the rate of the corpus, or over a half.  A document is
+    kept if it passes the base rules and its host is not bad.  Documents without a host share one.  An empty table
     gives an empty result.  Hosts are aggregated with map-side partial counts,
     so a host with a third of all rows is one small row per task.
     """
@@ -109,12 +111,16 @@ def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", id_co
     failures = [F.count_if(F.expr(failed)).alias(rule) for rule, failed in RULES.items()]
     hosts = settle(figures.groupBy(host).agg(F.count("*").alias("n"), *failures))
     rates = hosts.select(F.col(host).alias("_host"), "n", *RULES)
+    bad = F.lit(False)
     for rule in RULES:
         alpha, beta = beta_prior(hosts, rule)
         rates = rates.withColumn(f"host_{rule}", (F.col(rule) + alpha) / (F.col("n") + alpha + beta))
-    rates = rates.select("_host", *[f"host_{r}" for r in RULES], F.greatest(*[f"host_{r}" for r in RULES]).alias("host_rate"))
+        rate = F.col(f"host_{rule}")
+        least = rate - 2 * F.sqrt(rate * (1 - rate) / (F.col("n") + alpha + beta + 1))
+        bad = bad | (least > min(factor * alpha / (alpha + beta), 0.5))
+    rates = rates.select("_host", *[f"host_{r}" for r in RULES], F.greatest(*[f"host_{r}" for r in RULES]).alias("host_rate"), bad.alias("host_bad"))
     return (
         figures.join(rates, F.col(host).eqNullSafe(F.col("_host")), "left")
         .drop("_host")
-        .withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= limit))
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_bad"))
     )

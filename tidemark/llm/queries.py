@@ -154,11 +154,14 @@ m AS (
 s AS (
   SELECT ms, mr, least(greatest(CASE WHEN vs > 0 THEN ms * (1 - ms) / vs - 1 ELSE avg_n END, 1.0), greatest(avg_n, 1.0)) AS ks,
     least(greatest(CASE WHEN vr > 0 THEN mr * (1 - mr) / vr - 1 ELSE avg_n END, 1.0), greatest(avg_n, 1.0)) AS kr FROM m),
-r AS (SELECT source, greatest((fs + ms * ks) / (n + ks), (fr + mr * kr) / (n + kr)) AS host_rate FROM h, s)
+r AS (SELECT source, n, (fs + ms * ks) / (n + ks) AS hs, (fr + mr * kr) / (n + kr) AS hr, ms, mr, ks, kr FROM h, s),
+v AS (
+  SELECT source, hs - 2 * sqrt(hs * (1 - hs) / (n + ks + 1)) > least(3 * ms, 0.5)
+    OR hr - 2 * sqrt(hr * (1 - hr) / (n + kr + 1)) > least(3 * mr, 0.5) AS bad FROM r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, short OR repetitive AS base_failed,
-  NOT (short OR repetitive) AND host_rate <= 0.5 AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+  NOT (short OR repetitive) AND NOT bad AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """,
     "op3_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -75,14 +75,17 @@ def _signed(x: int) -> int:
 def near_pairs(prints: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints of ``prints`` that differ in 1 to ``radius`` bits.
 
-    ``radius`` is at most 5: with more, two blocks may hold over three bits.
+    ``radius`` is at most 4: five bits may leave three on each pair of blocks,
+    where balls of one bit do not meet.
     Each projection yields a pair once; pairs found on several are made distinct.
     Prints that are all within four bits of each other are 2,081 at most (as
     many as a ball of radius two holds), however many texts there are, so that
-    pairs grow with the number of prints and not with its square.
+    pairs grow with the number of prints and not with its square.  That bound
+    is for prints that link: prints that agree on two blocks and differ widely
+    on the third share a key of 42 bits and are compared all with all.
     """
-    if not 0 <= radius <= 5:
-        raise ValueError("radius: 0 to 5")
+    if not 0 <= radius <= 4:
+        raise ValueError("radius: 0 to 4")
     distinct = prints.select(F.col(fp).alias("fp")).where(F.col(fp).isNotNull()).distinct()
 
     def ball(p: int, mask: int, bits: list[int]) -> Column:

@@ -34,6 +34,8 @@ MAX_CLUSTERS = 16_384
 SAMPLE, SAMPLE_PER_CENTRE = 20_000, 20
 #: Components of the home vectors that a cluster is meant for: 2 MB in double precision.
 SHARD_VALUES = 1 << 18
+#: Numbers of one array while clusters within reach are worked out: 16 MB.
+REACH_VALUES = 1 << 21
 #: Bounds are widened by this much, more than rounding can err (the root of a difference near 0 errs by some 1e-8).
 SLACK = 1e-6
 #: The search works in single precision; pairs so far under the threshold are still verified in double.
@@ -80,14 +82,23 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 def within_reach(x: np.ndarray, own: np.ndarray, c: np.ndarray, inner: np.ndarray, outer: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix: can a home member of this cluster (column) have a cosine of ``threshold`` with this row of its ``own`` cluster?
 
-    inner, outer: least and greatest distance of a cluster's members from its centre.
+    inner, outer: least and greatest distance of a cluster's members from its
+    centre.  Rows are taken a few at a time, so that what is held besides the
+    result is a few arrays of ``REACH_VALUES`` numbers, whatever the centres.
     """
     r = math.sqrt(max(2 - 2 * threshold, 0)) + SLACK
-    s = x @ c.T
-    gap = np.take_along_axis(s, own[:, None], 1) - s
-    apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-    away = np.sqrt(np.maximum(2 - 2 * s, 0))
-    return (gap <= r * apart[own] + SLACK) & (away <= outer + r + SLACK) & (away >= inner - r - SLACK)
+    found = np.empty((len(x), len(c)), bool)
+    order = np.argsort(own, kind="stable")  # rows of one cluster follow each other, so few distances between centres are asked for
+    step = max(1, REACH_VALUES // max(len(c), 1))
+    for at in range(0, len(x), step):
+        rows = order[at : at + step]
+        homes, which = np.unique(own[rows], return_inverse=True)
+        s = x[rows] @ c.T
+        gap = np.take_along_axis(s, own[rows, None], 1) - s
+        apart = np.sqrt(np.maximum(2 - 2 * c[homes] @ c.T, 0))
+        away = np.sqrt(np.maximum(2 - 2 * s, 0))
+        found[rows] = (gap <= r * apart[which] + SLACK) & (away <= outer + r + SLACK) & (away >= inner - r - SLACK)
+    return found
 
 
 # ---- a graph over the rows of one shard, and the search over it
