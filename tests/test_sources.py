@@ -1,11 +1,12 @@
 """Connectors, segmenters, packing, the extraction cache and the seed, over small files."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import files, roster
+from tidemark.sources import charts, files
 
 FILES = {
     "overview.md": "# Overview\n\n**Author:** Ann Tan\n**Language:** pt-BR\n\nIssued: 2026-02-03\n\n## Part\nBody text here.\n| a | b |\n| 1 | 2 |\nAfter the table.\n\n**Closing:**",
@@ -160,19 +161,55 @@ Dotted-line notes (A, e.g., Ann Tan ↔ Ivy; Cy ↔ Bob Lee)
 """
 
 
-def test_roster(spark):
-    chart = roster.read_chart(CHART)
-    assert set(chart.reports_to) == {
-        ("Hannah Park", "Priya Raman"), ("Ann Tan", "Hannah Park"), ("Bob Lee", "Ann Tan"), ("Cy", "Hannah Park"), ("Kim Ito", "Zed Ng"), ("Ivy", "Kim Ito"),
+def plain_chart(people_by_team):
+    """A chart of teams ((team, head), [(depth, name)]) and its reporting lines, by a stack."""
+    body, edges = [], set()
+    for (team, head), listed in people_by_team:
+        body.append(f"## {team} (under {head})")
+        stack = []
+        for depth, name in listed:
+            body.append(" " * depth + f"- **{name}** — Role — Place")
+            stack = [x for x in stack if x[0] < depth]
+            edges.add((name, stack[-1][1] if stack else head))
+            stack.append((depth, name))
+    return "\n".join(body), edges
+
+
+def test_charts(spark):
+    placed = charts.placed_lines(charts.chart_lines(spark.createDataFrame([("c", CHART), ("d", None)], "chart string, body string")))
+    persons = charts.people(placed)
+    by = {r["name"]: r for r in persons.collect()}
+    assert (by["Ann Tan"]["role"], by["Ann Tan"]["location"], by["Ann Tan"]["team"]) == ("Backend Lead, Core", "Singapore", "Engineering")
+    assert (by["Cy"]["role"], by["Cy"]["location"], by["Ivy"]["team"], by["Priya Raman"]["superior"]) == ("Designer", None, "Sales", "Board")
+    edges = {(r["from_name"], r["to_name"]) for r in charts.authority(placed, persons).where("link_type = 'reports_to'").collect()}
+    assert edges == {
+        ("Hannah Park", "Priya Raman"), ("Ann Tan", "Hannah Park"), ("Bob Lee", "Ann Tan"), ("Cy", "Hannah Park"), ("Kim Ito", "Zed Ng"), ("Ivy", "Kim Ito"), ("Priya Raman", "Board"),
     }
-    assert chart.people["Ann Tan"] == {"role": "Backend Lead, Core", "location": "Singapore", "department": "Engineering"}
-    assert chart.people["Priya Raman"]["reports_to_external"] == "Board" and ("Ivy", "Sales") in chart.member_of
-    assert set(chart.dotted) == {("Ann Tan", "Ivy"), ("Cy", "Bob Lee")}
-    seeded = roster.seed(spark, CHART, "2026-04-15", [("Us", "other", "company", ["the company"])])
+    dotted = charts.authority(placed, persons).where("link_type = 'dotted_line_to'").collect()
+    assert {(r["from_name"], r["to_name"]) for r in dotted} == {("Ann Tan", "Ivy"), ("Cy", "Bob Lee")}
+
+
+def test_nested_bullets(spark):
+    rng, made = random.Random(4), []
+    for c in range(20):
+        teams = [((f"T{c}-{t}", f"H{c}-{t}"), [(rng.choice([0, 2, 3, 4, 8]), f"P{c}-{t}-{k}") for k in range(rng.randrange(12))]) for t in range(3)]
+        made.append((c, *plain_chart(teams)))
+    placed = charts.placed_lines(charts.chart_lines(spark.createDataFrame([(c, body) for c, body, _ in made], "chart int, body string")))
+    got = {(r["from_name"], r["to_name"]) for r in charts.authority(placed, charts.people(placed)).where("link_type = 'reports_to'").collect()}
+    assert got == set().union(*[edges for _, _, edges in made])
+
+
+def test_seed(spark):
+    others = spark.createDataFrame([("Us", "other", "company", ["the company"])], "name string, entity_type string, kind string, aliases array<string>")
+    seeded = charts.seed(spark.createDataFrame([("c", CHART, "2026-04-15")], "chart string, body string, as_of string"), others)
     names = {r["id"]: r["canonical_name"] for r in seeded["entities"].collect()}
+    about = {r["canonical_name"]: r["attributes"] for r in seeded["entities"].collect()}
+    assert about["Priya Raman"]["reports_to_external"] == "Board" and about["Ann Tan"]["department"] == "Engineering"
     links = seeded["links"].collect()
     assert {(names[r["from_entity_id"]], names[r["to_entity_id"]]) for r in links if r["link_type"] == "reports_to"} == {
-        (a, b) for a, b in chart.reports_to if {a, b} <= set(names.values())
-    }
+        ("Hannah Park", "Priya Raman"), ("Ann Tan", "Hannah Park"), ("Bob Lee", "Ann Tan"), ("Cy", "Hannah Park"),
+    }
     assert all((r["as_of"] is None) == (r["link_type"] != "member_of") for r in links)
     assert seeded["entity_aliases"].first()["alias"] == "the company" and seeded["metric_vocab"].count() == 15
+    empty = charts.seed(spark.createDataFrame([], "chart string, body string, as_of string"))
+    assert empty["links"].count() == empty["entities"].count() == 0

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -19,3 +20,11 @@ def settle(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table beside the checkpoints, where every executor sees it."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        settle(spark.range(0))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -7,9 +7,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
-from tidemark.lineage import settle
-from tidemark.operators import answering, citations, contradictions, resolve, store, temporal
+from tidemark.functions import stems, text
+from tidemark.lineage import settle, shared_folder
+from tidemark.operators import answering, citations, contradictions, resolve, search, store, temporal
 
 from . import views
 from .catalogue import _pair, query
@@ -97,10 +97,110 @@ def _link_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({"id": F.col("link_a_id") * 1000000 + F.col("link_b_id"), "claim_a_id": none, "claim_b_id": none})
 
 
-def excerpts(spark: SparkSession, d: str) -> DataFrame:
-    """The document whose id the question has, as its passage."""
-    doc = views.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return questions(spark, d).select("question_id").join(doc, F.col("question_id") == F.col("id")).withColumn("rank", F.lit(1))
+PASSAGES, BUCKETS = 4, 16
+
+
+def searches(spark: SparkSession, d: str) -> DataFrame:
+    """What each question searches for: two words of its passage, and the vector of an item."""
+    b, e = views.read(spark, d, "benchmark"), views.read(spark, d, "embeddings")
+    words = F.split(F.lower("text"), " ")
+    asked = b.select(F.col("item_id").alias("question_id"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(3)), F.lit("the")).alias("search"))
+    return asked.join(e.select((F.col("vec_id") - 3).alias("question_id"), F.col("embedding").alias("vector")), "question_id", "left")
+
+
+SEARCHES = """searches AS (SELECT b.item_id AS question_id, concat_ws(' ', w[1], w[4], 'the') AS search, e.embedding AS vector
+  FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) b LEFT JOIN embeddings e ON e.vec_id - 3 = b.item_id)"""
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_STOP = ", ".join(f"'{w}'" for w in stems.STOP_WORDS)
+
+
+def word_list(k: int) -> str:
+    """CTE ``words_found`` (question_id, id, score, rank): a full scan of all texts with the same stems."""
+    return f"""{SEARCHES},
+dw AS (SELECT doc_id AS id, unnest({_TOKENS.format("text")}) AS word FROM documents),
+dc AS (SELECT id, word, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id) AS n FROM dw GROUP BY id, word),
+qw AS (SELECT question_id, unnest({_TOKENS.format("search")}) AS word FROM searches),
+vocabulary AS (SELECT word FROM dc UNION SELECT word FROM qw),
+{stems.stems_sql("vocabulary")},
+qs AS (SELECT question_id, stem, count(*) OVER (PARTITION BY question_id) AS stems FROM (
+  SELECT DISTINCT question_id, stem FROM qw JOIN stems USING (word) WHERE word NOT IN ({_STOP}))),
+ds AS (SELECT id, stem, sum(tf) AS tf, any_value(n) AS n FROM dc JOIN stems USING (word) GROUP BY id, stem),
+wh AS (SELECT question_id, id, sum(tf) / (1.0 + ln(any_value(n))) AS score FROM qs JOIN ds USING (stem) GROUP BY question_id, id, stems HAVING count(*) = stems),
+words_found AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM wh QUALIFY rank <= {k})"""
+
+
+def vector_list(k: int) -> str:
+    """CTE ``vectors_found`` (question_id, id, score, rank): a full scan of all vectors."""
+    return f"""vh AS (SELECT question_id, vec_id AS id, list_dot_product(vector::DOUBLE[], embedding::DOUBLE[])
+    / (sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS score
+  FROM searches, embeddings WHERE vector IS NOT NULL),
+vectors_found AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM vh QUALIFY rank <= {k})"""
+
+
+FUSED = f"""{word_list(PASSAGES)}, {vector_list(PASSAGES)},
+fp AS (SELECT question_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (
+  SELECT question_id, id, rank FROM words_found UNION ALL SELECT question_id, id, rank FROM vectors_found) GROUP BY ALL),
+passages AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM fp QUALIFY rank <= {PASSAGES})"""
+
+
+def indexes(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Word and vector indexes over all documents and vectors, written anew."""
+    words, vectors = shared_folder(spark, "words"), shared_folder(spark, "vectors")
+    search.write_word_index(views.read(spark, d, "documents"), words, BUCKETS, "doc_id")
+    search.write_vector_index(views.read(spark, d, "embeddings"), vectors, 16, "vec_id")
+    return words, vectors
+
+
+def passages(spark: SparkSession, d: str) -> DataFrame:
+    """(question_id, id, score, rank) of all questions at once, from both lists."""
+    return search.hybrid(searches(spark, d), *indexes(spark, d), PASSAGES, BUCKETS)
+
+
+@query(f"""WITH vocabulary AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS word FROM documents), {stems.stems_sql("vocabulary")} SELECT word, stem FROM stems""")
+def word_stems(spark: SparkSession, d: str) -> DataFrame:
+    """The stem of every word of the documents."""
+    words = views.read(spark, d, "documents").select(F.explode(search.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", stems.stem(F.col("word")).alias("stem"))
+
+
+@query(f"WITH {word_list(20)} SELECT question_id, id, round(score, 9) AS score, rank FROM words_found")
+def word_search(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with all stems of a question, out of posting lists."""
+    path = shared_folder(spark, "words")
+    search.write_word_index(views.read(spark, d, "documents"), path, BUCKETS, "doc_id")
+    found = search.search_words(searches(spark, d), path, 20, BUCKETS)
+    return found.select("question_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long"))
+
+
+@query(f"""WITH searches AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings WHERE vec_id % 10 = 0), {vector_list(10)}
+SELECT question_id, round(score, 9) AS score, rank FROM vectors_found""")
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of every tenth one, out of cells; ids of equal vectors may change places, scores may not."""
+    path, e = shared_folder(spark, "vectors"), views.read(spark, d, "embeddings")
+    search.write_vector_index(e, path, 16, "vec_id")
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return search.search_vectors(asked, path, 10).select("question_id", F.round("score", 9).alias("score"), F.col("rank").cast("long"))
+
+
+@query(f"WITH {FUSED} SELECT question_id, id, round(score, 9) AS score, rank FROM passages")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    found = passages(spark, d)
+    return found.select("question_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("long"))
+
+
+@query(f"""WITH vocabulary AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)),
+{stems.stems_sql("vocabulary")},
+dw AS (SELECT doc_id AS id, w, generate_subscripts(w, 1) - 1 AS o FROM (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents)),
+ds AS (SELECT id, o, stem FROM (SELECT id, o, w[o + 1] AS word FROM dw) JOIN stems USING (word)),
+ph AS (SELECT item_id AS phrase_id, {_TOKENS.format("text")}[3:5] AS w FROM benchmark),
+ps AS (SELECT phrase_id, k, stem FROM (SELECT phrase_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM ph) JOIN stems USING (word))
+SELECT phrase_id, id, o - k AS place FROM ps JOIN ds USING (stem) GROUP BY ALL HAVING count(DISTINCT k) = 3""")
+def phrase_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where three words of a benchmark passage stand one after another, by their stems, out of the lists' positions."""
+    path = shared_folder(spark, "words")
+    search.write_word_index(views.read(spark, d, "documents"), path, BUCKETS, "doc_id")
+    phrases = views.read(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(search.tokens(F.col("text")), 3, 3), " ").alias("phrase"))
+    return search.phrase_hits(phrases, path, BUCKETS).select("phrase_id", "id", F.col("at").cast("long").alias("place"))
 
 
 class Ask:
@@ -131,9 +231,15 @@ class Ask:
         found = _link_conflicts(self.spark, self.d).join(own, "subject_entity_id")
         return settle(answering.gather_links(self.subjects, found, views.links(self.spark, self.d)))
 
+    @cached_property
+    def passages(self) -> DataFrame:
+        """What the search finds, with its texts."""
+        doc = views.read(self.spark, self.d, "documents").select(F.col("doc_id").alias("id"), "text")
+        return settle(passages(self.spark, self.d).join(doc, "id"))
+
     @cached_property
     def facts(self) -> DataFrame:
-        return settle(answering.grounding(self.claims, excerpts(self.spark, self.d), self.links, entities(self.spark, self.d)))
+        return settle(answering.grounding(self.claims, self.passages, self.links, entities(self.spark, self.d)))
 
 
 @query(f"""WITH {QUESTIONS}, low AS (SELECT question_id, question, lower(question) AS q FROM questions), f AS (SELECT question_id,
@@ -189,8 +295,9 @@ DATED = "coalesce(' (as of ' || strftime(as_of, '%Y-%m-%d') || ')', '')"
 FACTS = f"""{GATHERED}, {LINK_SIDES.partition(SUBJECTS + ", ")[2]},
 fc AS (SELECT question_id, 'claim' AS kind, id AS ref_id, 0 AS block, row_number() OVER (PARTITION BY question_id ORDER BY id) AS k,
   '(claim) ' || predicate || ': ' || object_value || {DATED} AS line, evidence FROM gathered),
-fs AS (SELECT question_id, 'chunk' AS kind, doc_id AS ref_id, 1 AS block, 1 AS k, '(source excerpt) ' || text AS line, NULL AS evidence
-  FROM questions JOIN documents ON doc_id = question_id),
+{FUSED},
+fs AS (SELECT question_id, 'chunk' AS kind, doc_id AS ref_id, 1 AS block, row_number() OVER (PARTITION BY question_id ORDER BY rank, id) AS k,
+  '(source excerpt) ' || text AS line, NULL AS evidence FROM passages JOIN documents ON doc_id = id),
 fl AS (SELECT question_id, 'link' AS kind, l.id AS ref_id, 2 AS block, row_number() OVER (PARTITION BY question_id ORDER BY l.id) AS k,
   '(relationship) ' || link_type || ': ' || coalesce(f.canonical_name, '#' || from_entity_id) || ' → ' || coalesce(t.canonical_name, '#' || to_entity_id) || {DATED} AS line, NULL AS evidence
   FROM gathered_links l LEFT JOIN entities f ON f.id = from_entity_id LEFT JOIN entities t ON t.id = to_entity_id),
@@ -293,13 +400,13 @@ def cited_answers(spark: SparkSession, d: str) -> DataFrame:
     return answering.answers(q, kept, sure).select("question_id", "answer", "n_citations", F.round("confidence", 9).alias("confidence"))
 
 
-@query(f"""WITH {views.DOCUMENTS}, h AS (SELECT doc_id AS id, CAST(doc_id % 7 AS DOUBLE) AS score FROM documents WHERE doc_id % 10 = 3)
-SELECT CAST(h.id AS VARCHAR) AS id, source_uri AS title, source_uri AS url, CASE WHEN length(raw_text) > 200 THEN substring(raw_text, 1, 200) || '…' ELSE raw_text END AS snippet,
-  score, strftime(as_of, '%Y-%m-%d') AS source_as_of, d.id AS document_id FROM h JOIN docs d ON d.id = h.id""")
+@query(f"""WITH {views.DOCUMENTS}, {FUSED}
+SELECT question_id, CAST(h.id AS VARCHAR) AS id, source_uri AS title, source_uri AS url, CASE WHEN length(raw_text) > 200 THEN substring(raw_text, 1, 200) || '…' ELSE raw_text END AS snippet,
+  round(score, 9) AS score, strftime(as_of, '%Y-%m-%d') AS source_as_of, d.id AS document_id FROM passages h JOIN docs d ON d.id = h.id""")
 def search_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Hits as they are shown: every tenth document."""
+    """What the search finds for each question, as it is shown."""
     doc = views.read(spark, d, "documents")
-    hits = doc.where("doc_id % 10 = 3").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).cast("double").alias("score"))
+    hits = passages(spark, d).select("question_id", "id", F.round("score", 9).alias("score"))
     chunks = doc.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), "text")
     return answering.search_rows(hits, chunks, views.documents(spark, d))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import extraction
-from tidemark.sources import files
+from tidemark.sources import charts, files
 
 from . import views
 from .catalogue import query
@@ -80,3 +80,37 @@ def assembled_links(spark: SparkSession, d: str) -> DataFrame:
     days = views.documents(spark, d).select(F.col("id").alias("_d"), F.col("as_of").alias("document_as_of"))
     own = views.links(spark, d).join(days, F.col("document_id") == F.col("_d"), "left")
     return extraction.assemble_links(own).select("id", "as_of")
+
+
+def charts_of_nations(spark: SparkSession, d: str) -> DataFrame:
+    """A chart for each nation: its suppliers as nested bullets under a head, or as a table where the nation's number is odd."""
+    s, n = views.read(spark, d, "supplier"), views.read(spark, d, "nation")
+    k, depth = F.col("s_suppkey"), (F.col("s_suppkey") * 7 % 5 * 2).cast("int")
+    bullet = F.concat(F.repeat(F.lit(" "), depth), F.lit("- **"), "s_name", F.lit("** — Grade "), (k % 4).cast("string"), F.lit(" — Place "), (k % 3).cast("string"))
+    row = F.concat(F.lit("| "), "s_name", F.lit(" | Grade "), (k % 4).cast("string"), F.lit(" | Place "), (k % 3).cast("string"), F.lit(" |"))
+    told = F.when(F.col("s_nationkey") % 2 == 0, bullet).otherwise(row)
+    listed = s.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), told.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    lead = F.when(F.col("s_nationkey") % 2 == 1, F.lit("\n| Name | Role | Location |\n|---|---|---|")).otherwise(F.lit(""))
+    title = F.concat(F.lit("## "), "n_name", F.lit(" (under Head "), "n_name", F.lit(" → Chair)"), lead, F.lit("\n"))
+    return listed.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").alias("chart"), F.concat(title, "body").alias("body"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_name, s_nationkey AS chart, n_name, s_suppkey * 7 % 5 * 2 AS depth FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+p AS (SELECT a.k, arg_max(b.s_name, b.k) AS parent FROM s a JOIN s b ON a.chart = b.chart AND b.k < a.k AND b.depth < a.depth WHERE a.chart % 2 = 0 GROUP BY a.k)
+SELECT chart, s_name AS from_name, coalesce(parent, 'Head ' || n_name) AS to_name, 'reports_to' AS link_type FROM s LEFT JOIN p USING (k)
+UNION ALL SELECT chart, s_name, n_name, 'member_of' FROM s
+UNION ALL SELECT DISTINCT chart, 'Head ' || n_name, 'Chair', 'reports_to' FROM s""")
+def chart_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of authority and memberships out of many charts."""
+    placed = charts.placed_lines(charts.chart_lines(charts_of_nations(spark, d)))
+    return charts.authority(placed, charts.people(placed))
+
+
+@query("""WITH s AS (SELECT s_name, s_nationkey, s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+e AS (SELECT s_name AS canonical_name, 'person' AS entity_type, 'Grade ' || s_suppkey % 4 AS role, 'Place ' || s_suppkey % 3 AS location FROM s
+  UNION ALL SELECT DISTINCT n_name, 'team', NULL, NULL FROM s)
+SELECT row_number() OVER (ORDER BY canonical_name, entity_type) AS id, * FROM e""")
+def seeded_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities out of many charts, numbered."""
+    made = charts.seed(charts_of_nations(spark, d).withColumn("as_of", F.lit("2026-04-15")))["entities"]
+    return made.select("id", "canonical_name", "entity_type", F.col("attributes")["role"].alias("role"), F.col("attributes")["location"].alias("location"))
