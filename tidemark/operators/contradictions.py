@@ -1,4 +1,4 @@
-"""Contradictions as rows: equi self-joins on the group, with the rest as join conditions."""
+"""Contradictions as rows: every pair of claims, or the first of each pair of values."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 
+from . import intervals
+
 # Predicates with several true values, and those whose targets conflict whatever their period.
 SET_VALUED = [
     "attendee", "data_quality_weakness", "desired_feature", "pain_point", "q1_miss_driver",
@@ -23,6 +25,19 @@ def with_values(claims: DataFrame) -> DataFrame:
     )
 
 
+def _live(claims: DataFrame, set_valued: list[str]) -> DataFrame:
+    """Claims that can conflict, with their values in normal form and their period from lo to hi."""
+    live = with_values(
+        claims.where(F.col("superseded_by").isNull() & F.col("subject_entity_id").isNotNull() & F.col("object_value").isNotNull())
+    )
+    if set_valued:
+        live = live.where(~F.col("predicate").isin(list(set_valued)))
+    return live.select(
+        "id", "subject_entity_id", "predicate", "value_text", "value_number", "as_of", "document_id",
+        F.coalesce("valid_from", "as_of").alias("lo"), F.coalesce("valid_to", "as_of").alias("hi"),
+    )
+
+
 def detect(
     claims: DataFrame, targets: list[str] = TARGETS, set_valued: list[str] = (), recorded: DataFrame | None = None, with_texts: bool = False
 ) -> DataFrame:
@@ -32,15 +47,7 @@ def detect(
     ``with_texts`` value_a and value_b, the compared texts.  ``recorded`` pairs
     (claim_a_id, claim_b_id) are left out.
     """
-    live = with_values(
-        claims.where(F.col("superseded_by").isNull() & F.col("subject_entity_id").isNotNull() & F.col("object_value").isNotNull())
-    )
-    if set_valued:
-        live = live.where(~F.col("predicate").isin(list(set_valued)))
-    live = live.select(
-        "id", "subject_entity_id", "predicate", "value_text", "value_number", "as_of", "document_id",
-        F.coalesce("valid_from", "as_of").alias("lo"), F.coalesce("valid_to", "as_of").alias("hi"),
-    )
+    live = _live(claims, set_valued)
     a, b = live.alias("a"), live.alias("b")
     col = F.col
     shared = dates.overlap(col("a.lo"), col("a.hi"), col("b.lo"), col("b.hi"))
@@ -90,27 +97,37 @@ def detect_links(links: DataFrame, single_valued: list[str] = SINGLE_VALUED_LINK
     )
 
 
-def first_of_each_conflict(pairs: DataFrame) -> DataFrame:
-    """One row for each unordered pair of compared texts of a group: that of the least claim ids.
+def first_of_each_conflict(claims: DataFrame, targets: list[str] = TARGETS, set_valued: list[str] = (), with_texts: bool = False) -> DataFrame:
+    """One row for each unordered pair of values of a group that :func:`detect` would find in conflict: that of the least claim ids.
 
-    ``pairs`` is that of :func:`detect` with texts, which the result lacks.
-    The aggregate is combined before its shuffle.
+    No claims are paired: those of one value and period are one row first, and
+    values meet by the periods they share.
     """
-    kept = [c for c in pairs.columns if c not in ("subject_entity_id", "predicate", "value_a", "value_b")]
-    first = F.min(F.struct("claim_a_id", "claim_b_id", *[c for c in kept if not c.startswith("claim_")])).alias("s")
-    group = ["subject_entity_id", "predicate", F.least("value_a", "value_b").alias("_x"), F.greatest("value_a", "value_b").alias("_y")]
-    return pairs.groupBy(*group).agg(first).select("subject_entity_id", "predicate", *[f"s.{c}" for c in kept])
+    live = _live(claims, set_valued)
+    always = F.col("predicate").isin(list(targets))
+    rows = live.withColumn("lo", F.when(~always, F.col("lo"))).withColumn("hi", F.when(~always, F.col("hi")))
+    conflict = lambda a, b: text.values_conflict(*[F.col(f"{x}.{c}") for x in (a, b) for c in ("value_text", "value_number")])
+    kept = ["value_text", "value_number", "document_id", "as_of"]
+    first = intervals.first_overlaps(rows.withColumn("_value", F.col("value_text")), ["subject_entity_id", "predicate"], "_value", kept, conflict)
+    return first.select(
+        "subject_entity_id", "predicate", F.col("a.id").alias("claim_a_id"), F.col("b.id").alias("claim_b_id"),
+        kind(F.col("a.document_id"), F.col("b.document_id"), F.col("a.as_of"), F.col("b.as_of")).alias("kind"),
+        *([F.col("a.value_text").alias("value_a"), F.col("b.value_text").alias("value_b")] if with_texts else []),
+    )
 
 
-def link_conflicts_once(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """One row for each unordered pair of targets that :func:`detect_links` found for an entity and type: that of the least link ids."""
-    ends = links.select("id", "to_entity_id")
-    a = ends.select(F.col("id").alias("link_a_id"), F.col("to_entity_id").alias("_x"))
-    b = ends.select(F.col("id").alias("link_b_id"), F.col("to_entity_id").alias("_y"))
-    first = F.min(F.struct("link_a_id", "link_b_id", "kind")).alias("s")
-    named = pairs.join(a, "link_a_id").join(b, "link_b_id")
-    group = ["subject_entity_id", "predicate", F.least("_x", "_y"), F.greatest("_x", "_y")]
-    return named.groupBy(*group).agg(first).select("subject_entity_id", "predicate", "s.link_a_id", "s.link_b_id", "s.kind")
+def link_conflicts_once(links: DataFrame, single_valued: list[str] = SINGLE_VALUED_LINKS) -> DataFrame:
+    """One row for each unordered pair of targets that :func:`detect_links` would find for an entity and type: that of the least link ids."""
+    own = links.where(F.col("link_type").isin(list(single_valued)) & F.col("from_entity_id").isNotNull() & F.col("to_entity_id").isNotNull())
+    rows = own.select(
+        "id", F.col("from_entity_id").alias("subject_entity_id"), F.col("link_type").alias("predicate"), F.col("to_entity_id").cast("string").alias("_value"),
+        "document_id", "as_of", F.col("as_of").alias("lo"), F.col("valid_to").alias("hi"),
+    )
+    first = intervals.first_overlaps(rows, ["subject_entity_id", "predicate"], "_value", ["document_id", "as_of"], lambda a, b: F.lit(True))
+    return first.select(
+        "subject_entity_id", "predicate", F.col("a.id").alias("link_a_id"), F.col("b.id").alias("link_b_id"),
+        kind(F.col("a.document_id"), F.col("b.document_id"), F.col("a.as_of"), F.col("b.as_of")).alias("kind"),
+    )
 
 
 def sweep(claims: DataFrame, links: DataFrame, set_valued: list[str] = SET_VALUED) -> DataFrame:
@@ -120,8 +137,8 @@ def sweep(claims: DataFrame, links: DataFrame, set_valued: list[str] = SET_VALUE
     link_b_id, kind.  What was recorded before plays no part.
     """
     none = F.lit(None).cast("bigint")
-    of_claims = first_of_each_conflict(detect(claims, set_valued=set_valued, with_texts=True))
-    of_links = link_conflicts_once(detect_links(links), links)
+    of_claims = first_of_each_conflict(claims, set_valued=set_valued)
+    of_links = link_conflicts_once(links)
     return of_claims.withColumns({"link_a_id": none, "link_b_id": none}).unionByName(
         of_links.withColumns({"claim_a_id": none, "claim_b_id": none})
     ).select("subject_entity_id", "predicate", "claim_a_id", "claim_b_id", "link_a_id", "link_b_id", "kind")
@@ -131,13 +148,13 @@ def sweep_counts(claims: DataFrame, links: DataFrame, recorded: DataFrame, set_v
     """(figure, n) of a sweep: rows cleared, groups looked at and passed over, pairs found, rows written, pairs dropped as repeats."""
     groups = claim_groups(claims)
     passed = F.col("predicate").isin(list(set_valued))
-    pairs = detect(claims, set_valued=set_valued, with_texts=True)
+    pairs = detect(claims, set_valued=set_valued)
     linked = detect_links(links)
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("figure"), "n")
     figures = [
         count(recorded, "cleared"), count(groups.where(~passed), "claim_groups"), count(groups.where(passed), "set_valued_groups"),
-        count(link_groups(links), "link_groups"), count(pairs, "claim_pairs"), count(first_of_each_conflict(pairs), "claims_written"),
-        count(linked, "link_pairs"), count(link_conflicts_once(linked, links), "links_written"),
+        count(link_groups(links), "link_groups"), count(pairs, "claim_pairs"), count(first_of_each_conflict(claims, set_valued=set_valued), "claims_written"),
+        count(linked, "link_pairs"), count(link_conflicts_once(links), "links_written"),
     ]
     out = figures[0]
     for more in figures[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
@@ -11,11 +11,12 @@ from .ranks import rank_within
 
 
 def timeline(claims: DataFrame) -> DataFrame:
-    """All claims with their ``position`` (from 1) in their subject's timeline, superseded ones too."""
-    order = Window.partitionBy("subject_entity_id").orderBy(
-        dates.or_first_day(F.col("as_of")), dates.or_first_day(F.col("valid_from")), "id"
-    )
-    return claims.withColumn("position", F.row_number().over(order))
+    """All claims with their ``position`` (from 1) in their subject's timeline, superseded ones too.
+
+    A subject with very many claims is cut into pieces, as :func:`rank_within` does.
+    """
+    days = {"_a": dates.or_first_day(F.col("as_of")), "_b": dates.or_first_day(F.col("valid_from"))}
+    return rank_within(claims.withColumns(days), ["subject_entity_id"], [F.col("_a"), F.col("_b"), F.col("id")]).drop(*days).withColumnRenamed("rank", "position")
 
 
 def freshest_per_predicate(claims: DataFrame) -> DataFrame:
@@ -24,28 +25,45 @@ def freshest_per_predicate(claims: DataFrame) -> DataFrame:
     return claims.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
-def _compared(claims: DataFrame, source: str) -> DataFrame:
-    """What claims are compared by: values in their normal forms, once a row."""
-    own = claims.where("as_of IS NOT NULL AND object_value IS NOT NULL").withColumn("_text", text.value_text(F.col("object_value")))
-    return own.select("id", "subject_entity_id", "predicate", source, "as_of", "_text", text.value_number(F.col("_text")).alias("_number"))
-
-
 def supersede(claims: DataFrame, source: str = "document_id") -> DataFrame:
     """``claims`` with superseded_by and valid_to set where a later-dated claim of the same source contradicts them.
 
     By date, not arrival: of the claims of a subject, predicate and source
-    that are dated later and differ in value, the first (by date, then id) supersedes.
+    that are dated later and differ in value, the first (by date, then id)
+    supersedes.  Each day is reduced to its first claim and its first one that
+    says otherwise; one pass over the days finds, for a value, the next day
+    that says otherwise: the next day, or the one after the run of days that
+    all say the same.  A run goes on while a day's value is that of the day
+    before, within tolerance.
     """
-    a, b, col = _compared(claims, source).alias("a"), _compared(claims, source).alias("b"), F.col
-    later = a.join(
-        b,
-        (col("a.subject_entity_id") == col("b.subject_entity_id"))
-        & (col("a.predicate") == col("b.predicate"))
-        & (col(f"a.{source}") == col(f"b.{source}"))
-        & (col("a.as_of") < col("b.as_of"))
-        & text.values_conflict(col("a._text"), col("a._number"), col("b._text"), col("b._number")),
-    ).groupBy(col("a.id").alias("_id")).agg(F.min(F.struct(col("b.as_of").alias("day"), col("b.id").alias("by"))).alias("_next"))
-    rows = claims.join(later, claims["id"] == later["_id"], "left")
+    group = ["subject_entity_id", "predicate", source]
+    known = [F.col(g).isNotNull() for g in group]
+    own = claims.where(F.col("as_of").isNotNull() & F.col("object_value").isNotNull() & known[0] & known[1] & known[2])
+    said = own.select(*group, "as_of", "id", text.value_text(F.col("object_value")).alias("_text"))
+    values = said.groupBy(*group, "as_of", "_text").agg(F.min("id").alias("id")).withColumn("_number", text.value_number(F.col("_text")))
+    told = F.struct("id", "_text", "_number")
+    first = F.min(told).over(Window.partitionBy(*group, "as_of"))
+    differs = lambda a, b: text.values_conflict(*[F.col(f"{x}.{c}") for x in (a, b) for c in ("_text", "_number")])
+    marked = values.withColumn("_own", told).withColumn("one", first)
+    days = marked.groupBy(*group, "as_of", "one").agg(F.min(F.when(differs("_own", "one"), F.col("_own"))).alias("two"))
+    order = Window.partitionBy(*group).orderBy("as_of")
+    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    before = days.withColumn("_last", F.lag(F.struct("one", "two")).over(order))
+    same_run = F.col("two").isNull() & F.col("_last.two").isNull() & F.col("_last.one").isNotNull() & ~differs("one", "_last.one")
+    day = F.struct("as_of", "one", "two")
+    runs = before.withColumn("_changed", ~F.coalesce(same_run, F.lit(False)))
+    placed = runs.withColumn("next", F.lead(day).over(order)).withColumn("_turn", F.first(F.when(F.col("_changed"), day), ignorenulls=True).over(ahead))
+    placed = placed.withColumn("then", F.lead("_turn").over(order)).select(*group, "as_of", "next", "then")
+
+    def other(at: str) -> Column:
+        """The claim of that day that says otherwise; null if all of it says the same."""
+        by = F.when(differs("_own", f"{at}.one"), F.col(f"{at}.one.id")).when(F.col(f"{at}.two").isNotNull(), F.col(f"{at}.two.id"))
+        return F.when(F.col(at).isNotNull() & by.isNotNull(), F.struct(F.col(f"{at}.as_of").alias("day"), by.alias("by")))
+
+    followed = values.join(placed, [*group, "as_of"]).withColumn("_own", told)
+    found = followed.select(*group, "as_of", "_text", F.coalesce(other("next"), other("then")).alias("_next")).where("_next IS NOT NULL")
+    rows = claims.withColumn("_text", F.when(F.col("object_value").isNotNull(), text.value_text(F.col("object_value"))))
+    rows = rows.join(found, [*group, "as_of", "_text"], "left")
     fresh = F.col("superseded_by").isNull()
     return rows.withColumn("valid_to", F.when(fresh, F.coalesce("_next.day", "valid_to")).otherwise(F.col("valid_to"))).withColumn(
         "superseded_by", F.coalesce("superseded_by", "_next.by")

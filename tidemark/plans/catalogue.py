@@ -71,7 +71,18 @@ SELECT subject_entity_id, predicate, claim_a_id, claim_b_id, kind FROM k WHERE r
 def contradictions_dedup(spark: SparkSession, d: str) -> DataFrame:
     own = views.claims(spark, d)
     open_ended = own.withColumn("valid_from", F.lit("0001-01-01").cast("date")).withColumn("valid_to", F.lit("9999-12-31").cast("date"))
-    return contradictions.first_of_each_conflict(contradictions.detect(open_ended, with_texts=True))
+    return contradictions.first_of_each_conflict(open_ended)
+
+
+@query(f"""WITH {views.CLAIMS}, p AS ({_pair(link="a.as_of IS NULL OR b.as_of IS NULL OR (a.as_of <= b.as_of + CAST(b.id % 90 AS INTEGER) AND b.as_of <= a.as_of + CAST(a.id % 90 AS INTEGER))")}),
+k AS (SELECT p.*, row_number() OVER (PARTITION BY p.subject_entity_id, p.predicate, least(a.object_value, b.object_value),
+  greatest(a.object_value, b.object_value) ORDER BY claim_a_id, claim_b_id) AS rn
+  FROM p JOIN claims a ON a.id = claim_a_id JOIN claims b ON b.id = claim_b_id)
+SELECT subject_entity_id, predicate, claim_a_id, claim_b_id, kind FROM k WHERE rn = 1""")
+def first_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The first conflict of each pair of values among claims that hold for up to ninety days."""
+    own = views.claims(spark, d).withColumn("valid_from", F.col("as_of")).withColumn("valid_to", F.date_add("as_of", (F.col("id") % 90).cast("int")))
+    return contradictions.first_of_each_conflict(own)
 
 
 @query(f"""WITH {views.LINKS}
