@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.commits import Store
 from tidemark.functions import text
+from tidemark.lineage import shared_folder
 from tidemark.operators import extraction
 from tidemark.sources import charts, files
 
@@ -114,3 +116,18 @@ def seeded_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities out of many charts, numbered."""
     made = charts.seed(charts_of_nations(spark, d).withColumn("as_of", F.lit("2026-04-15")))["entities"]
     return made.select("id", "canonical_name", "entity_type", F.col("attributes")["role"].alias("role"), F.col("attributes")["location"].alias("location"))
+
+
+@query(f"""WITH {views.CLAIMS}, n AS (SELECT *, row_number() OVER (PARTITION BY subject_entity_id, predicate, object_value, source_chunk_id ORDER BY id % 2, id) AS rn FROM claims),
+f AS (SELECT *, row_number() OVER (ORDER BY id % 2, id) AS new_id FROM n WHERE rn = 1)
+SELECT new_id AS id, subject_entity_id, predicate, object_value, source_chunk_id FROM f""")
+def committed_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims written to a store in two runs, the second of which repeats the first, and read back."""
+    own = views.claims(spark, d).withColumn("arrived", F.col("id")).drop("id")
+    first = own.where("arrived % 2 = 0")
+    keys = ["subject_entity_id", "predicate", "object_value", "source_chunk_id"]
+    store = Store(spark, shared_folder(spark, "store"))
+    store.insert("claims", first, ["arrived"], ("orders", 0))
+    store.insert("claims", first, ["arrived"], ("orders", 0))
+    store.insert("claims", own, ["arrived"], ("orders", 1))
+    return store.read("claims").select("id", *keys)
