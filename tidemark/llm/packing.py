@@ -27,7 +27,7 @@ from .common import arrow_batches, settle
 
 CAPACITY = 4096
 END_ID = 2
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Text that is encoded at once, so that a word is looked up once for all its places there.
 BATCH_BYTES = 16 << 20
 #: What the tokenizer takes for one word, on lower-cased text of the first 256 code points.
