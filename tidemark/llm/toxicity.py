@@ -30,7 +30,7 @@ from .common import arrow_batches, settle
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 
 def lowered(text: str) -> tuple[str, np.ndarray | None]:
