@@ -109,11 +109,6 @@ def value_number(text: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).otherwise(parts)
 
 
-def value_key(text: Column, number: Column) -> Column:
-    """A key that is equal for equal values: numbers to 12 significant digits, else the text."""
-    return F.coalesce(F.concat(F.lit("n:"), F.format_string("%.11e", number)), F.concat(F.lit("t:"), text))
-
-
 def values_conflict(text_a: Column, number_a: Column, text_b: Column, number_b: Column, tolerance: float = 1e-9) -> Column:
     """Two known values that differ: by number where both are numbers, else by text."""
     apart = F.abs(number_a - number_b) > F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(number_a), F.abs(number_b)))

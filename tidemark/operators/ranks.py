@@ -1,7 +1,9 @@
-"""Ranks that no single task has to work out."""
+"""Ranks and runs that no single task has to work out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,28 @@ def rank_within(rows: DataFrame, group: list[str], order: list[Column]) -> DataF
     own = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order))
     ranked = placed.withColumn("_k", own).join(offsets, same).withColumn("rank", F.col("_before") + F.col("_k"))
     return ranked.select(*rows.columns, "rank")
+
+
+def runs_within(rows: DataFrame, group: list[str], value: str, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """``rows`` with ``run``, from 1 within each group: sorted by ``value``, a row is of the run of the one before if both are ``near``.
+
+    Groups are cut into pieces as in :func:`rank_within`; a piece goes on with
+    the last run of the piece before if the values at their border are near.
+    ``value`` has no nulls; null groups are a group.
+    """
+    placed = settle(rows.repartitionByRange(*group, value).withColumn("_p", F.spark_partition_id()))
+    within = Window.partitionBy(*group, "_p").orderBy(value)
+    same_run = near(F.lag(value).over(within), F.col(value))
+    opened = placed.withColumn("_new", F.when(F.coalesce(same_run, F.lit(False)), 0).otherwise(1))
+    pieces = opened.groupBy(*group, "_p").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_new").alias("_n"))
+    order = Window.partitionBy(*group).orderBy("_p")
+    goes_on = F.when(F.coalesce(near(F.lag("_hi").over(order), F.col("_lo")), F.lit(False)), 1).otherwise(0)
+    before = F.coalesce(F.sum(F.col("_n") - F.col("_on")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = pieces.withColumn("_on", goes_on).select(
+        *[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_p").alias("_q"), (before - F.col("_on")).alias("_before")
+    )
+    same = F.col("_p") == F.col("_q")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    own = F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.withColumn("_k", own).join(offsets, same).withColumn("run", F.col("_before") + F.col("_k")).select(*rows.columns, "run")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
+from tidemark.lineage import settle
 
-from .ranks import rank_within
+from .ranks import rank_within, runs_within
 
 
 def timeline(claims: DataFrame) -> DataFrame:
@@ -93,17 +94,49 @@ def snapshot(rows: DataFrame, day: str | None) -> DataFrame:
     return rows if day is None else rows.where(dates.valid_at(F.col("as_of"), F.col("valid_to"), day))
 
 
+def _keyed(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows``, each number or text of a group once (_number, _text), with ``value_key``.
+
+    Numbers each of which is within tolerance of the next are one side, named
+    by the least of them.
+    """
+    near = lambda a, b: ~text.values_conflict(F.lit(""), a, F.lit(""), b)
+    runs = runs_within(rows.where("_number IS NOT NULL"), group, "_number", near)
+    least = F.min("_number").over(Window.partitionBy(*group, "run"))
+    numbers = runs.withColumn("value_key", F.concat(F.lit("n:"), least.cast("string"))).drop("run")
+    return numbers.unionByName(rows.where("_number IS NULL").withColumn("value_key", F.concat(F.lit("t:"), F.col("_text"))))
+
+
+def _valued(claims: DataFrame) -> DataFrame:
+    """``claims`` with _number and, where that is null, _text of their value."""
+    shown = claims.withColumn("_text", text.value_text(F.col("object_value"))).withColumn("_number", text.value_number(F.col("_text")))
+    return shown.withColumn("_text", F.when(F.col("_number").isNull(), F.col("_text")))
+
+
+def value_keys(claims: DataFrame, group: list[str]) -> DataFrame:
+    """``claims`` with the ``value_key`` of their side in :func:`sides`."""
+    own = settle(_valued(claims))
+    keys = _keyed(own.select(*group, "_number", "_text").distinct(), group).select(*[F.col(c).alias(f"_k_{c}") for c in (*group, "_number", "_text")], "value_key")
+    same = F.lit(True)
+    for c in (*group, "_number", "_text"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return own.join(keys, same).select(*claims.columns, "value_key")
+
+
 def sides(claims: DataFrame, group: list[str]) -> DataFrame:
     """Values of groups with two or more claims: group, value_key, value, n, freshest, least_id, total.
 
-    value is that of the least claim with one; claims without a value are a side.
+    value is that of the least claim with one; claims without a value are a
+    side.  Numbers each within tolerance of the next are one side, whatever the
+    order of the claims; other values are by their text.  Equal values are
+    counted first, so that what is sorted grows with distinct values alone.
     """
-    own = claims.withColumn("_text", text.value_text(F.col("object_value"))).withColumn(
-        "value_key", text.value_key(F.col("_text"), text.value_number(F.col("_text")))
+    told = F.min(F.when(F.col("object_value").isNotNull(), F.struct(F.col("id"), F.col("object_value").alias("value"))))
+    equal = _valued(claims).groupBy(*group, "_number", "_text").agg(
+        F.count("*").alias("n"), F.max("as_of").alias("freshest"), F.min("id").alias("least_id"), told.alias("_told")
     )
-    told = F.min_by("object_value", F.when(F.col("object_value").isNotNull(), F.col("id")))
-    found = own.groupBy(*group, "value_key").agg(
-        F.count("*").alias("n"), F.max("as_of").alias("freshest"), F.min("id").alias("least_id"), told.alias("value")
+    found = _keyed(settle(equal), group).groupBy(*group, "value_key").agg(
+        F.sum("n").alias("n"), F.max("freshest").alias("freshest"), F.min("least_id").alias("least_id"), F.min("_told")["value"].alias("value")
     )
     total = found.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.sum("n").alias("total")).where("total >= 2")
     same = F.lit(True)

@@ -339,8 +339,7 @@ def consensus_blocks(spark: SparkSession, d: str) -> DataFrame:
     ask = Ask(spark, d)
     own = ask.claims
     ranked = temporal.consensus(own, ["question_id", "predicate"])
-    t = own.withColumn("_t", text.value_text(F.col("object_value")))
-    members = t.select("question_id", "predicate", text.value_key(F.col("_t"), text.value_number(F.col("_t"))).alias("value_key"), "id")
+    members = temporal.value_keys(own, ["question_id", "predicate"]).select("question_id", "predicate", "value_key", "id")
     made = answering.consensus_lines(ranked, members, ask.facts)
     return made.select("question_id", "predicate", F.sha2("line", 256).alias("line_hash"))
 
