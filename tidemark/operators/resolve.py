@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions import text
+from tidemark.lineage import settle
 
 
 def _agrees(attributes, context):
@@ -100,9 +101,11 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
     outcome: known (the name, or the folded one, is an entity of the type),
     snapped (one of any type is, and it is seeded or either type is other),
     minted (a new entity of a type that mentions may add, told by new_name and
-    new_type), dropped (a person, a team, no name).  Mentions of a batch do not
-    see each other's new entities: names that differ in case alone are one new
-    entity of each type, spelled as the least spelling.
+    new_type), dropped (a person, a team, no name).  Mentions see each other's
+    new entities, whatever their order: names whose folded forms differ in case
+    at most are one new entity of each type, spelled as the least spelling, and
+    those of type other that may snap are of the one other new type of that
+    name, if there is just one and no entity or alias has the name.
     """
     own = mentions.withColumn("name", F.trim("name")).withColumn("_folded", fold_name(F.col("name")))
     blank = F.coalesce(F.col("name") == "", F.lit(True))
@@ -125,10 +128,19 @@ def resolve_mentions(mentions: DataFrame, entities: DataFrame, aliases: DataFram
         F.when(blank, "dropped").when(known.isNotNull(), "known").when(open_class & snapped.isNotNull(), "snapped").when(open_class, "minted").otherwise("dropped")
     )
     out = out.withColumn("outcome", outcome).withColumn("entity_id", F.when(F.col("outcome") == "known", known).when(F.col("outcome") == "snapped", snapped))
-    minted = F.col("outcome") == "minted"
-    named = out.where(minted).groupBy(F.lower("name").alias("_key"), F.col("entity_type").alias("_kind")).agg(F.min("name").alias("new_name"))
-    joined = out.join(named, minted & (F.lower("name") == F.col("_key")) & (F.col("entity_type") == F.col("_kind")), "left")
-    return joined.select("mention_id", "entity_id", "new_name", F.when(F.col("new_name").isNotNull(), F.col("entity_type")).alias("new_type"), "outcome")
+    minted, keys = F.col("outcome") == "minted", ["_key", "entity_type", "_snap"]
+    told = settle(out.select("mention_id", "entity_id", "outcome", "name", "entity_type", F.lower("_folded").alias("_key"), F.coalesce("allow_snap", F.lit(True)).alias("_snap")))
+    taken = entities.select(F.lower("canonical_name").alias("_key")).unionByName(aliases.select(F.lower("alias").alias("_key"))).distinct().withColumn("_taken", F.lit(True))
+    spelled = told.where(minted).groupBy(*keys).agg(F.min("name").alias("_least")).join(taken, "_key", "left")
+    same_name = Window.partitionBy("_key")  # as many rows as types, twice
+    own_type = F.when(F.col("entity_type") != "other", F.col("entity_type"))
+    single = F.col("_taken").isNull() & (F.min(own_type).over(same_name) == F.max(own_type).over(same_name))
+    spelled = spelled.withColumn("new_type", F.when(F.col("_snap") & single, F.min(own_type).over(same_name)).otherwise(F.col("entity_type")))
+    named = spelled.select(*keys, "new_type", F.min("_least").over(Window.partitionBy("_key", "new_type")).alias("new_name"))
+    new = told.where(minted).join(named, keys)
+    rest = told.where(~minted).withColumns({"new_name": F.lit(None).cast("string"), "new_type": F.lit(None).cast("string")})
+    columns = ["mention_id", "entity_id", "new_name", "new_type", "outcome"]
+    return new.select(*columns).unionByName(rest.select(*columns))
 
 
 def outcomes(resolved: DataFrame) -> DataFrame:

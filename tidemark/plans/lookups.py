@@ -274,9 +274,12 @@ a AS (SELECT mention_id, count(*) AS c, count(*) FILTER (WHERE seeded) AS s, min
 r AS (SELECT f.*, CASE WHEN t.c = 1 THEN t.id WHEN t.s = 1 THEN t.sid END AS known, CASE WHEN a.c = 1 THEN a.id WHEN a.s = 1 THEN a.sid END AS any_id FROM f LEFT JOIN t USING (mention_id) LEFT JOIN a USING (mention_id)),
 j AS (SELECT r.*, CASE WHEN allow_snap AND (e.seeded OR r.entity_type = 'other' OR e.entity_type = 'other') THEN any_id END AS snap FROM r LEFT JOIN e ON e.id = any_id),
 o AS (SELECT *, CASE WHEN n = '' THEN 'dropped' WHEN known IS NOT NULL THEN 'known' WHEN entity_type <> 'person' AND fold <> '' THEN CASE WHEN snap IS NOT NULL THEN 'snapped' ELSE 'minted' END ELSE 'dropped' END AS outcome FROM j),
-w AS (SELECT lower(n) AS k, entity_type, min(n) AS new_name FROM o WHERE outcome = 'minted' GROUP BY 1, 2)
-SELECT mention_id, CASE outcome WHEN 'known' THEN known WHEN 'snapped' THEN snap END AS entity_id, new_name, CASE WHEN new_name IS NOT NULL THEN o.entity_type END AS new_type, outcome
-FROM o LEFT JOIN w ON outcome = 'minted' AND w.k = lower(n) AND w.entity_type = o.entity_type""")
+u AS (SELECT lower(fold) AS k, CASE WHEN count(DISTINCT entity_type) FILTER (WHERE entity_type <> 'other') = 1 AND lower(fold) NOT IN (SELECT lower(canonical_name) FROM e WHERE canonical_name IS NOT NULL)
+  THEN min(entity_type) FILTER (WHERE entity_type <> 'other') END AS one FROM o WHERE outcome = 'minted' GROUP BY 1),
+p AS (SELECT mention_id, n, k, CASE WHEN entity_type = 'other' AND allow_snap AND one IS NOT NULL THEN one ELSE entity_type END AS new_type FROM o JOIN u ON outcome = 'minted' AND k = lower(fold)),
+w AS (SELECT mention_id, new_type, min(n) OVER (PARTITION BY k, new_type) AS new_name FROM p)
+SELECT mention_id, CASE outcome WHEN 'known' THEN known WHEN 'snapped' THEN snap END AS entity_id, new_name, new_type, outcome
+FROM o LEFT JOIN w USING (mention_id)""")
 def resolve_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Known, titled, new, blank and title-only names of four types."""
     return resolve.resolve_mentions(_mentions(spark, d), _entities(spark, d), no_aliases(spark))
