@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.commits import Store
 from tidemark.functions import text
-from tidemark.lineage import shared_folder
+from tidemark.lineage import settle, shared_folder
 from tidemark.operators import extraction
-from tidemark.sources import charts, files
+from tidemark.sources import charts, connectors, files
 
 from . import views
-from .catalogue import query
+from .catalogue import NORMALIZED, query
 
 
 @query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN DATE '2025-03-01' + CAST(doc_id % 28 AS INTEGER) WHEN 1 THEN DATE '2024-04-05' WHEN 2 THEN DATE '2026-04-22'
@@ -131,3 +131,53 @@ def committed_claims(spark: SparkSession, d: str) -> DataFrame:
     store.insert("claims", first, ["arrived"], ("orders", 0))
     store.insert("claims", own, ["arrived"], ("orders", 1))
     return store.read("claims").select("id", *keys)
+
+
+CORPUS = connectors.Connector("corpus", r"^corpus/part-[^/]+\.json$", read=connectors.json_lines("doc_id", "text"))
+TOLD = "regexp_matches(coalesce(text, ''), '[^\\s]')"
+
+
+def corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """All documents written as files of many documents each and read back through their connector; blank ones are no documents."""
+    root = shared_folder(spark, "corpus")
+    told = views.read(spark, d, "documents").where(text.squeeze(F.coalesce("text", F.lit(""))) != "")
+    told.select("doc_id", "text").write.json(f"{root}/corpus")
+    connectors.register(spark, [*connectors.STANDARD, CORPUS])
+    return spark.read.format(connectors.FORMAT).option("connectors", CORPUS.source_type).load(root)
+
+
+@query(f"SELECT doc_id, 'corpus' AS source_type, sha256({NORMALIZED}) AS content_hash FROM documents WHERE {TOLD}")
+def connected_documents(spark: SparkSession, d: str) -> DataFrame:
+    own = files.documents(corpus_files(spark, d))
+    return own.select(F.substring_index("source_uri", "#", -1).cast("bigint").alias("doc_id"), "source_type", "content_hash")
+
+
+def ingested(spark: SparkSession, d: str) -> tuple[Store, list[DataFrame]]:
+    """A store after three runs, with the report of each: documents of even id, the same once more, all."""
+    found = settle(corpus_files(spark, d).withColumn("source_uri", F.concat(F.lit("corpus/"), F.substring_index("source_uri", "#", -1))))
+    even = found.where(F.substring_index("source_uri", "/", -1).cast("bigint") % 2 == 0)
+    store = Store(spark, shared_folder(spark, "store"))
+    return store, [connectors.ingest(store, rows, [CORPUS], ("corpus", k)) for k, rows in enumerate((even, even, found))]
+
+
+RUNS = f"""t AS (SELECT doc_id, 'corpus/' || doc_id AS source_uri, sha256({NORMALIZED}) AS content_hash FROM documents WHERE {TOLD}),
+f AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY doc_id % 2, source_uri) AS k FROM t)"""
+
+
+@query(f"WITH {RUNS} SELECT row_number() OVER (ORDER BY doc_id % 2, source_uri) AS id, source_uri, content_hash FROM f WHERE k = 1")
+def ingested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What the store holds after repeated runs: each content once, numbered by run and address."""
+    return ingested(spark, d)[0].read("documents").select("id", "source_uri", "content_hash")
+
+
+@query(f"""WITH {RUNS}, e AS (SELECT count_if(doc_id % 2 = 0) AS evens, count(*) AS every, count_if(k = 1 AND doc_id % 2 = 0) AS new_evens, count_if(k = 1) AS news FROM f)
+SELECT run, figure, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS run, 'documents_added' AS figure, new_evens AS n FROM e UNION ALL SELECT 0, 'documents_known', evens - new_evens FROM e
+UNION ALL SELECT 1, 'documents_added', 0 FROM e UNION ALL SELECT 1, 'documents_known', evens FROM e
+UNION ALL SELECT 2, 'documents_added', news - new_evens FROM e UNION ALL SELECT 2, 'documents_known', every - news + new_evens FROM e)""")
+def ingest_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What each run counted, but for its chunks, whose borders SQL does not know."""
+    out = None
+    for k, report in enumerate(ingested(spark, d)[1]):
+        own = report.where("figure <> 'chunks_added'").select(F.lit(k).alias("run"), "figure", "n")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -299,8 +299,8 @@ def prose_pieces(body: Column, most: int) -> Column:
     return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(body))
 
 
-def pack(docs: DataFrame, most: int = 800, target: int = 650) -> DataFrame:
-    """source_uri, ordinal, text: segments joined by blank lines into chunks.
+def pack(docs: DataFrame, most: int = 800, target: int = 650, keep: tuple[str, ...] = ("source_uri",)) -> DataFrame:
+    """source_uri (or the columns to ``keep``), ordinal, text: segments joined by blank lines into chunks.
 
     A chunk is closed once it has ``target`` tokens or the next piece would
     take it over ``most``.  Atomic segments are never cut, other ones of over
@@ -324,7 +324,7 @@ def pack(docs: DataFrame, most: int = 800, target: int = 650) -> DataFrame:
         units, start, step,
         lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], F.array_join(a["now"], "\n\n"))).otherwise(a["done"]),
     )
-    return docs.select("source_uri", F.posexplode(chunks).alias("ordinal", "text"))
+    return docs.select(*keep, F.posexplode(chunks).alias("ordinal", "text"))
 
 
 def record(extracted: DataFrame, folder: str, spark: SparkSession) -> DataFrame:
