@@ -555,3 +555,36 @@ def golden_problems(spark: SparkSession, d: str) -> DataFrame:
     doc = views.read(spark, d, "documents")
     sides = doc.where("doc_id < 200").select(F.col("doc_id").alias("claim_a"), (F.col("doc_id") + 5).alias("claim_b"))
     return evaluation.sound_golden(doc.select((F.col("doc_id") % 150).alias("id")), sides)
+
+
+SPAN = 24
+SPANS = f"""sp AS (SELECT doc_id AS id, doc_id % 5 AS k, doc_id % 7 AS start, coalesce(text, '') AS body, substring(coalesce(text, ''), doc_id % 7 + 1, {SPAN}) AS cut FROM documents),
+ev AS (SELECT *, CASE k WHEN 2 THEN upper(cut) WHEN 4 THEN 'zqx ' || cut ELSE cut END AS evidence, CASE k WHEN 1 THEN start + 1 ELSE start END AS char_start FROM sp)"""
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """A claim for each document, out of a span of its text: told rightly, with offsets one too far, in capitals, with a value of its own, with words of its own."""
+    doc = views.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    k, start = F.col("doc_id") % 5, (F.col("doc_id") % 7).cast("int")
+    cut = F.substr("body", start + 1, F.lit(SPAN))
+    evidence = F.when(k == 2, F.upper(cut)).when(k == 4, F.concat(F.lit("zqx "), cut)).otherwise(cut)
+    first = F.when(k == 1, start + 1).otherwise(start)
+    claims = doc.select(
+        F.col("doc_id").alias("id"), F.lit(1).cast("bigint").alias("subject_entity_id"), F.lit("said").alias("predicate"), F.when(k == 3, F.lit("zqx")).otherwise(evidence).alias("object_value"),
+        F.lit(0.5).alias("confidence"), F.lit("2024-01-01").cast("date").alias("as_of"), F.lit(None).cast("bigint").alias("superseded_by"), F.col("doc_id").alias("source_chunk_id"),
+        F.col("doc_id").alias("document_id"), evidence.alias("evidence"), first.alias("char_start"), (first + F.char_length(cut)).alias("char_end"),
+    )
+    chunks = doc.select(F.col("doc_id").alias("id"), F.col("body").alias("text"))
+    none = F.lit(None).cast("string")
+    return audit.census(claims, chunks, doc.select(F.col("doc_id").alias("id")), spark.range(1, 2).select("id", none.alias("canonical_name")))
+
+
+@query(f"""WITH {SPANS}
+SELECT id, 'no_evidence' AS category, 'warning' AS severity FROM ev WHERE evidence = ''
+UNION ALL SELECT id, 'offsets_mismatch', 'error' FROM ev WHERE evidence <> '' AND substring(body, char_start + 1, length(cut)) <> evidence
+UNION ALL SELECT id, 'evidence_not_verbatim', 'warning' FROM ev WHERE k = 2 AND NOT contains(body, evidence)
+UNION ALL SELECT id, 'evidence_not_in_chunk', 'error' FROM ev WHERE k = 4 AND NOT contains(body, evidence)
+UNION ALL SELECT id, 'value_not_in_evidence', 'warning' FROM ev WHERE k = 3 AND evidence <> '' AND NOT contains(lower(evidence), 'zqx')""")
+def span_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence and offsets against the whole texts they were cut from."""
+    return audit.violations(_spans(spark, d))
