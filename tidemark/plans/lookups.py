@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.caches import Cache, fingerprint, stale
 from tidemark.functions import text
+from tidemark.lineage import shared_folder
 from tidemark.operators import audit, contradictions, evaluation, graph, ledger, resolve, store, upsert
 
 from . import views
@@ -165,8 +167,9 @@ def adjudicated_sweep(spark: SparkSession, d: str) -> DataFrame:
     row = F.struct(F.lit("ruled").alias("predicate"), s.alias("claim_a_id"), (s + 1).alias("claim_b_id"), none.alias("link_a_id"), none.alias("link_b_id"), F.lit("temporal").alias("kind"))
     rows = F.filter(F.array(row), lambda _: s % 3 == 1)
     without = clustered.join(links.select(F.col("from_entity_id").alias("subject_entity_id")).distinct(), "subject_entity_id", "left_anti")
-    verdicts = without.where((s % 3 != 0) & F.col("cluster_key").isNotNull()).select("cluster_key", rows.alias("rows"))
-    return contradictions.adjudicated(contradictions.sweep(own, links, ["5-LOW"]), clustered, verdicts)
+    verdicts = Cache(spark, shared_folder(spark, "verdicts"), "verdicts")
+    verdicts.put(without.where((s % 3 != 0) & F.col("cluster_key").isNotNull()).select("cluster_key", rows.alias("rows")))
+    return contradictions.adjudicated(contradictions.sweep(own, links, ["5-LOW"]), clustered, verdicts.read())
 
 
 CLAIM_KEY = "subject_entity_id, predicate, object_value, source_chunk_id"
@@ -588,3 +591,15 @@ UNION ALL SELECT id, 'value_not_in_evidence', 'warning' FROM ev WHERE k = 3 AND
 def span_violations(spark: SparkSession, d: str) -> DataFrame:
     """Evidence and offsets against the whole texts they were cut from."""
     return audit.violations(_spans(spark, d))
+
+
+@query("""WITH s AS (SELECT 'corpus/' || doc_id AS source_uri, doc_id, coalesce(text, '') AS body FROM documents)
+SELECT source_uri, CASE WHEN doc_id % 7 = 0 THEN 'gone' WHEN doc_id % 7 = 1 THEN 'new' ELSE 'changed' END AS fault FROM s
+WHERE doc_id % 7 < 2 OR (doc_id % 7 = 2 AND upper(body) <> body)""")
+def stale_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of all documents, before and after some are gone, some are new and some are in capitals."""
+    k, body = F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
+    doc = views.read(spark, d, "documents").select("doc_id", F.concat(F.lit("corpus/"), F.col("doc_id").cast("string")).alias("source_uri"), body.alias("body"))
+    then = doc.where(k != 1).select("source_uri", F.encode("body", "UTF-8").alias("content"))
+    now = doc.where(k != 0).select("source_uri", F.encode(F.when(k == 2, F.upper("body")).otherwise(F.col("body")), "UTF-8").alias("content"))
+    return stale(fingerprint(then), fingerprint(now))

@@ -330,7 +330,9 @@ def pack(docs: DataFrame, most: int = 800, target: int = 650, keep: tuple[str, .
 def record(extracted: DataFrame, folder: str, spark: SparkSession) -> DataFrame:
     """Appends extractions (source_uri, ordinal, claims, relations) that the cache in ``folder`` lacks, and returns them.
 
-    The cache is JSON, one line for each chunk, as :func:`replay` reads it.
+    The cache is JSON, one line for each chunk, as :func:`replay` reads it.  A
+    job that is lost leaves what it appended; :class:`tidemark.caches.Cache`
+    takes all or nothing and can record anew.
     """
     try:
         there = spark.read.schema("source_uri string, ordinal int").json(folder)
