@@ -31,7 +31,11 @@ def engine(spark: SparkSession, d: str) -> Engine:
     )
 
 
-@query(ORACLE_SQL["search_rows"])
+#: The index of the surface holds the vectors of chunks; there may be vectors without one.
+OF_CHUNKS = ORACLE_SQL["search_rows"].replace("WHERE vector IS NOT NULL", "WHERE vector IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents)")
+
+
+@query(OF_CHUNKS)
 def engine_search(spark: SparkSession, d: str) -> DataFrame:
     """The best passages of all questions, by words and vectors, as the surface shows them."""
     found = engine(spark, d).index(shared_folder(spark, "indexes"), 16).search(answers.searches(spark, d), answers.PASSAGES)
