@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranks, temporal
@@ -63,3 +64,22 @@ def test_runs_go_on_across_pieces(spark):
         run += at == 0 or x - xs[at - 1] > 1
         want[x] = run
     assert got == want and run > 5
+
+
+@pytest.fixture
+def pieces(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def apart(spark):
+    rows = [(i, "p", str(1000 + i)) for i in range(400)]
+    return rows, spark.createDataFrame([(*r, None) for r in rows], CLAIM).repartition(7)
+
+
+def test_sides_stay_apart_at_borders_of_pieces(spark, pieces):
+    """One group over all partitions: nothing stands before the first number of a piece, which does not make it one with anything."""
+    rows, df = apart(spark)
+    assert {(r["predicate"], r["least_id"], r["n"]) for r in temporal.consensus(df).collect()} == expected(rows)
