@@ -83,3 +83,8 @@ def test_sides_stay_apart_at_borders_of_pieces(spark, pieces):
     """One group over all partitions: nothing stands before the first number of a piece, which does not make it one with anything."""
     rows, df = apart(spark)
     assert {(r["predicate"], r["least_id"], r["n"]) for r in temporal.consensus(df).collect()} == expected(rows)
+
+
+def test_keys_stay_apart_at_borders_of_pieces(spark, pieces):
+    rows, df = apart(spark)
+    assert temporal.value_keys(df, ["predicate"]).select("value_key").distinct().count() == len(rows)
