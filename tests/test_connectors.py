@@ -110,3 +110,13 @@ def test_no_files_at_all(spark, tmp_path):
     (tmp_path / "in").mkdir()
     store = Store(spark, str(tmp_path / "_store"))
     assert {r["n"] for r in connectors.ingest(store, read(spark, str(tmp_path / "in"))).collect()} == {0} and store.version() == 0
+
+
+def test_documents_are_read_in_batches_by_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "BYTES_AT_ONCE", 1000, raising=False)
+    (tmp_path / "a.json").write_text("".join(json.dumps({"n": k, "t": "x" * 300}) + "\n" for k in range(40)))
+    own = connectors.Connector("j", r"\.json$", read=connectors.json_lines("n", "t"))
+    reader = connectors.FilesReader(str(tmp_path), {"j": own}, {"j"}, 1 << 20)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [b.num_rows for b in batches] == [4] * 10
+    assert [x for b in batches for x in b.column("source_uri").to_pylist()] == [f"a.json#{k}" for k in range(40)]

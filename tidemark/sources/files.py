@@ -12,7 +12,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import groupby
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,19 +268,31 @@ SEGMENTERS = {
 }
 
 
+#: Bytes of texts that a Python task cuts, or reads, at once; a longer text is taken by itself.
+BYTES_AT_ONCE = 4 << 20
+
+
 def segments(docs: DataFrame, segmenters: dict = SEGMENTERS) -> DataFrame:
     """``docs`` (source_uri, source_type, as_of, raw_text) with ``segments``, an array of (text, atomic), per whole document.
 
     A source of another type needs a path pattern in :func:`discover` and a function of text and date here.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", segments {SEGMENT}"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            cut = [segmenters[k](t or "", d) for k, t, d in zip(pdf["source_type"], pdf["raw_text"], pdf["as_of"])]
-            yield pdf.assign(segments=[[{"text": t, "atomic": a} for t, a in x] for x in cut])
-
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(lambda batches: _cut(batches, segmenters), schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], segmenters: dict) -> Iterator[pa.RecordBatch]:
+    """Batches with ``segments``, of few texts each, so that Python holds the pieces of these alone."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("atomic", pa.bool_())]))
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("raw_text")), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(sizes) // BYTES_AT_ONCE
+        firsts = np.flatnonzero(np.diff(group, prepend=-1))
+        for first, last in zip(firsts, [*firsts[1:], len(batch)]):
+            rows = batch.slice(first, last - first)
+            read = zip(*(rows.column(c).to_pylist() for c in ("source_type", "raw_text", "as_of")))
+            cut = [[{"text": t, "atomic": a} for t, a in segmenters[k](body or "", day)] for k, body, day in read]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cut, kind)], [*rows.schema.names, "segments"])
 
 
 def prose_pieces(body: Column, most: int) -> Column:
