@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,14 @@ def test_seed(spark):
     assert seeded["entity_aliases"].first()["alias"] == "the company" and seeded["metric_vocab"].count() == 15
     empty = charts.seed(spark.createDataFrame([], "chart string, body string, as_of string"))
     assert empty["links"].count() == empty["entities"].count() == 0
+
+
+def test_texts_are_cut_a_few_at_once(monkeypatch):
+    """A batch of many texts is handed on in parts, with the columns and rows that it had."""
+    monkeypatch.setattr(files, "BYTES_AT_ONCE", 1000, raising=False)
+    texts = ["a\n\n" + "b" * 400, None, "", "| t |\n\nx", "c" * 5000, "d" * 300] * 3
+    batch = pa.RecordBatch.from_pydict({"source_type": ["markdown"] * 18, "as_of": pa.nulls(18, pa.date32()), "raw_text": pa.array(texts), "k": range(18)})
+    parts = list(files._cut(iter([batch]), files.SEGMENTERS))
+    assert len(parts) >= 6 and [k for p in parts for k in p.column("k").to_pylist()] == list(range(18))
+    got = [[(x["text"], x["atomic"]) for x in cut] for p in parts for cut in p.column("segments").to_pylist()]
+    assert got == [files.markdown_segments(t or "") for t in texts]
