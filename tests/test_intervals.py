@@ -3,6 +3,7 @@
 import datetime
 import random
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def test_first_conflicts(spark, seed):
     assert len(got) == len(best) > 20
 
 
+@pytest.mark.parametrize("crowd", (0, 8, 12))
+def test_first_conflicts_of_crowds(spark, monkeypatch, crowd):
+    """All groups by nodes, or some by nodes and the others side by side."""
+    monkeypatch.setattr(intervals, "first_overlaps", partial(intervals.first_overlaps, crowd=crowd))
+    test_first_conflicts(spark, 4)
+
+
+def test_small_groups_have_no_nodes(spark):
+    """What is shuffled of a small group is its rows, not the nodes of their periods."""
+    plan = contradictions.first_of_each_conflict(claims(spark, 150, 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+
+
 def test_first_link_conflicts(spark):
     rng, rows = random.Random(1), []
     for i in range(120):

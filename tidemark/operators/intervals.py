@@ -6,6 +6,9 @@ way from the other's days to the root, or is one of its nodes.  Rows are
 reduced to the least id of each value at each node before anything is joined,
 so that a node meets as many rows as there are values, however many rows say
 the same.
+
+A period has some forty nodes, which are worth their shuffle in crowded groups
+alone: the rows of a small group meet side by side.
 """
 
 from __future__ import annotations
@@ -16,7 +19,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.lineage import settle
+from tidemark.lineage import BROADCAST_ROWS, settle
+
+#: Groups of more rows (of distinct value and period) meet by nodes, others side by side.
+CROWD = 256
+
 
 def covering(lo: Column, hi: Column, levels: int) -> Column:
     """array<struct<level, node>>: the fewest nodes that make up the leaves ``lo`` to ``hi``; none if they end before they begin."""
@@ -39,7 +46,7 @@ def _above(lo: Column, hi: Column, levels: int, wanted: list[int]) -> Column:
     return F.array_compact(F.array(*nodes))
 
 
-def first_overlaps(rows: DataFrame, group: list[str], value: str, kept: list[str], conflict: Callable[[str, str], Column]) -> DataFrame:
+def first_overlaps(rows: DataFrame, group: list[str], value: str, kept: list[str], conflict: Callable[[str, str], Column], crowd: int = CROWD) -> DataFrame:
     """(group, a, b): for each unordered pair of values of a group that conflict in a shared period, the rows of least ids.
 
     ``rows``: id, ``group``, ``value`` (a string that tells values apart),
@@ -55,13 +62,36 @@ def first_overlaps(rows: DataFrame, group: list[str], value: str, kept: list[str
     dated = rows.select(*group, value, "id", *kept, leaf(F.col("lo"), 0).alias("lo"), leaf(F.when(F.col("hi") < F.lit(last.isoformat()).cast("date"), F.col("hi")), (1 << levels) - 1).alias("hi"))
     # rows that say the same of the same period are one from here on
     said = F.min(F.struct("id", *kept)).alias("s")
+    own = settle(dated.where("lo <= hi").groupBy(*group, value, "lo", "hi").agg(said))
+    crowds = settle(own.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(*group))
+    n = crowds.count()
+    if n == 0:
+        return _first(_side_by_side(own, group, value), group, conflict)
+    crowds = F.broadcast(crowds) if n <= BROADCAST_ROWS else crowds
+    few_rows, many_rows = own.join(crowds, group, "left_anti"), own.join(crowds, group, "left_semi")
+    small = _first(_side_by_side(few_rows, group, value), group, conflict)
+    return small.unionByName(_first(_by_nodes(many_rows, group, value, levels), group, conflict))
+
+
+def _side_by_side(own: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Pairs of rows (_x, x, _y, y) of a group whose periods overlap; rows are shuffled once, by group."""
+    side = lambda v, s, lo, hi: own.select(*group, F.col(value).alias(v), F.col("s").alias(s), F.col("lo").alias(lo), F.col("hi").alias(hi))
+    return side("_x", "x", "_lx", "_hx").join(side("_y", "y", "_ly", "_hy"), group).where("_x < _y AND _lx <= _hy AND _ly <= _hx")
+
+
+def _by_nodes(own: DataFrame, group: list[str], value: str, levels: int) -> DataFrame:
+    """The least rows (_x, x, _y, y) of two values at each node that both hold at."""
     lo, hi = F.col("lo"), F.col("hi")
-    own = settle(dated.groupBy(*group, value, "lo", "hi").agg(said).where("lo <= hi").withColumn("cover", covering(lo, hi, levels)))
+    own = settle(own.withColumn("cover", covering(lo, hi, levels)))
     wanted = sorted(r[0] for r in own.select(F.explode("cover.level").alias("k")).distinct().collect())  # a few levels
     by_node = lambda nodes, name: own.select(*group, value, "s", F.explode(nodes).alias("node")).groupBy(*group, "node", value).agg(F.min("s").alias(name))
     covers = by_node(F.col("cover.node"), "x").withColumnRenamed(value, "_x")
     meets = by_node(F.array_distinct(F.concat("cover.node", _above(lo, hi, levels, wanted or [0]))), "y").withColumnRenamed(value, "_y")
-    pairs = covers.join(meets, [*group, "node"]).where((F.col("_x") != F.col("_y")) & conflict("x", "y"))
+    return covers.join(meets, [*group, "node"]).where("_x != _y")
+
+
+def _first(pairs: DataFrame, group: list[str], conflict: Callable[[str, str], Column]) -> DataFrame:
     both = F.struct(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = pairs.groupBy(*group, F.least("_x", "_y").alias("_p"), F.greatest("_x", "_y").alias("_q")).agg(F.min(both).alias("best"))
+    apart = pairs.where(conflict("x", "y"))
+    found = apart.groupBy(*group, F.least("_x", "_y").alias("_p"), F.greatest("_x", "_y").alias("_q")).agg(F.min(both).alias("best"))
     return found.select(*group, "best.a", "best.b")
