@@ -105,6 +105,38 @@ def test_a_run_that_fails_leaves_the_store(spark, root, tmp_path):
     assert store.version() == 1 and store.read("documents").count() == 1 and store.read("chunks").count() == 1
 
 
+def test_texts_are_cut_once_and_known_ones_not_at_all(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(20):
+        (tmp_path / "in" / f"{k}.note").write_text(f"note {k}")
+    calls = str(tmp_path / "calls")
+
+    def segment(body, day):
+        with open(calls, "a") as out:
+            out.write(body + "\n")
+        return [(body, False)]
+
+    own = [Connector("note", r"\.note$", segment)]
+    connectors.register(spark, own)
+    store = Store(spark, str(tmp_path / "_store"))
+    for _ in range(2):
+        connectors.ingest(store, read(spark, str(tmp_path / "in")), own)
+    connectors.register(spark)
+    assert sorted(open(calls).read().split("\n")[:-1]) == sorted(f"note {k}" for k in range(20))
+
+
+def test_an_address_that_gives_a_text_twice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "l.rows").write_text("".join(json.dumps({"n": n, "t": t}) + "\n" for n, t in (("a", "one"), ("a", "one"), ("a", "two"), ("b", "two"))))
+    own = [Connector("rows", r"\.rows$", read=connectors.json_lines("n", "t"))]
+    connectors.register(spark, own)
+    store = Store(spark, str(tmp_path / "_store"))
+    got = {r["figure"]: r["n"] for r in connectors.ingest(store, read(spark, str(tmp_path / "in")), own).collect()}
+    connectors.register(spark)
+    assert got == {"documents_added": 2, "documents_known": 2, "chunks_added": 2}
+    assert sorted(r["raw_text"] for r in store.read("documents").collect()) == ["one", "two"] == sorted(r["text"] for r in store.read("chunks").collect())
+
+
 def test_no_files_at_all(spark, tmp_path):
     connectors.register(spark)
     (tmp_path / "in").mkdir()

@@ -140,7 +140,7 @@ TOLD = "regexp_matches(coalesce(text, ''), '[^\\s]')"
 def corpus_files(spark: SparkSession, d: str) -> DataFrame:
     """All documents written as files of many documents each and read back through their connector; blank ones are no documents."""
     root = shared_folder(spark, "corpus")
-    told = views.read(spark, d, "documents").where(text.squeeze(F.coalesce("text", F.lit(""))) != "")
+    told = views.read(spark, d, "documents").where(~text.is_blank(F.coalesce("text", F.lit(""))))
     told.select("doc_id", "text").write.json(f"{root}/corpus")
     connectors.register(spark, [*connectors.STANDARD, CORPUS])
     return spark.read.format(connectors.FORMAT).option("connectors", CORPUS.source_type).load(root)

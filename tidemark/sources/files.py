@@ -73,10 +73,14 @@ def date_in(body: Column) -> Column:
 
 
 def document_date(body: Column, path: Column) -> Column:
-    """The date behind a label, else the first one of the text, else that of the file's name."""
+    """The date behind a label, else the first one of the text, else that of the file's name.
+
+    A text without a year, four digits, is not searched: it has no date of any form.
+    """
     labelled = [F.regexp_extract_all(body, F.lit(rf"(?is){label}\b[\s:*\-—]*(?=(.{{0,{WINDOW}}}))"), 1) for label in DATE_LABELS]
     first = lambda windows: F.get(F.filter(F.transform(windows, date_in), lambda d: d.isNotNull()), 0)
-    return F.coalesce(*map(first, labelled), date_in(body), date_in(F.substring_index(path, "/", -1)))
+    own = F.coalesce(*map(first, labelled), date_in(body))
+    return F.coalesce(F.when(body.rlike(r"\d{4}"), own), date_in(F.substring_index(path, "/", -1)))
 
 
 def _match(body: Column, pattern: str) -> Column:
@@ -88,15 +92,28 @@ def page_title(html: Column) -> Column:
     return _match(html, r"(?is)<title>(.*?)</title>")
 
 
-def documents(found: DataFrame) -> DataFrame:
-    """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text.
+def texts(found: DataFrame) -> DataFrame:
+    """(source_uri, source_type, raw_text, content_hash) of text files, raw_text in normal form.
 
     Raises, when the row is evaluated, on a file without text.
     """
     decoded = F.decode("content", "UTF-8")
     blank = F.raise_error(F.concat(F.lit("no text in "), F.col("source_uri")))
-    body = F.when(text.squeeze(decoded) == "", blank).otherwise(text.normalize_text(decoded))
+    body = F.when(text.is_blank(decoded), blank).otherwise(text.normalize_text(decoded))
     rows = found.where(F.col("source_type") != "image").select("source_uri", "source_type", body.alias("raw_text"))
+    return rows.withColumn("content_hash", F.sha2("raw_text", 256))
+
+
+def documents(found: DataFrame) -> DataFrame:
+    """One row per text file: source_uri, source_type, title, author, lang, as_of, content_hash, raw_text.
+
+    Raises, when the row is evaluated, on a file without text.
+    """
+    return described(texts(found))
+
+
+def described(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`documents` of :func:`texts`, with the columns to ``keep``."""
     raw, kind = F.col("raw_text"), F.col("source_type")
     head = F.substring_index(raw, "\n\n", 1)
     header = lambda name: _match(head, rf"(?im)^{name}:\s*(.*)$")
@@ -114,11 +131,11 @@ def documents(found: DataFrame) -> DataFrame:
             by_kind(email=header("From"), code=_match(raw, r"Author:\s*([^.\n]+)")),
             _match(raw, r"(?m)^\s*[-*]?\s*\*\*(?:Name|Author):?\*\*\s*(.+?)\s*$"),
         ).alias("author"),
-        _match(raw, r"\*\*Language:?\*\*\s*([A-Za-z-]+)").alias("lang"), day.alias("as_of"), text.content_hash(raw).alias("content_hash"), "raw_text",
+        _match(raw, r"\*\*Language:?\*\*\s*([A-Za-z-]+)").alias("lang"), day.alias("as_of"), "content_hash", "raw_text", *keep,
     )
 
 
-def images(found: DataFrame, caption: Column | None = None) -> DataFrame:
+def images(found: DataFrame, caption: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per image, with the columns of :func:`documents`: its caption as text, hashed by its bytes.
 
     ``caption`` is a column over source_uri and content, such as a pandas UDF; blank or without one the file's name stands for it.
@@ -129,7 +146,7 @@ def images(found: DataFrame, caption: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return found.where(F.col("source_type") == "image").select(
         "source_uri", "source_type", stem.alias("title"), none.alias("author"), none.alias("lang"), date_in(F.substring_index("source_uri", "/", -1)).alias("as_of"),
-        F.sha2("content", 256).alias("content_hash"), told.alias("raw_text"),
+        F.sha2("content", 256).alias("content_hash"), told.alias("raw_text"), *keep,
     )
 
 
@@ -297,20 +314,23 @@ def _cut(batches: Iterator[pa.RecordBatch], segmenters: dict) -> Iterator[pa.Rec
 
 def prose_pieces(body: Column, most: int) -> Column:
     """array<string>: paragraphs of a text, those of over ``most`` tokens cut between sentences; a longer sentence stays whole."""
-    joined = lambda a, s: F.when(a["now"] == "", s).otherwise(F.concat(a["now"], F.lit(" "), s))
 
     def step(a: Column, s: Column) -> Column:
-        full = (a["now"] != "") & (text.token_estimate(joined(a, s)) > most)
+        more = a["size"] + 1 + F.char_length(s)
+        full = (a["size"] > 0) & (F.greatest(F.lit(1), F.floor(more / 4)) > most)
+        anew = full | (a["size"] == 0)
         return F.struct(
-            F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"), F.when(full, s).otherwise(joined(a, s)).alias("now")
-        )
+            F.when(full, F.array_append(a["done"], F.array_join(a["now"], " "))).otherwise(a["done"]).alias("done"),
+            F.when(anew, F.array(s)).otherwise(F.array_append(a["now"], s)).alias("now"), F.when(anew, F.char_length(s)).otherwise(more).alias("size"),
+        )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    last = lambda a: F.when(a["now"] != "", F.array_append(a["done"], a["now"])).otherwise(a["done"])
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("size"))
+    last = lambda a: F.when(a["size"] > 0, F.array_append(a["done"], F.array_join(a["now"], " "))).otherwise(a["done"])
     cut = lambda p: F.aggregate(F.split(p, r"(?<=[.!?])\s+"), start, step, last)
     paragraphs = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     pieces = F.flatten(F.transform(paragraphs, lambda p: F.when(text.token_estimate(p) > most, cut(p)).otherwise(F.array(p))))
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(body))
+    return text.once(pieces, lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(body)))
 
 
 def pack(docs: DataFrame, most: int = 800, target: int = 650, keep: tuple[str, ...] = ("source_uri",)) -> DataFrame:
@@ -330,7 +350,7 @@ def pack(docs: DataFrame, most: int = 800, target: int = 650, keep: tuple[str, .
 
     bare = lambda s: F.btrim(s["text"], F.lit("\n"))
     long = lambda s: ~s["atomic"] & (text.token_estimate(bare(s)) > most)
-    told = F.filter("segments", lambda s: text.squeeze(s["text"]) != "")
+    told = F.filter("segments", lambda s: ~text.is_blank(s["text"]))
     units = F.flatten(F.transform(told, lambda s: F.when(long(s), prose_pieces(bare(s), most)).otherwise(F.array(bare(s)))))
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("size"))
