@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranks, temporal
+from tidemark.operators import answering, ranks, temporal
 
 CLAIM = "id bigint, predicate string, object_value string, as_of date"
 
@@ -88,3 +88,15 @@ def test_sides_stay_apart_at_borders_of_pieces(spark, pieces):
 def test_keys_stay_apart_at_borders_of_pieces(spark, pieces):
     rows, df = apart(spark)
     assert temporal.value_keys(df, ["predicate"]).select("value_key").distinct().count() == len(rows)
+
+
+def test_lines_tell_every_value_at_borders_of_pieces(spark, pieces):
+    """The keys of sides and those of their claims are made apart: each value has its own place and marker in the line."""
+    rows, df = apart(spark)
+    own = df.withColumn("question_id", F.lit(1))
+    group = ["question_id", "predicate"]
+    members = temporal.value_keys(own, group).select(*group, "value_key", "id")
+    facts = own.select("question_id", F.lit("claim").alias("kind"), F.col("id").alias("ref_id"), F.concat(F.lit("C"), "id").alias("marker"), F.struct(F.col("id").alias("k")).alias("pos"))
+    (line,) = answering.consensus_lines(temporal.consensus(own, group), members, facts).collect()
+    dissent = "".join(f"; dissent: {v} [C{i}]" for i, _, v in rows[1:])
+    assert line["line"] == f"- p: {rows[0][2]} — 1 source(s) agree [C0]{dissent}"
