@@ -204,16 +204,20 @@ class Engine:
         open_to = asked.where(F.col("_r")["wants_contradictions"]).select("question_id").unionByName(subjects.select("question_id")).distinct()
         topics = vocabulary.canonical(terms.join(open_to, "question_id", "left_semi"), t["metric_vocab"], "term")
         found = settle(answering.relevant(subjects, topics.select("question_id", F.col("canonical_predicate").alias("term")), t["contradictions"]))
-        claims = settle(answering.gather_claims(subjects, found, t["claims"]))
-        links = settle(answering.gather_links(subjects, found, t["links"]))
+        claims = answering.gather_claims(subjects, found, t["claims"])
+        numbered = answering.numbered_claims(claims)
+        of_links = answering.each_question(found.where("link_a_id IS NOT NULL OR link_b_id IS NOT NULL"))
+        links = settle(answering.gather_links(subjects, of_links, t["links"]))
         passages = self._passages(asked.where(route != "structured").drop("_r"))
-        facts = settle(answering.grounding(claims, passages, links, t["entities"]))
-        told = asked.select("question_id", "question").join(self._grounding(claims, found, facts), "question_id", "left")
+        others = settle(answering.other_facts(passages, links, t["entities"]))
+        facts = answering.claim_facts(numbered).unionByName(others)
+        told = asked.select("question_id", "question").join(self._grounding(claims, found, numbered, others), "question_id", "left")
         said = self._said(told.withColumn("grounding", F.coalesce("grounding", F.lit(""))))
-        cited = settle(answering.enforced(said, facts, self._citations(facts)))
+        named = answering.named_facts(said, facts)
+        cited = settle(answering.enforced(said, named, self._citations(named)))
         sure = said.groupBy("question_id").agg(F.max("confidence").alias("confidence"))
         answers = answering.answers(asked, cited, sure).join(asked.select("question_id", route.alias("route")), "question_id")
-        return Answers(answers, cited, found, temporal.source_coverage(cited, ["question_id"], ROSTER_AS_OF), facts)
+        return Answers(answers, cited, answering.each_question(found), temporal.source_coverage(cited, ["question_id"], ROSTER_AS_OF), facts)
 
     def _passages(self, questions: DataFrame) -> DataFrame:
         texts = self.tables["chunks"].select("id", "text")
@@ -222,14 +226,15 @@ class Engine:
             return questions.limit(0).select("question_id", none.cast("bigint").alias("id"), none.cast("int").alias("rank"), none.cast("string").alias("text"))
         return settle(self._hits(questions, self.k).join(texts, "id"))
 
-    def _grounding(self, claims: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
+    def _grounding(self, claims: DataFrame, found: DataFrame, numbered: DataFrame, others: DataFrame) -> DataFrame:
         """(question_id, grounding): facts, what most sources say of each predicate, and the conflicts among the facts."""
         keys = ["question_id", "predicate"]
-        own = settle(vocabulary.canonical(claims, self.tables["metric_vocab"]).drop("predicate").withColumnRenamed("canonical_predicate", "predicate"))
+        own = settle(vocabulary.canonical(answering.each_question(claims), self.tables["metric_vocab"]).drop("predicate").withColumnRenamed("canonical_predicate", "predicate"))
         sides = temporal.value_keys(own, keys).select(*keys, "value_key", "id")
-        agreed = answering.consensus_lines(temporal.consensus(own, keys), sides, facts)
+        agreed = answering.consensus_lines(temporal.consensus(own, keys), sides, answering.claim_facts(numbered))
         label = contradictions.label(F.col("kind"), F.col("claim_a_id"))
-        conflicts = answering.conflict_lines(found, facts, label)
+        conflicts = answering.conflict_lines(found, {"claim": numbered, "link": answering.link_marks(others)}, label)
+        facts = answering.claim_lines(numbered).unionByName(others.select("question_id", "pos", "line"))
         blocks = [
             facts.select("question_id", F.lit(0).alias("b"), F.format_string("%d/%09d", "pos.block", "pos.k").alias("at"), "line"),
             agreed.select("question_id", F.lit(1).alias("b"), F.col("predicate").alias("at"), "line"),
