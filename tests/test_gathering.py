@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,24 @@ def test_ranks_in_each(spark):
             seen[m] = seen.get(m, 0) + 1
         assert got[v] == {m: seen[m] for m in own}
     assert ranks.rank_in_each(df.limit(0), "own", [F.col("v")]).count() == 0
+
+
+def test_lines_in_stretches_make_the_same_text(made):
+    """A question's lines come in a few texts, in its own order, whatever the pieces."""
+    data, _, _, numbered = made
+    told = numbered.withColumn("line", F.when(F.col("id") % 7 > 0, F.col("line")))  # some are unknown
+    whole = {r["question_id"]: r["grounding"] for r in answering.grounding_text(answering.claim_facts(told)).collect()}
+    stretches = answering.claim_lines(told)
+    assert {r["question_id"]: r["grounding"] for r in answering.grounding_text(stretches).collect()} == whole
+    assert set(whole) == {q for q in range(QUESTIONS) if gathered(*data, q)[1]} and any("\n" in x for x in whole.values())
+    assert stretches.count() < answering.claim_facts(told).count()
+
+
+def test_stretches_are_bounded(monkeypatch):
+    monkeypatch.setattr(answering, "LINES_AT_ONCE", 3)
+    batch = pa.RecordBatch.from_pydict(
+        {"line": ["a", None, "c", "d"], "questions": [[1, 2], [2], [], [1, 2, 3, 4]], "ranks": [[1, 1], [2], [], [2, 3, 1, 1]]},
+        schema=pa.schema([("line", pa.string()), ("questions", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32()))]),
+    )
+    got = [tuple(r.values()) for part in answering._joined_lines(iter([batch])) for r in part.to_pylist()]
+    assert got == [(1, 1, "[C1] (claim) a"), (2, 1, "[C1] (claim) a"), (1, 2, "[C2] (claim) d"), (2, 3, "[C3] (claim) d"), (3, 1, "[C1] (claim) d"), (4, 1, "[C1] (claim) d")]
