@@ -121,3 +121,20 @@ def test_stretches_are_bounded(monkeypatch):
     )
     got = [tuple(r.values()) for part in answering._joined_lines(iter([batch])) for r in part.to_pylist()]
     assert got == [(1, 1, "[C1] (claim) a"), (2, 1, "[C1] (claim) a"), (1, 2, "[C2] (claim) d"), (2, 3, "[C3] (claim) d"), (3, 1, "[C1] (claim) d"), (4, 1, "[C1] (claim) d")]
+
+
+def test_only_named_facts_are_kept(made, spark):
+    """Sentences that hold name a few facts; the others need no citation."""
+    data, _, _, numbered = made
+    facts = answering.claim_facts(numbered)
+    said = [(q, p, " " if p == 2 else "so", cites) for q in range(QUESTIONS) for p, cites in enumerate((["C1", "C9"], ["C1", "X1"], ["C2"], []))]
+    sentences = spark.createDataFrame(said, "question_id bigint, pos int, text string, cites array<string>")
+    named = answering.named_facts(sentences, facts)
+    own = {q: gathered(*data, q)[1] for q in range(QUESTIONS)}
+    want = [(q, f"C{k}", own[q][k - 1]) for q in own for k in (1, 9) if k <= len(own[q])]
+    assert sorted((r["question_id"], r["marker"], r["ref_id"]) for r in named.collect()) == sorted(want) and named.count() < facts.count()
+    cited = facts.select("kind", "ref_id").distinct().selectExpr(
+        "kind", "ref_id", "ref_id AS claim_id", "0L AS chunk_id", "0L AS link_id", "'x' AS source_uri", "'y' AS snippet", "cast(null AS date) AS as_of"
+    )
+    rows = lambda some: sorted(map(str, answering.enforced(sentences, some, cited).collect()))
+    assert rows(named) == rows(facts) and rows(named)
