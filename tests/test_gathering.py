@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import answering, ranks
+from tidemark.plans import answers
 
 QUESTIONS, SUBJECTS, MOST = 30, 60, 8
 
@@ -138,3 +139,10 @@ def test_only_named_facts_are_kept(made, spark):
     )
     rows = lambda some: sorted(map(str, answering.enforced(sentences, some, cited).collect()))
     assert rows(named) == rows(facts) and rows(named)
+
+
+def test_answers_rest_on_shared_claims(spark):
+    """The queries from question to answer keep a claim of a common topic once."""
+    ask = answers.Ask(spark, "/root/testdata/sf0.01")
+    told, kept = answering.claim_facts(ask.numbered), ask.numbered
+    assert kept.count() < told.count() / 2 and kept.select("id").distinct().count() == told.select("ref_id").distinct().count()
